@@ -155,3 +155,49 @@ def sequence_hash(words: np.ndarray) -> np.uint64:
 
 def column_or_null(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def summed_table(partials: DataFrame, slots: int, width: int, fan_in: int = 64) -> np.ndarray:
+    """Sums per-task count tables on the executors and returns the total, of slots * width uint32 cells.
+
+    partials has rows (part int, slot int, counts binary).  Each level adds up the tables of fan_in
+    tasks in streaming, so neither a task nor the driver ever holds more than one table.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        part = 0
+        for b in batches:
+            for p, s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                counts = np.frombuffer(x.as_buffer(), dtype=np.uint32)
+                part = p
+                if s in total:
+                    big = total[s].astype(np.uint64) + counts
+                    total[s] = np.minimum(big, 0xFFFFFFFF).astype(np.uint32)
+                else:
+                    total[s] = counts.copy()
+        for s, x in total.items():
+            yield count_rows(part // fan_in, s, x)
+
+    tasks = partials.rdd.getNumPartitions()
+    while tasks > 1:
+        tasks = -(-tasks // fan_in)
+        partials = partials.repartition(tasks, "part").mapInArrow(add, COUNTS)
+    out = np.zeros((slots, width), dtype=np.uint64)
+    for r in partials.collect():
+        out[r["slot"]] += np.frombuffer(r["counts"], dtype=np.uint32)
+    return np.minimum(out, 0xFFFFFFFF).astype(np.uint32).reshape(-1)
+
+
+COUNTS = "part int, slot int, counts binary"
+
+
+def count_rows(part: int, slot: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([slot], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["part", "slot", "counts"])
+
+
+def count_tables(counts: np.ndarray, part: int, slots: int) -> Iterator[pa.RecordBatch]:
+    """The rows that summed_table takes, for one task's table; empty slots are left out."""
+    for s, x in enumerate(counts.reshape(slots, -1)):
+        if x.any():
+            yield count_rows(part, s, x)
