@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, packing, token_counts
+from . import decontaminate, jaccard_join, language_id, line_dedup, packing, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +20,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, model).drop("text")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.annotate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("r.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.col("kept").alias("text"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
 
@@ -34,6 +43,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_counts, op9_jaccard_join, op10_best_fit_packing)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_token_counts, op4_decontaminate, op9_jaccard_join, op10_best_fit_packing)}
+
+OP2_SQL = """
+WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
+windows AS (SELECT doc_id, a, unnest(range(0, len(a) - 2)) AS pos FROM lines WHERE len(a) >= 3),
+ranked AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY a[pos + 1], a[pos + 2], a[pos + 3] ORDER BY doc_id, pos) AS rn
+  FROM windows),
+covered AS (SELECT DISTINCT doc_id, pos + j AS i FROM ranked, (VALUES (0), (1), (2)) t(j) WHERE rn > 1),
+numbered AS (SELECT doc_id, unnest(range(0, len(a))) AS i, unnest(a) AS line FROM lines),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text
+  FROM numbered ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id)
+SELECT l.doc_id, coalesce(len(l.a), 0) AS n_lines, coalesce(g.n, 0) AS n_removed,
+       CASE WHEN l.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM lines l LEFT JOIN kept k USING (doc_id) LEFT JOIN gone g USING (doc_id)
+"""
+
+#: Only line dedup is plain SQL; the others are tested against brute force in tests/llm.
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL}
