@@ -249,6 +249,15 @@ def join(docs: DataFrame, *, n: int = 4, percent: int = 85, block_grams: int = 1
     return found.unionAll(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def representatives(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of docs, all columns, that stand for their class: those with its least doc_id, repeated rows once.
+
+    Rows without an id stay if their class has no id at all, equal texts once.
+    """
+    first = join(docs, n=n, percent=percent).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 def _residual(rows: DataFrame, grams: DataFrame, scratch: Scratch, percent: int, block_grams: int) -> DataFrame:
     """Links between classes of each family (rows: uid, n, root, family), by products of pairs of blocks.
 
