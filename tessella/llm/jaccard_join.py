@@ -4,15 +4,18 @@
    n-grams from rare to common.  Any fixed order gives exact results; this one keeps common
    passages out of the prefixes.
 2. A document's row is its set of n-grams.  Equal sets are one row from here on.
-3. Size bound: two rows whose similarity reaches t share an n-gram within the first
-   n - ceil(t n) + 1 of each, so only those prefixes are dealt out.
-4. Within each prefix column, every row is multiplied with one pivot, the row whose n-grams
-   are most common (in a family of copies, what the others were made from).  This is linear
-   in the column; rows that reach t are joined.
-5. Rows of columns that still hold several classes form families; a family's matrix is cut
-   into blocks of bounded size by size band and class, and block pairs whose bands can
-   reach t are multiplied, accumulating the overlap counts.  Pairs within a class are not
-   looked at, since they cannot change the classes.
+3. Size bounds: two rows that reach the similarity share n-grams among the first
+   n - ceil(t n) + 1 of each, so only those prefixes are dealt out; their sizes lie in the
+   same or neighbouring bands, so a column is cut into band groups; and the number of shared
+   prefix n-grams has a lower bound that follows from the two sizes.
+4. Groups of at most ``few`` rows are multiplied out: the shared prefix n-grams of each pair
+   are accumulated, pairs below the bounds are discarded, the rest are verified.
+5. In larger groups every row is first multiplied with one pivot, the row whose n-grams are
+   most common (in a family of copies, what the others were made from).  That is linear in
+   the group and settles most families.  Rows of groups that still hold several classes form
+   a matrix that is cut into blocks of bounded size, by band and class; pairs of blocks whose
+   bands can reach the similarity are multiplied, accumulating the overlap counts.  Pairs
+   within a class are not looked at, since they cannot change the classes.
 6. Links give the classes (connected components).
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a text of
@@ -199,7 +202,35 @@ def _block_pair(percent: int):
     return apply
 
 
-def join(docs: DataFrame, *, n: int = 4, percent: int = 85, block_grams: int = 150_000) -> DataFrame:
+def _band(percent: int):
+    """Bands of sizes: rows that reach the similarity are in the same or neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100) * 1.000001)).cast("int")
+
+
+def _sizes_reach(percent: int):
+    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+
+
+def _pairs_of_small_groups(rows: DataFrame, in_large: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows whose shared prefix n-grams are as many as their sizes demand.
+
+    in_large (uid, m) counts the large groups of a row, which might add to those seen here.
+    """
+    cell = F.struct("uid", "n", "band")
+    groups = rows.groupBy("s", "g").agg(F.collect_list(cell).alias("c"))
+    fits = lambda x, y, g: (x["uid"] < y["uid"]) & (F.greatest(x["band"], y["band"]) == g) & (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent)
+    pair = lambda x, y: F.struct(x["uid"].alias("a"), y["uid"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"))
+    out = F.flatten(F.transform("c", lambda x: F.transform(F.filter("c", lambda y: fits(x, y, F.col("g"))), lambda y: pair(x, y))))
+    met = groups.select(F.explode(out).alias("p")).select("p.*").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    least = -F.floor(-(F.col("na") + F.col("nb")) * percent / (100 + percent))
+    spare = lambda x: F.col(x) + F.floor(-F.col(x) * percent / 100) + 1 - (F.col(x) - least)
+    big = lambda x, m: in_large.select(F.col("uid").alias(x), F.col("m").alias(m))
+    met = met.join(big("a", "ma"), "a", "left").join(big("b", "mb"), "b", "left")
+    unseen = F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
+    return met.where(F.col("k") + unseen >= F.least(spare("na"), spare("nb"))).select("a", "b")
+
+
+def join(docs: DataFrame, *, n: int = 4, percent: int = 85, few: int = 24, block_grams: int = 150_000) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the least doc_id of its class)."""
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -211,35 +242,42 @@ def join(docs: DataFrame, *, n: int = 4, percent: int = 85, block_grams: int = 1
     sets = meta.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("pk").alias("pk"), F.first("prefix").alias("prefix"))
     sets = scratch.keep(sets.withColumn("uid", F.monotonically_increasing_id()), "sets")
 
-    # columns with at least two rows, and their pivots
-    cells = sets.select("uid", "pk", F.explode("prefix").alias("s"))
-    columns = scratch.keep(cells.groupBy("s").agg(F.min("pk").alias("pivot"), F.min("uid").alias("u0"), F.max("uid").alias("u1")).where("u0 < u1").select("s", "pivot"), "columns")
-    shared = scratch.keep(cells.join(columns, "s").select("s", "uid", "pk", "pivot"), "shared")
-    stars = scratch.keep(shared.where("pk <> pivot").select("pivot", "uid").distinct(), "stars")
-
-    # the sets of the rows that share a column, computed once more from their texts
-    wanted = shared.select("uid").distinct().join(sets.select("uid", "hi", "lo", "first_id"), "uid")
+    # columns with at least two rows, cut into groups of neighbouring size bands
+    cells = sets.select("uid", "pk", "n", F.explode("prefix").alias("s"))
+    columns = cells.groupBy("s").agg(F.min("uid").alias("u0"), F.max("uid").alias("u1")).where("u0 < u1").select("s")
+    columns = scratch.keep(columns, "columns")
+    banded = cells.join(columns, "s").withColumn("band", _band(percent)).select("s", "uid", "pk", "n", "band", F.explode(F.array("band", F.col("band") + 1)).alias("g"))
+    banded = scratch.keep(banded, "banded")
+    groups = banded.groupBy("s", "g").agg(F.count("*").alias("rows"), F.min("pk").alias("pivot")).where("rows > 1")
+    shared = scratch.keep(banded.join(groups, ["s", "g"]), "shared")
+    scratch.drop("banded")
+
+    large = shared.where(F.col("rows") > few)
+    pairs = _pairs_of_small_groups(shared.where(F.col("rows") <= few), large.groupBy("uid").agg(F.count("*").alias("m")), percent)
+    pivots = sets.select(F.col("pk").alias("pivot"), F.col("uid").alias("a"), F.col("n").alias("na"))
+    stars = large.where("pk <> pivot").select("pivot", F.col("uid").alias("b"), F.col("n").alias("nb")).distinct().join(pivots, "pivot").where(_sizes_reach(percent)).select("a", "b")
+    pairs = scratch.keep(pairs.unionAll(stars).distinct(), "pairs")
+
+    # the sets of the rows that are compared, computed once more from their texts
+    wanted = scratch.keep(pairs.select(F.col("a").alias("uid")).unionAll(pairs.select("b")).unionAll(large.select("uid")).distinct().join(sets.select("uid", "hi", "lo", "first_id"), "uid"), "wanted")
     flags = summed_table(wanted.select(F.xxhash64("first_id")).mapInArrow(_flags, COUNTS), FLAG_SLOTS, FLAG_WIDTH)
     flag = sc.broadcast(np.packbits(flags > 0))
     computed = rows.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets_of(n, flag), "hi long, lo long, grams binary")
-    chosen = sets.join(wanted.select("uid"), "uid", "left_semi").select("hi", "lo", "uid", "pk")
-    grams = scratch.keep(computed.join(chosen, ["hi", "lo"]).groupBy("uid", "pk").agg(F.first("grams").alias("grams")), "grams")
-
-    pairs = stars.join(grams.select("uid", F.col("grams").alias("y")), "uid").join(grams.select(F.col("pk").alias("pivot"), F.col("uid").alias("a"), F.col("grams").alias("x")), "pivot")
-    links = scratch.keep(pairs.select("a", F.col("uid").alias("b"), "x", "y").mapInArrow(_linked(percent), "a long, b long"), "links-1")
-    roots = components(links, scratch, "cc1")
-
-    # columns that still hold several classes
-    member = grams.select("uid", F.octet_length("grams").alias("bytes")).join(roots.withColumnRenamed("v", "uid"), "uid", "left").select("uid", (F.col("bytes") / 8).cast("long").alias("n"), F.coalesce("root", "uid").alias("root"))
-    member = scratch.keep(member, "member")
-    classed = shared.select("s", "uid").join(member.select("uid", "root"), "uid")
-    open_columns = classed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("s", "r0")
-    near = scratch.keep(classed.join(open_columns, "s").select(F.col("r0").alias("a"), F.col("root").alias("b")).where("a <> b").distinct(), "near")
-    more = links
-    if not near.isEmpty():
-        family = components(near, scratch, "cc2").select(F.col("v").alias("root"), F.col("root").alias("family"))
-        more = links.unionAll(_residual(member.join(family, "root"), grams, scratch, percent, block_grams))
-    last = components(more, scratch, "cc3").select(F.col("v").alias("uid"), "root")
+    grams = scratch.keep(computed.join(wanted.select("hi", "lo", "uid"), ["hi", "lo"]).groupBy("uid").agg(F.first("grams").alias("grams")), "grams")
+
+    both = pairs.join(grams.select(F.col("uid").alias("b"), F.col("grams").alias("y")), "b").join(grams.select(F.col("uid").alias("a"), F.col("grams").alias("x")), "a")
+    links = scratch.keep(both.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"), "links-1")
+    last = components(links, scratch, "cc1").select(F.col("v").alias("uid"), "root")
+
+    # large groups that still hold several classes
+    classed = large.select("s", "g", "uid", "n").join(last, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    open_groups = classed.groupBy("s", "g").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("uid").alias("u0")).where("r0 < r1").select("s", "g", "u0")
+    left = scratch.keep(classed.join(open_groups, ["s", "g"]).groupBy("u0", "uid").agg(F.first("n").alias("n"), F.first("root").alias("root")), "open")
+    if not left.isEmpty():
+        family = components(left.select(F.col("u0").alias("a"), F.col("uid").alias("b")), scratch, "cc2").select(F.col("v").alias("uid"), F.col("root").alias("family"))
+        members = left.select("uid", "n", "root").distinct().join(family, "uid")
+        more = links.unionAll(_residual(members, grams, scratch, percent, block_grams))
+        last = components(more, scratch, "cc3").select(F.col("v").alias("uid"), "root")
 
     named = sets.select("hi", "lo", "uid", "first_id").join(last, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -264,8 +302,7 @@ def _residual(rows: DataFrame, grams: DataFrame, scratch: Scratch, percent: int,
     A block holds rows of one size band (sizes within a factor of the threshold), about
     block_grams n-grams of them: rows of one large class, or rows of small classes together.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100) * 1.000001)).cast("int")
-    rows = rows.withColumn("band", band)
+    rows = rows.withColumn("band", _band(percent))
     size = rows.groupBy("family", "band", "root").agg(F.sum("n").alias("weight"))
     size = size.withColumn("class", F.when(F.col("weight") >= block_grams // 2, F.col("root")).otherwise(F.lit(-1)))
     cut = size.groupBy("family", "band", "class").agg(F.ceil(F.sum("weight") / float(block_grams)).cast("int").alias("parts"))
