@@ -7,8 +7,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text is handled in blocks of about this many bytes, whatever the Arrow batch holds.
 BLOCK_BYTES = 1 << 20
@@ -201,3 +204,35 @@ def count_tables(counts: np.ndarray, part: int, slots: int) -> Iterator[pa.Recor
     for s, x in enumerate(counts.reshape(slots, -1)):
         if x.any():
             yield count_rows(part, s, x)
+
+
+#: A table of flags by hash, 2**22 of them in 16 slots, broadcast as bits: 512 kB whatever the input.
+FLAG_SLOTS, FLAG_WIDTH = 16, 1 << 18
+
+
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(FLAG_SLOTS * FLAG_WIDTH, dtype=np.uint32)
+    for b in batches:
+        seen[b.column(0).to_numpy() & (len(seen) - 1)] = 1
+    yield from count_tables(seen, TaskContext.get().partitionId(), FLAG_SLOTS)
+
+
+def hash_flags(wanted: DataFrame, key: str) -> np.ndarray:
+    """The flags of the values of a long column, as bytes of bits."""
+    return np.packbits(summed_table(wanted.select(key).mapInArrow(_flagged, COUNTS), FLAG_SLOTS, FLAG_WIDTH) > 0)
+
+
+def split_by_flags(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in wanted, rows whose key is not), by a table of flags of fixed size.
+
+    Only the first need to be shuffled to be joined with wanted.  When the flags fill up,
+    the second part runs empty and all is as without them.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(hash_flags(wanted, key))
+
+    @F.pandas_udf("boolean")
+    def maybe(x: pd.Series) -> pd.Series:
+        at = x.to_numpy(dtype=np.int64) & (FLAG_SLOTS * FLAG_WIDTH - 1)
+        return pd.Series((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return rows.where(maybe(key)), rows.where(~maybe(key))

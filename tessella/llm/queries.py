@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard_join, language_id, line_dedup, packing, token_counts, url_filter
+from . import decontaminate, fingerprints, jaccard_join, language_id, line_dedup, packing, suffix_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,17 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=400)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 RULES = [
     url_filter.Rule("com", "/", "allow"),
     url_filter.Rule("example.com", "/en/", "block"),
@@ -60,7 +71,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_fingerprints, op8_url_filter, op9_jaccard_join, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_fingerprints, op6_suffix_dedup, op8_url_filter, op9_jaccard_join, op10_best_fit_packing)}
 
 OP2_SQL = """
 WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
