@@ -34,13 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import COUNTS, Scratch, combine, count_tables, mix64, sequence_hash, summed_table, utf8_blocks, word_hashes
+from .common import COUNTS, Scratch, combine, count_tables, mix64, sequence_hash, split_by_flags, summed_table, utf8_blocks, word_hashes
 from .graph import components
 
 #: Cells of the table of counts: 2**20 in 16 slots, 4 MB, whatever the input.
 SLOTS, WIDTH = 16, 1 << 16
-#: The table that says which rows' sets are wanted: 2**22 flags, broadcast as bits.
-FLAG_SLOTS, FLAG_WIDTH = 16, 1 << 18
 _U = np.uint64
 
 
@@ -116,21 +114,12 @@ def _described(n: int, percent: int, held):
     return apply
 
 
-def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(FLAG_SLOTS * FLAG_WIDTH, dtype=np.uint32)
-    for b in batches:
-        seen[b.column(0).to_numpy() & (len(seen) - 1)] = 1
-    yield from count_tables(seen, TaskContext.get().partitionId(), FLAG_SLOTS)
-
-
-def _sets_of(n: int, held):
+def _sets_of(n: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(held.value)
         for b in batches:
-            b = b.filter(pa.array(wanted[b.column(0).to_numpy() & (len(wanted) - 1)] != 0))
             for i in range(0, b.num_rows, 500):
                 hi, lo, sets = [], [], []
-                for x in row_sets(b.column(1).slice(i, 500), n):
+                for x in row_sets(b.column(0).slice(i, 500), n):
                     h, w = signature(x)
                     hi.append(h)
                     lo.append(w)
@@ -260,9 +249,8 @@ def join(docs: DataFrame, *, n: int = 4, percent: int = 85, few: int = 24, block
 
     # the sets of the rows that are compared, computed once more from their texts
     wanted = scratch.keep(pairs.select(F.col("a").alias("uid")).unionAll(pairs.select("b")).unionAll(large.select("uid")).distinct().join(sets.select("uid", "hi", "lo", "first_id"), "uid"), "wanted")
-    flags = summed_table(wanted.select(F.xxhash64("first_id")).mapInArrow(_flags, COUNTS), FLAG_SLOTS, FLAG_WIDTH)
-    flag = sc.broadcast(np.packbits(flags > 0))
-    computed = rows.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets_of(n, flag), "hi long, lo long, grams binary")
+    flagged, _ = split_by_flags(rows.select(F.xxhash64("doc_id").alias("h"), "text"), wanted.select(F.xxhash64("first_id").alias("h")), "h")
+    computed = flagged.select("text").mapInArrow(_sets_of(n), "hi long, lo long, grams binary")
     grams = scratch.keep(computed.join(wanted.select("hi", "lo", "uid"), ["hi", "lo"]).groupBy("uid").agg(F.first("grams").alias("grams")), "grams")
 
     both = pairs.join(grams.select(F.col("uid").alias("b"), F.col("grams").alias("y")), "b").join(grams.select(F.col("uid").alias("a"), F.col("grams").alias("x")), "a")
