@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard_join, language_id, line_dedup, packing, suffix_dedup, token_counts, url_filter
+from . import decontaminate, fingerprints, jaccard_join, language_id, line_dedup, packing, pii, suffix_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,15 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of_kind = lambda k: lambda s: s["kind"] == k
+    counts = [F.size(F.filter("spans", of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 RULES = [
     url_filter.Rule("com", "/", "allow"),
     url_filter.Rule("example.com", "/en/", "block"),
@@ -71,7 +80,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_fingerprints, op6_suffix_dedup, op8_url_filter, op9_jaccard_join, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_fingerprints, op6_suffix_dedup, op7_pii, op8_url_filter, op9_jaccard_join, op10_best_fit_packing)}
 
 OP2_SQL = """
 WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
