@@ -160,36 +160,35 @@ def column_or_null(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def summed_table(partials: DataFrame, slots: int, width: int, fan_in: int = 64) -> np.ndarray:
-    """Sums per-task count tables on the executors and returns the total, of slots * width uint32 cells.
+def summed_table(partials: DataFrame, slots: int, width: int, *, bits: bool = False, fan_in: int = 64) -> np.ndarray:
+    """Adds up per-task tables on the executors and returns the total: slots * width uint32 counts, or bytes of bits that are or-ed.
 
-    partials has rows (part int, slot int, counts binary).  Each level adds up the tables of fan_in
-    tasks in streaming, so neither a task nor the driver ever holds more than one table.
+    partials has rows (part int, slot int, counts binary).  Each level brings the tables of
+    fan_in tasks to one, in streaming, until one table is left, so a task and the driver
+    hold one table each.
     """
+    kind = np.uint8 if bits else np.uint32
+
+    def together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a | b if bits else np.minimum(a.astype(np.uint64) + b, 0xFFFFFFFF).astype(np.uint32)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        part = 0
+        total: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            for p, s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                counts = np.frombuffer(x.as_buffer(), dtype=np.uint32)
-                part = p
-                if s in total:
-                    big = total[s].astype(np.uint64) + counts
-                    total[s] = np.minimum(big, 0xFFFFFFFF).astype(np.uint32)
-                else:
-                    total[s] = counts.copy()
-        for s, x in total.items():
-            yield count_rows(part // fan_in, s, x)
+            for key, x in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), b.column(2), strict=True):
+                counts = np.frombuffer(x.as_buffer(), dtype=kind)
+                total[key] = together(total[key], counts) if key in total else counts.copy()
+        for (p, s), x in total.items():
+            yield count_rows(p, s, x)
 
     tasks = partials.rdd.getNumPartitions()
     while tasks > 1:
         tasks = -(-tasks // fan_in)
-        partials = partials.repartition(tasks, "part").mapInArrow(add, COUNTS)
-    out = np.zeros((slots, width), dtype=np.uint64)
+        partials = partials.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).repartition(tasks, "part").mapInArrow(add, COUNTS)
+    out = np.zeros((slots, width), dtype=kind)
     for r in partials.collect():
-        out[r["slot"]] += np.frombuffer(r["counts"], dtype=np.uint32)
-    return np.minimum(out, 0xFFFFFFFF).astype(np.uint32).reshape(-1)
+        out[r["slot"]] = together(out[r["slot"]], np.frombuffer(r["counts"], dtype=kind))
+    return out.reshape(-1)
 
 
 COUNTS = "part int, slot int, counts binary"
@@ -206,20 +205,20 @@ def count_tables(counts: np.ndarray, part: int, slots: int) -> Iterator[pa.Recor
             yield count_rows(part, s, x)
 
 
-#: A table of flags by hash, 2**22 of them in 16 slots, broadcast as bits: 512 kB whatever the input.
-FLAG_SLOTS, FLAG_WIDTH = 16, 1 << 18
+#: A table of flags by hash, 2**22 bits, 512 kB whatever the input.
+FLAGS = 1 << 22
 
 
 def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(FLAG_SLOTS * FLAG_WIDTH, dtype=np.uint32)
+    seen = np.zeros(FLAGS, dtype=bool)
     for b in batches:
-        seen[b.column(0).to_numpy() & (len(seen) - 1)] = 1
-    yield from count_tables(seen, TaskContext.get().partitionId(), FLAG_SLOTS)
+        seen[b.column(0).to_numpy() & (FLAGS - 1)] = True
+    yield from count_tables(np.packbits(seen), TaskContext.get().partitionId(), 1)
 
 
 def hash_flags(wanted: DataFrame, key: str) -> np.ndarray:
     """The flags of the values of a long column, as bytes of bits."""
-    return np.packbits(summed_table(wanted.select(key).mapInArrow(_flagged, COUNTS), FLAG_SLOTS, FLAG_WIDTH) > 0)
+    return summed_table(wanted.select(key).mapInArrow(_flagged, COUNTS), 1, FLAGS // 8, bits=True)
 
 
 def split_by_flags(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -232,7 +231,7 @@ def split_by_flags(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFr
 
     @F.pandas_udf("boolean")
     def maybe(x: pd.Series) -> pd.Series:
-        at = x.to_numpy(dtype=np.int64) & (FLAG_SLOTS * FLAG_WIDTH - 1)
+        at = x.to_numpy(dtype=np.int64) & (FLAGS - 1)
         return pd.Series((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
 
     return rows.where(maybe(key)), rows.where(~maybe(key))
