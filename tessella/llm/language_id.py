@@ -100,7 +100,7 @@ def _counter(langs: tuple[str, ...]):
     return count
 
 
-def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_lang: int = 4000, max_langs: int = 64, smoothing: float = 0.5) -> Model:
+def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_lang: int = 4000, max_langs: int = 64, smoothing: float = 0.05) -> Model:
     """Fits on a sample of at most about rows_per_lang rows of each language; more than max_langs languages are an error."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k"))
     seen = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy("l").limit(max_langs + 1).collect()
