@@ -35,7 +35,7 @@ def segment(messages: DataFrame, *, most_pinned: int = 4) -> DataFrame:
 def classify(messages: DataFrame, *, most_pinned: int = 4) -> DataFrame:
     """bucket of tagged messages (kind may be pinned, summary, full_turn or file_ledger): by tag, pinned first; the rest is new activity."""
     in_order = Window.partitionBy("session").orderBy("seq")
-    leads = F.sum(((F.col("role") != "system") | F.col("kind").isin("summary", "full_turn", "file_ledger")).cast("long")).over(in_order) == 0
+    leads = F.sum(((F.col("role") != "system") | F.coalesce("kind", F.lit("")).isin("summary", "full_turn", "file_ledger")).cast("long")).over(in_order) == 0
     pinned = (F.col("kind") == "pinned") | (leads & (F.row_number().over(in_order) <= most_pinned))
     tagged = F.when(F.col("kind").isin("summary", "full_turn", "file_ledger"), F.col("kind")).otherwise("new_activity")
     return messages.withColumn("bucket", F.when(F.coalesce(pinned, F.lit(False)), "pinned").otherwise(tagged))

@@ -44,13 +44,12 @@ class SessionStore:
         old.unionByName(rows.select(*old.columns)).write.parquet(f"{self.root}/state/v{version:020d}")
 
     def state(self) -> DataFrame:
-        try:
-            found = self.spark.read.format("binaryFile").load(f"{self.root}/state/*/_SUCCESS").select(F.max("path")).first()[0]
-        except AnalysisException:
-            found = None
-        if not found:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/state/*/_SUCCESS")
+        complete = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        versions = [s.getPath().getParent().toString() for s in complete]
+        if not versions:
             return self.spark.createDataFrame([], self.STATE)
-        return self.spark.read.schema(self.STATE).parquet(found.rsplit("/", 1)[0])
+        return self.spark.read.schema(self.STATE).parquet(max(versions))
 
     def append_audit(self, rows: DataFrame) -> None:
         rows.write.mode("append").json(f"{self.root}/audit")

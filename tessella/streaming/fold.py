@@ -6,7 +6,8 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "session long, kind string, turn long, seq long, role string, text string"
@@ -67,6 +68,5 @@ def fold_stream(messages: DataFrame, size: int, *, most_pinned: int = 4) -> Data
 
 def current(changes: DataFrame) -> DataFrame:
     """The compacted histories that a changelog stands for: a summary replaces its turn."""
-    done = changes.where("kind = 'summary'").select("session", "turn").distinct()
-    full = changes.where("kind = 'full_turn'").join(done, ["session", "turn"], "left_anti").select(*changes.columns)
-    return full.unionByName(changes.where("kind <> 'full_turn'"))
+    replaced = F.max((F.col("kind") == "summary").cast("int")).over(Window.partitionBy("session", "turn")) == 1
+    return changes.withColumn("replaced", replaced).where("NOT (replaced AND kind = 'full_turn')").drop("replaced")
