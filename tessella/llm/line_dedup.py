@@ -7,10 +7,10 @@ Repeated windows are found by a map-side combined minimum, so a line that half o
 documents share costs one row for each task; the join back to the occurrences is skew-safe.
 
 Defined results: a null text stays null, and a text of fewer than three lines has no window
-and stays as it is; a text whose lines all go becomes empty; rows are told apart by doc_id,
-so repeated rows of one id count as one document and are cut alike; rows with a null doc_id
-come last; the text's column is replaced in place and other columns are carried along
-whatever their names.
+and stays as it is; a text whose lines all go becomes empty; rows are told apart by doc_id
+and text, so repeated rows count as one document and are cut alike; rows with a null doc_id
+come last, and texts of one id in the order of a hash; the text's column is replaced in
+place and other columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -41,20 +41,27 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _text_id(key: str, text: str) -> Column:
+    return F.xxhash64(F.col(key), F.col(text))
+
+
 def covered_lines(docs: DataFrame, scratch: Scratch, *, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """(k, starts): for each doc_id with repeats, the line numbers at which windows seen earlier start."""
-    rows = docs.select(F.col(key).alias("k"), _windows(F.col(text), size).alias("w")).where("w is not null")
-    cells = scratch.keep(rows.select("k", F.posexplode("w").alias("pos", "w")).select("k", F.col("pos").alias("pos"), "w.h1", "w.h2"), "windows")
-    # a window's least id, and its least place there
-    places = cells.groupBy("h1", "h2", "k").agg(F.min("pos").alias("p0"), F.max("pos").alias("p1"))
-    first = places.groupBy("h1", "h2").agg(
+    """(k, tid, starts): for each document with repeats, the line numbers at which windows seen earlier start."""
+    rows = docs.select(F.col(key).alias("k"), _text_id(key, text).alias("tid"), _windows(F.col(text), size).alias("w")).where("w is not null")
+    cells = scratch.keep(rows.select("k", "tid", F.posexplode("w").alias("pos", "w")).select("k", "tid", "pos", "w.h1", "w.h2"), "windows")
+    # a window's least id, the first text of that id, and the first place there
+    texts = cells.groupBy("h1", "h2", "k", "tid").agg(F.min("pos").alias("p0"), F.max("pos").alias("p1"))
+    ids = texts.groupBy("h1", "h2", "k").agg(F.min("tid").alias("t0"), F.min_by("p0", "tid").alias("p0"), ((F.count("*") > 1) | F.max(F.col("p0") < F.col("p1"))).alias("again"))
+    first = ids.groupBy("h1", "h2").agg(
         F.min("k").alias("k0"),
+        F.coalesce(F.min_by("t0", "k"), F.min("t0")).alias("t0"),
         F.coalesce(F.min_by("p0", "k"), F.min("p0")).alias("p0"),
-        ((F.count("*") > 1) | F.max(F.col("p0") < F.col("p1"))).alias("again"),
+        ((F.count("*") > 1) | F.max("again")).alias("again"),
     )
-    ids = scratch.keep(first.where("again").drop("again"), "repeated")
-    later = cells.join(ids, ["h1", "h2"]).where(~(F.col("k").eqNullSafe(F.col("k0")) & (F.col("pos") == F.col("p0"))))
-    return later.groupBy("k").agg(F.collect_set("pos").alias("starts"))
+    first = scratch.keep(first.where("again").drop("again"), "repeated")
+    own = F.col("k").eqNullSafe(F.col("k0")) & (F.col("tid") == F.col("t0")) & (F.col("pos") == F.col("p0"))
+    later = cells.join(first, ["h1", "h2"]).where(~own)
+    return later.groupBy("k", "tid").agg(F.collect_set("pos").alias("starts"))
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -66,8 +73,8 @@ def annotate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size:
     """One row for each of docs: its columns as struct r, the text that is kept, n_lines and n_removed."""
     scratch = Scratch(docs.sparkSession, "lines")
     starts = covered_lines(docs, scratch, key=key, text=text, size=size)
-    rows = docs.select(F.struct("*").alias("r"), F.col(key).alias("k")).alias("d")
-    both = rows.join(starts.alias("s"), F.col("d.k").eqNullSafe(F.col("s.k")), "left").select("r", "starts")
+    rows = docs.select(F.struct("*").alias("r"), F.col(key).alias("k"), _text_id(key, text).alias("tid")).alias("d")
+    both = rows.join(starts.alias("s"), (F.col("d.tid") == F.col("s.tid")) & F.col("d.k").eqNullSafe(F.col("s.k")), "left").select("r", "starts")
     own = F.col(f"r.{quoted(text)}")
     lines = F.split(own, "\n")
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (size - 1)))))
