@@ -327,12 +327,13 @@ def remove_repeats(docs: DataFrame, *, size: int = 400, gram: int = 64, chunk: i
     cells = scratch.keep(rows.select("key", "text", "tid").mapInArrow(_anchored(size, gram), CELLS), "anchors")
 
     # anchors that occur twice, and their distinct contexts
-    twice = cells.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # (kept as tables, so that a join with them can split an anchor that many documents share)
+    twice = scratch.keep(cells.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "twice")
     held = scratch.keep(cells.join(twice, "a"), "held")
     scratch.drop("anchors")
     some = held.groupBy("a", "c1", "c2").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("key", "tid", "s0", "s1")])
     some = scratch.keep(some, "contexts")
-    several = some.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
+    several = scratch.keep(some.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "several")
     compare = some.join(several, "a")
     want = F.struct("a", "c1", "c2", "s0", "s1", (F.col("n") == 1).alias("once"), (F.col("m") > most_contexts).alias("many"))
     wants = scratch.keep(compare.groupBy("key", "tid").agg(F.collect_list(want).alias("want")), "wants")
