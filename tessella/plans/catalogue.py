@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reasoning import normal_level, request_params
 from ..functions.text import archive_key, first_command, json_object, looks_like_path, read_paths, shell_words
-from ..operators import archive, graph, retrieval, similarity, snapshots, touches, turns
+from ..operators import archive, graph, requests, retrieval, similarity, snapshots, touches, turns
 from ..sources import code, providers
 from ..sources.tables import files, links, messages, table, tool_calls
 from ..streaming import clock
@@ -147,6 +147,21 @@ def fresh_suffix(spark, sf_dir):
     return turns.fresh(rows, rows.where("session % 2 = 0").select("session", F.lit(2).alias("folded")).distinct())
 
 
+@query(f"""WITH {MARKED}, lead AS (SELECT session, string_agg(text, chr(10) || chr(10) ORDER BY seq) FILTER (talk = 0) AS host FROM counted GROUP BY session)
+SELECT session, -1 AS seq, 'system' AS role, CASE WHEN host IS NULL THEN 'ours' ELSE 'ours' || chr(10) || chr(10) || host END AS text FROM lead
+UNION ALL SELECT session, seq, role, text FROM counted WHERE talk > 0""")
+def system_override(spark, sf_dir):
+    return requests.override_system(messages(spark, sf_dir), "ours", "prefix")
+
+
+@query("""SELECT conv_id AS session, turn AS seq, role, text FROM conversations UNION ALL
+SELECT conv_id, max(turn) + k, CASE k WHEN 1 THEN 'assistant' ELSE 'user' END, CASE k WHEN 1 THEN '' ELSE 'please continue.' END FROM conversations, (VALUES (1), (2)) t(k) WHERE conv_id % 3 = 0 GROUP BY conv_id, k""")
+def nudged_requests(spark, sf_dir):
+    rows = messages(spark, sf_dir)
+    empty = rows.where("session % 3 = 0").select("session", F.lit("").alias("text")).distinct()
+    return requests.nudged(rows, empty)
+
+
 # A: tool calls
 
 CALLS = """
@@ -537,12 +552,31 @@ def _source(spark):
     return spark.createDataFrame(list(SOURCE.items()), "file string, content string")
 
 
-@query()
+ENTITY_ROWS = [
+    ("pkg/a.py", "module", 1, 8, "", ""), ("pkg/a.py::Base", "class", 3, 5, "", "helper"), ("pkg/a.py::Base.run", "method", 4, 5, "", "helper"), ("pkg/a.py::helper", "function", 7, 8, "", "join,str"),
+    ("pkg/b.py", "module", 1, 11, "", ""), ("pkg/b.py::Child", "class", 3, 11, "Base", "helper,helper,stop,inner"), ("pkg/b.py::Child.run", "method", 4, 7, "", "helper,helper,stop"),
+    ("pkg/b.py::Child.stop", "method", 8, 11, "", "inner"), ("pkg/b.py::Child.inner", "function", 9, 10, "", ""),
+]
+EDGE_ROWS = [
+    ("pkg/a.py", "pkg/a.py::Base", "contains"), ("pkg/a.py", "pkg/a.py::helper", "contains"), ("pkg/a.py::Base", "pkg/a.py::Base.run", "contains"),
+    ("pkg/b.py", "pkg/b.py::Child", "contains"), ("pkg/b.py::Child", "pkg/b.py::Child.run", "contains"), ("pkg/b.py::Child", "pkg/b.py::Child.stop", "contains"), ("pkg/b.py::Child", "pkg/b.py::Child.inner", "contains"),
+    ("pkg/a.py::Base", "pkg/a.py::helper", "calls"), ("pkg/a.py::Base.run", "pkg/a.py::helper", "calls"),
+    ("pkg/b.py::Child", "pkg/a.py::helper", "calls"), ("pkg/b.py::Child", "pkg/a.py::helper", "calls"), ("pkg/b.py::Child.run", "pkg/a.py::helper", "calls"), ("pkg/b.py::Child.run", "pkg/a.py::helper", "calls"),
+    ("pkg/b.py::Child", "pkg/b.py::Child.stop", "calls"), ("pkg/b.py::Child.run", "pkg/b.py::Child.stop", "calls"), ("pkg/b.py::Child", "pkg/b.py::Child.inner", "calls"), ("pkg/b.py::Child.stop", "pkg/b.py::Child.inner", "calls"),
+    ("pkg/b.py::Child", "pkg/a.py::Base", "inherits"),
+]
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}" for v in r) + ")" for r in rows) + f") t({names})"
+
+
+@query(_values(ENTITY_ROWS, "node_id, kind, span_start, span_end, bases, calls"))
 def code_entities(spark, sf_dir):
     return code.parse(_source(spark)).select("node_id", "kind", "span_start", "span_end", F.array_join("bases", ",").alias("bases"), F.array_join("calls", ",").alias("calls"))
 
 
-@query()
+@query(_values(EDGE_ROWS, "src, dst, type"))
 def code_edges(spark, sf_dir):
     return graph.structural_edges(code.parse(_source(spark)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as tx
 from tessella.functions.reasoning import normal_level, request_params
 from tessella.model import CompactionConfig
-from tessella.operators import archive, enrich, graph, retrieval, similarity, snapshots, touches, turns
+from tessella.operators import archive, enrich, graph, requests, retrieval, similarity, snapshots, touches, turns
 from tessella.sources import code, providers
 from tessella.sources.store import SessionStore
 
@@ -211,3 +211,15 @@ def test_enrichment_degrades(spark):
 def test_line_spans_and_json(spark):
     r = spark.range(1).select(tx.lines(F.lit("a\nb\r\nc"), F.lit(2), F.lit(9)).alias("x"), tx.lines(F.lit(None), F.lit(1), F.lit(2)).alias("y"), tx.session_key(F.lit("a b/c")).alias("z")).first()
     assert (r["x"], r["y"], r["z"]) == ("b\nc", "", "a_b_c")
+
+
+def test_system_override_and_empty_answers(spark):
+    rows = spark.createDataFrame([(1, 0, "system", "a <env>x</env>"), (1, 1, "system", "b"), (1, 2, "user", "u"), (1, 3, "system", "late"), (2, 0, "user", "v")], "session long, seq long, role string, text string")
+    want = {"replace": "P", "prefix": "P\n\na <env>x</env>\n\nb", "suffix": "a <env>x</env>\n\nb\n\nP", "prefix_env": "P\n\n<env>x</env>"}
+    for mode, text in want.items():
+        got = {(r["session"], r["seq"]): r["text"] for r in requests.override_system(rows, "P", mode).collect()}
+        assert got == {(1, -1): text, (1, 2): "u", (1, 3): "late", (2, -1): "P", (2, 0): "v"}
+    with pytest.raises(ValueError):
+        requests.override_system(rows, "P", "other")
+    r = spark.range(1).select(requests.is_empty(F.lit(" "), F.array()).alias("a"), requests.is_empty(F.lit(" "), F.array(F.lit("x"))).alias("b"), requests.is_turn(F.array(F.lit("t"))).alias("c")).first()
+    assert (r["a"], r["b"], r["c"]) == (True, False, True)
