@@ -32,8 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the least doc_id."""
-    return jaccard_join.representatives(docs)
+    """One document of each class of near copies (word five-grams, similarity 0.8): the one with the least doc_id."""
+    return jaccard_join.representatives(docs, n=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -52,5 +54,23 @@ def test_pipeline_stages_against_brute_force(spark, rows, docs, tmp_path):
     test_packing.check(out, listed(four), 2048)
 
 
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    """Scattered edits of single words: 2 of 100 words and 11 of 500 reach 0.8 on five words, not 0.85 on four."""
+    rng = random.Random(3)
+    rows = []
+    for n, edits in ((100, 2), (100, 3), (500, 11), (500, 13)):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        rows.append((len(rows), " ".join(words), "en", "s", 0))
+        for k in range(edits):
+            words[(2 * k + 1) * n // (2 * edits)] = f"new{k}"
+        rows.append((len(rows), " ".join(words), "en", "s", 0))
+    sets = [test_jaccard_join.shingles(r[1], 5) for r in rows]
+    near = {j for j in range(len(rows)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert near == {1, 5}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, SF)
+    assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - near
+
+
 def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
