@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,51 @@ def undirected_weights(edges: DataFrame) -> DataFrame:
     return pairs.agg(F.sum("weight").alias("weight"))
 
 
+#: Pages of a block: two blocks make a matrix of at most about 2048 x 2048 counts, 16 MB.
+BLOCK_PAGES = 2048
+
+
+def _product(key: tuple, table: pa.Table) -> pa.Table:
+    """Rows (block, page_id, target) of two blocks, or of one with itself: pairs of pages and the targets they share."""
+    i, j = (k.as_py() for k in key)
+    block = table["block"].to_numpy()
+    page, target = table["page_id"].to_numpy(), table["target"].combine_chunks().dictionary_encode().indices.to_numpy()
+    sides = []
+    for own in (i, j):
+        at = block == own
+        pages, row = np.unique(page[at], return_inverse=True)
+        o = np.argsort(target[at], kind="stable")
+        sides.append((pages, row[o], target[at][o]))
+    (left, lr, lt), (right, rr, rt) = sides
+    count = np.zeros((len(left), len(right)), dtype=np.int32)
+    targets, start = np.unique(lt, return_index=True)
+    ends = np.append(start[1:], len(lt))
+    r0, r1 = np.searchsorted(rt, targets, side="left"), np.searchsorted(rt, targets, side="right")
+    for k in np.flatnonzero(r1 > r0):
+        count[np.ix_(lr[start[k] : ends[k]], rr[r0[k] : r1[k]])] += 1
+    if i == j:
+        count = np.triu(count, 1)
+    x, y = np.nonzero(count)
+    a, b = left[x], right[y]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "weight": count[x, y].astype(np.int64)})
+
+
+def shared_targets(rows: DataFrame, *, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """(a, b, weight) with a < b: pairs of pages and how many targets they share; rows are (page_id, target).
+
+    The product of the page by target matrix with its transpose, by pairs of blocks of pages.
+    A target that many pages name is spread over all tasks, and a pair is counted in one task,
+    so no pair is shuffled.
+    """
+    rows = rows.where(F.col("page_id").isNotNull() & F.col("target").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), "target").distinct()
+    n = rows.agg(F.approx_count_distinct("page_id")).first()[0]
+    blocks = max(16, -(-n // block_pages))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("page_id"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "page_id", "target")
+    return dealt.groupBy("i", "j").applyInArrow(_product, "a long, b long, weight long")
+
+
 def hybrid_weights(structural: DataFrame, semantic: DataFrame, *, structural_weight: float = 1.0, similarity_weight: float = 1.0) -> DataFrame:
     """Structural edges (src, dst), each of one weight, and semantic edges (src, dst, weight) as one weighted graph."""
     one = structural.select("src", "dst", F.lit(structural_weight).alias("weight"))

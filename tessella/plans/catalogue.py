@@ -531,12 +531,7 @@ def concept_index(spark, sf_dir):
 few AS (SELECT target FROM l GROUP BY target HAVING count(*) <= 50)
 SELECT x.page_id AS a, y.page_id AS b, count(*) AS weight FROM l x JOIN l y USING (target) JOIN few USING (target) WHERE x.page_id < y.page_id GROUP BY 1, 2""")
 def shared_target_edges(spark, sf_dir):
-    rows = links(spark, sf_dir)
-    # a target that more than 50 pages name ties nothing together: that is the projection's definition, not a cap on work
-    few = rows.groupBy("target").agg(F.count("*").alias("k")).where("k <= 50").select("target")
-    rows = rows.join(few, "target")
-    pairs = rows.alias("x").join(rows.alias("y"), "target").where("x.page_id < y.page_id")
-    return pairs.groupBy(F.col("x.page_id").alias("a"), F.col("y.page_id").alias("b")).agg(F.count("*").alias("weight"))
+    return graph.shared_targets(links(spark, sf_dir))
 
 
 # B: code

@@ -1,10 +1,14 @@
 """Every registered query against its SQL oracle."""
 
+import random
+
 import duckdb
 import pytest
 
 import __spark_entry__
+from tessella.operators import graph
 from tessella.plans import catalogue
+from tessella.sources.tables import links
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,6 +37,20 @@ def test_query(spark, con, name):
     assert listed(want, sorted(want.columns)) == listed(got, sorted(want.columns))
 
 
+def test_shared_targets_of_many_pages(spark, tmp_path):
+    """A target that 70 pages name ties all of them, whatever the blocks."""
+    rng = random.Random(5)
+    named = {p: {"/hot"} if p < 70 else set() for p in range(90)}
+    for own in named.values():
+        own.update(f"/t{rng.randrange(30)}" for _ in range(rng.randrange(4)))
+    rows = [(p, "".join(f'<a href="{t}">x</a>' for t in sorted(own) * 2)) for p, own in named.items()] + [(None, '<a href="/hot">x</a>'), (3, '<a href="/hot"><a href="/t1">')]
+    named[3].add("/t1")
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = sorted((a, b, len(named[a] & named[b])) for a in named for b in named if a < b and named[a] & named[b])
+    assert sorted(map(tuple, catalogue.QUERIES["shared_target_edges"](spark, str(tmp_path)).collect())) == want
+    assert sorted(map(tuple, graph.shared_targets(links(spark, str(tmp_path)), block_pages=7).collect())) == want
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
