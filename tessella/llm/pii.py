@@ -152,8 +152,17 @@ class Weights:
     pair: np.ndarray  # link type x labels x labels
 
 
-def marginals(f: Field, w: Weights, observed: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """Label marginals of every candidate by loopy sum-product; observed holds a label or -1."""
+#: A message that changes by less than this has settled.
+SETTLED = 1e-4
+
+
+def marginals(f: Field, w: Weights, observed: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """Label marginals of every candidate by loopy sum-product; observed holds a label or -1.
+
+    Rounds go on until every message has settled; without rounds, their bound grows with the
+    number of candidates, so that evidence gets through a chain of any length.  A round looks
+    only at messages that still change or whose source does, so a long chain costs its length.
+    """
     unary = f.shape @ w.shape
     held = observed >= 0
     unary[held] = -50.0
@@ -167,18 +176,28 @@ def marginals(f: Field, w: Weights, observed: np.ndarray, rounds: int = 20) -> n
     pair = w.pair[kind]
     pair[len(f.links) :] = pair[len(f.links) :].transpose(0, 2, 1)
     message = np.zeros((len(src), len(LABELS)))
-    for _ in range(rounds):
-        belief = unary.copy()
-        np.add.at(belief, dst, message)
-        out = belief[src] - message[back]
-        x = out[:, :, None] + pair
+    belief = unary.copy()
+    every = np.arange(len(src))
+    live = every
+    for _ in range(200 + 8 * len(unary) if rounds is None else rounds):
+        out = belief[src[live]] - message[back[live]]
+        x = out[:, :, None] + pair[live]
         top = x.max(axis=1)
         new = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
         new -= new.max(axis=1, keepdims=True)
-        change = np.abs(new - message).max()
-        message = 0.5 * message + 0.5 * new  # damped, so that loops settle
-        if change < 1e-4:
+        step = new - message[live]
+        change = np.abs(step).max(axis=1)
+        if len(live) == len(src) and change.max() < SETTLED:
             break
+        message[live] += 0.5 * step  # damped, so that loops settle
+        np.add.at(belief, dst[live], 0.5 * step)
+        moving = np.zeros(len(src), bool)
+        moving[live] = change >= SETTLED / 10
+        moved = np.zeros(len(unary), bool)
+        moved[dst[moving]] = True
+        live = np.flatnonzero(moving | moved[src])
+        if not len(live):  # small changes may have added up: all are looked at once more
+            live = every
     belief = unary.copy()
     np.add.at(belief, dst, message)
     return _softmax(belief)

@@ -64,6 +64,22 @@ def test_message_passing_equals_enumeration_on_a_tree():
     assert np.allclose(pii.marginals(f, w, np.full(n, -1), rounds=200), p, atol=1e-3)
 
 
+def test_evidence_goes_through_long_chains():
+    """One base span and many loose mentions of its digits after it: the label reaches the last one."""
+    for n in (60, 1500):
+        shape = np.zeros((n + 1, pii.SHAPES))
+        links = np.array([(k, k + 1, kind) for k in range(n) for kind in (0, 1)], np.int64)
+        f = pii.Field([(k, k) for k in range(n + 1)], np.array([0] + [-1] * n), shape, links)
+        pair = np.zeros((3, 5, 5))
+        pair[1] = 6 * np.eye(5)
+        observed = np.where(f.base >= 0, f.base + 1, -1)
+        p = pii.marginals(f, pii.Weights(np.zeros((pii.SHAPES, 5)), pair), observed)
+        # the exact marginals of a chain: powers of its transition matrix
+        t = np.exp(pair[1]) / np.exp(pair[1]).sum(axis=1, keepdims=True)
+        want = np.stack([np.linalg.matrix_power(t, k)[1] for k in range(n + 1)])
+        assert np.allclose(p, want, atol=1e-2)
+
+
 def test_edges(docs, rows, empty):
     out = pii.find(docs, pii.fit(docs)).collect()
     assert len(out) == len(rows)
