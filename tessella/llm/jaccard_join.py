@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import COUNTS, Scratch, combine, count_tables, mix64, sequence_hash, split_by_flags, summed_table, utf8_blocks, word_hashes
 from .graph import components
@@ -219,8 +220,8 @@ def _pairs_of_small_groups(rows: DataFrame, in_large: DataFrame, percent: int) -
     return met.where(F.col("k") + unseen >= F.least(spare("na"), spare("nb"))).select("a", "b")
 
 
-def join(docs: DataFrame, *, n: int = 4, percent: int = 85, few: int = 24, block_grams: int = 150_000) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id (the least doc_id of its class)."""
+def _classes(docs: DataFrame, n: int, percent: int, few: int = 24, block_grams: int = 150_000) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, n, hi, lo), and their distinct sets that aren't empty: hi, lo, first_id, root (one for each class), component_id."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     scratch = Scratch(spark, "jaccard")
@@ -269,19 +270,45 @@ def join(docs: DataFrame, *, n: int = 4, percent: int = 85, few: int = 24, block
 
     named = sets.select("hi", "lo", "uid", "first_id").join(last, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = scratch.keep(named.join(names, "root").select("hi", "lo", "component_id"), "named")
-    slim = meta.select("doc_id", "n", "hi", "lo")
-    found = slim.where("n > 0").join(named, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = scratch.keep(named.join(names, "root").select("hi", "lo", "first_id", "root", "component_id"), "named")
+    return meta.select("doc_id", "n", "hi", "lo"), named
+
+
+def join(docs: DataFrame, *, n: int = 4, percent: int = 85, few: int = 24, block_grams: int = 150_000) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id (the least doc_id of its class)."""
+    slim, named = _classes(docs, n, percent, few, block_grams)
+    found = slim.where("n > 0").join(named.select("hi", "lo", "component_id"), ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionAll(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _identified(n: int, at: int):
+    """The rows of a table, with the 128 bits of the set of column at."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [signature(x) if len(x) else (None, None) for x in row_sets(b.column(at), n)]
+            bits = [pa.array([s[k] for s in own], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *bits], names=[*b.schema.names, "__hi", "__lo"])
+
+    return apply
+
+
 def representatives(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of docs, all columns, that stand for their class: those with its least doc_id, repeated rows once.
+    """The rows of docs, all columns, that stand for their class: one row with its least doc_id for each.
 
-    Rows without an id stay if their class has no id at all, equal texts once.
+    Of a class without ids one row stays as well.  Rows are picked by id and set, so that
+    neither rows without an id nor other texts of a repeated id stay beside them.  Blank texts
+    have no class and stay, repeated rows once.
     """
-    first = join(docs, n=n, percent=percent).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    _, named = _classes(docs, n, percent)
+    heads = named.where(F.col("first_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("first_id", "hi", "lo")).alias("h"))
+    heads = heads.select(F.col("h.first_id").alias("__first"), F.col("h.hi").alias("__h"), F.col("h.lo").alias("__l"))
+    schema = StructType([*docs.schema.fields, StructField("__hi", LongType()), StructField("__lo", LongType())])
+    rows = docs.mapInArrow(_identified(n, docs.columns.index("text")), schema)
+    same = F.col("doc_id").eqNullSafe(F.col("__first")) & (F.col("__hi") == F.col("__h")) & (F.col("__lo") == F.col("__l"))
+    held = rows.where("__hi is not null").join(heads, same, "left_semi")
+    one = held.groupBy("doc_id", "__hi", "__lo").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "text").alias("__row")).select("__row.*")
+    return one.unionAll(rows.where("__hi is null").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id", "text"]))
 
 
 def _residual(rows: DataFrame, grams: DataFrame, scratch: Scratch, percent: int, block_grams: int) -> DataFrame:

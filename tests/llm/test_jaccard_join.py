@@ -75,6 +75,19 @@ def test_families_on_both_sides_of_the_threshold(spark):
     assert found(docs, few=1, block_grams=300) == brute(rows)
 
 
+def test_one_representative_of_each_class(spark):
+    """Whatever ids are missing or repeated: rows without an id, near copies without any, one id with several texts."""
+    rng = random.Random(11)
+    a, b, c, d, e = (prose(rng, 90, 200) for _ in range(5))
+    near = lambda t: t + " zzz"
+    rows = [(1, a), (None, a), (None, near(a)), (None, b), (None, near(b)), (None, b), (2, c), (2, d), (1, d), (3, e), (3, near(e)), (3, e.upper()), (4, ""), (None, " "), (None, None), (None, None)]
+    assert jj.reaches(len(shingles(a) & shingles(near(a))), len(shingles(a)), len(shingles(near(a))), 85)
+    kept = [(r["doc_id"], r["text"]) for r in jj.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    groups = [{(1, a)}, {(None, b), (None, near(b))}, {(2, c)}, {(1, d)}, {(3, e), (3, near(e)), (3, e.upper())}, {(4, "")}, {(None, " ")}, {(None, None)}]
+    assert [sum(k in g for k in kept) for g in groups] == [1] * len(groups)
+    assert len(kept) == len(groups)
+
+
 def test_overlap_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 40, 15)).astype(np.uint64) for _ in range(12)]
