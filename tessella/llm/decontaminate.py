@@ -93,7 +93,7 @@ def passage_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]
 class Items:
     """A block of benchmark items, ready for search."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     n: np.ndarray
     k: np.ndarray
     need: np.ndarray
@@ -128,7 +128,7 @@ def prepare(ids: list, texts: list[str | None], similarity: float, tables: int,
         grams[q] = (h[o], item[o], place[o])
     keys = table_keys(words, n, tables, samples).reshape(-1) if len(known) else np.zeros(0, _U)
     o = np.argsort(keys, kind="stable")
-    return Items(np.array([ids[r] for r in known], dtype=np.int64), n, k, need, words, grams, keys[o], np.repeat(np.arange(len(known)), tables)[o])
+    return Items([ids[r] for r in known], n, k, need, words, grams, keys[o], np.repeat(np.arange(len(known)), tables)[o])
 
 
 def windows(items: Items, words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +217,7 @@ def _searcher(held, tables: int, samples: int):
                 for (r, t), (edits, s, e) in search(items, words, indptr, tables, samples).items():
                     before = int(heads[offsets[r] - 1]) if offsets[r] else 0
                     at = [int(heads[x - 1]) - before if x else 0 for x in ((starts[s] if e > s else 0), (ends[e - 1] if e > s else 0))]
-                    out.append((b.column(0)[i + r].as_py(), int(items.ids[t]), *at, edits, int(items.n[t]), 1 - edits / int(items.n[t])))
+                    out.append((b.column(0)[i + r].as_py(), items.ids[t], *at, edits, int(items.n[t]), 1 - edits / int(items.n[t])))
             columns = list(zip(*out, strict=True)) or [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "start", "end", "edits", "n_words", "similarity"])
@@ -228,7 +228,7 @@ def _searcher(held, tables: int, samples: int):
 def _blocks(benchmark: DataFrame, similarity: float, tables: int, samples: int, block_words: int) -> Iterator[Items]:
     """The benchmark's items in ascending order, at most about block_words words at a time; at least one block."""
     ids, texts, size, none = [], [], 0, True
-    known = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    known = benchmark.where(F.col("text").isNotNull())
     for item in known.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator():
         ids.append(item[0])
         texts.append(item[1])
@@ -241,7 +241,10 @@ def _blocks(benchmark: DataFrame, similarity: float, tables: int, samples: int,
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, tables: int = 64, samples: int = 4, block_words: int = 1_000_000) -> DataFrame:
-    """One row for each document and benchmark item that it holds: the best passage, in code points of the text."""
+    """One row for each document and benchmark item that it holds: the best passage, in code points of the text.
+
+    An item without an id is found as well; its item_id is null.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for items in _blocks(benchmark, similarity, tables, samples, block_words):

@@ -70,6 +70,14 @@ def test_recall_against_brute_force(spark):
     assert blocks == set(got)
 
 
+def test_items_without_an_id(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (2, "one two three four five six"), (3, "seven eight nine ten eleven twelve")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(None, rows[0][1]), (7, rows[1][1]), (None, "none of them holds this item")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, bench).collect()} == {(1, None), (2, 7)}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [3]
+
+
 def test_edges(spark, docs, rows, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, rows[3][1]), (4, rows[3][1]), (None, "x y z")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, bench).collect()} == {(4, 3), (4, 4)}
