@@ -7,11 +7,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Text is handled in blocks of about this many bytes, whatever the Arrow batch holds.
 BLOCK_BYTES = 1 << 20
@@ -24,18 +24,24 @@ _S33 = _U64(33)
 class Scratch:
     """Tables written to the shared folder and read back, which cuts lineage.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is used.  Lost executors recompute nothing
-    behind such a table.
+    The folder is ``spark.checkpoint.dir``; only where that is unset and the master is
+    local (tests on one machine) a temporary folder is used.  Lost executors recompute
+    nothing behind such a table.
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/scratch-tables"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = base or f"file://{tempfile.gettempdir()}/scratch-tables"
         self.spark, self.root = spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, *, free: bool = False) -> DataFrame:
+        """Writes df and reads it again; free lets Spark delete the shuffle files behind it, which nothing reads any more."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        if free:
+            self.spark._jvm.System.gc()  # a shuffle's files go when the driver has collected the plan that made them
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -45,6 +51,25 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression takes it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to be no column of docs (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def map_rows(docs: DataFrame, apply, more: tuple[StructField, ...] = ()) -> DataFrame:
+    """mapInArrow over all columns of docs, whatever their names; apply may append the columns more."""
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.mapInArrow(apply, StructType([*plain.schema.fields, *more])).toDF(*docs.columns, *[f.name for f in more])
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finalizer on uint64 arrays."""
     h = h ^ (h >> _S33)
@@ -160,23 +185,22 @@ def column_or_null(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def summed_table(partials: DataFrame, slots: int, width: int, *, bits: bool = False, fan_in: int = 64) -> np.ndarray:
-    """Adds up per-task tables on the executors and returns the total: slots * width uint32 counts, or bytes of bits that are or-ed.
+def summed_table(partials: DataFrame, slots: int, width: int, *, fan_in: int = 64) -> np.ndarray:
+    """Adds up per-task tables on the executors and returns the total: slots * width uint32 counts.
 
     partials has rows (part int, slot int, counts binary).  Each level brings the tables of
     fan_in tasks to one, in streaming, until one table is left, so a task and the driver
     hold one table each.
     """
-    kind = np.uint8 if bits else np.uint32
 
     def together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return a | b if bits else np.minimum(a.astype(np.uint64) + b, 0xFFFFFFFF).astype(np.uint32)
+        return np.minimum(a.astype(np.uint64) + b, 0xFFFFFFFF).astype(np.uint32)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             for key, x in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), b.column(2), strict=True):
-                counts = np.frombuffer(x.as_buffer(), dtype=kind)
+                counts = np.frombuffer(x.as_buffer(), dtype=np.uint32)
                 total[key] = together(total[key], counts) if key in total else counts.copy()
         for (p, s), x in total.items():
             yield count_rows(p, s, x)
@@ -185,9 +209,9 @@ def summed_table(partials: DataFrame, slots: int, width: int, *, bits: bool = Fa
     while tasks > 1:
         tasks = -(-tasks // fan_in)
         partials = partials.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).repartition(tasks, "part").mapInArrow(add, COUNTS)
-    out = np.zeros((slots, width), dtype=kind)
+    out = np.zeros((slots, width), dtype=np.uint32)
     for r in partials.collect():
-        out[r["slot"]] = together(out[r["slot"]], np.frombuffer(r["counts"], dtype=kind))
+        out[r["slot"]] = together(out[r["slot"]], np.frombuffer(r["counts"], dtype=np.uint32))
     return out.reshape(-1)
 
 
@@ -205,33 +229,29 @@ def count_tables(counts: np.ndarray, part: int, slots: int) -> Iterator[pa.Recor
             yield count_rows(part, s, x)
 
 
-#: A table of flags by hash, 2**22 bits, 512 kB whatever the input.
+#: A table of flags by hash: 2**22 bits in 2**16 words, 1 MB whatever the input.
 FLAGS = 1 << 22
 
 
-def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(FLAGS, dtype=bool)
-    for b in batches:
-        seen[b.column(0).to_numpy() & (FLAGS - 1)] = True
-    yield from count_tables(np.packbits(seen), TaskContext.get().partitionId(), 1)
+def _flag_word(key: str) -> Column:
+    return F.shiftright(F.col(key).bitwiseAND(FLAGS - 1), 6).cast("int")
 
 
-def hash_flags(wanted: DataFrame, key: str) -> np.ndarray:
-    """The flags of the values of a long column, as bytes of bits."""
-    return summed_table(wanted.select(key).mapInArrow(_flagged, COUNTS), 1, FLAGS // 8, bits=True)
+def _flag_bit(key: str) -> Column:
+    return F.col(key).bitwiseAND(63).cast("int")
 
 
-def split_by_flags(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def split_by_flags(rows: DataFrame, wanted: DataFrame, key: str, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be in wanted, rows whose key is not), by a table of flags of fixed size.
 
     Only the first need to be shuffled to be joined with wanted.  When the flags fill up,
-    the second part runs empty and all is as without them.
+    the second part runs empty and all is as without them.  The flags are broadcast: at most
+    2**16 rows of a word number and 64 flags.
     """
-    held = rows.sparkSession.sparkContext.broadcast(hash_flags(wanted, key))
-
-    @F.pandas_udf("boolean")
-    def maybe(x: pd.Series) -> pd.Series:
-        at = x.to_numpy(dtype=np.int64) & (FLAGS - 1)
-        return pd.Series((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
-
-    return rows.where(maybe(key)), rows.where(~maybe(key))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _flag_bit(key))
+    flags = wanted.select(_flag_word(key).alias("__word"), bit.alias("__flag")).groupBy("__word").agg(F.bit_or("__flag").alias("__flags"))
+    flags = F.broadcast(scratch.keep(flags, name))
+    both = rows.withColumn("__at", _flag_word(key)).join(flags, F.col("__at") == F.col("__word"), "left")
+    hit = F.coalesce(F.getbit(F.col("__flags"), _flag_bit(key)) == 1, F.lit(False))
+    own = lambda where: both.where(where).drop("__at", "__word", "__flags")
+    return own(hit), own(~hit)

@@ -9,12 +9,14 @@ floor((1 - similarity) n) word edits.  For each document:
 2. Each window of the item's size, and each item, is embedded by the CGK random walk
    (a shared random bit for each step and word says whether the walk moves on), which turns
    edit distance into Hamming distance; in each of ``tables`` repetitions a few coordinates
-   are sampled, and window and item meet if they agree on all of them.
+   are sampled, and window and item meet if they agree on all of them.  The number of
+   repetitions follows from the recall that is asked for (``tables_for``).
 3. Pairs that met are verified by the exact edit distance of the item to the best passage.
 
 One narrow pass over the documents: nothing is shuffled.  Items are broadcast in blocks of
-at most ``block_words`` words, one pass for each block, so the broadcast is bounded however
-large the benchmark.
+at most ``block_words`` words (or one item), one pass for each block, so the broadcast is
+bounded however large the benchmark.  Items and windows are embedded in groups of like
+length, so none is padded to more than twice its own.
 
 Defined results: a null or blank text matches nothing, and neither does an item without
 words; equal items match alike, each under its own item_id; repeated rows give repeated
@@ -23,6 +25,7 @@ result rows; only the id and text columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, mix64, utf8_blocks, word_hashes
+from .common import combine, map_rows, mix64, utf8_blocks, word_hashes
 
 _U = np.uint64
 _NONE = _U(0x6A09E667F3BCC909)  # what the walk emits beyond the last word
@@ -68,6 +71,27 @@ def table_keys(words: np.ndarray, n: np.ndarray, tables: int, samples: int) -> n
     return keys
 
 
+def tables_for(recall: float, agree: float, samples: int) -> int:
+    """Repetitions after which two strings that agree on a share of their coordinates have met with probability recall."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**samples)))
+
+
+#: Words of one group that is embedded at once.
+WAVE_WORDS = 1 << 20
+
+
+def like_lengths(n: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in groups of lengths within a factor of two, of about WAVE_WORDS words when padded."""
+    order = np.argsort(n, kind="stable")
+    at = 0
+    while at < len(order):
+        least = int(n[order[at]])
+        end = int(np.searchsorted(n[order], 2 * max(least, 8), side="left"))
+        end = max(at + 1, min(end, at + WAVE_WORDS // max(int(n[order[end - 1]]), 1)))
+        yield order[at:end]
+        at = end
+
+
 def passage_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(edits, start, end) of the passage of text with the least word edits to item; of equals the first to end, then the longest."""
     n, m = len(item), len(text)
@@ -97,7 +121,7 @@ class Items:
     n: np.ndarray
     k: np.ndarray
     need: np.ndarray
-    words: np.ndarray
+    words: list[np.ndarray]
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by q: sorted hashes, item, place
     keys: np.ndarray
     key_item: np.ndarray
@@ -109,10 +133,9 @@ def prepare(ids: list, texts: list[str | None], similarity: float, tables: int,
     known = [r for r, w in enumerate(rows) if len(w)]
     n = np.array([len(rows[r]) for r in known], dtype=np.int64)
     k = np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
-    words = np.full((len(known), int(n.max()) if len(n) else 1), _NONE, _U)
+    words = [rows[r] for r in known]
     need, q_of = np.ones(len(known), np.int64), np.ones(len(known), np.int64)
-    for a, r in enumerate(known):
-        words[a, : n[a]] = rows[r]
+    for a in range(len(known)):
         for q in (3, 2, 1):
             shared = n[a] - q + 1 - q * k[a]
             if shared >= 2 or q == 1:
@@ -120,13 +143,19 @@ def prepare(ids: list, texts: list[str | None], similarity: float, tables: int,
                 break
     grams = {}
     for q in np.unique(q_of).tolist():
-        own = [(combine(words[a, : n[a]], q), a) for a in np.flatnonzero(q_of == q)]
+        own = [(combine(words[a], q), a) for a in np.flatnonzero(q_of == q)]
         h = np.concatenate([g for g, _ in own])
         item = np.concatenate([np.full(len(g), a) for g, a in own])
         place = np.concatenate([np.arange(len(g)) for g, _ in own])
         o = np.argsort(h, kind="stable")
         grams[q] = (h[o], item[o], place[o])
-    keys = table_keys(words, n, tables, samples).reshape(-1) if len(known) else np.zeros(0, _U)
+    table = np.zeros((len(known), tables), _U)
+    for own in like_lengths(n):
+        block = np.full((len(own), int(n[own].max())), _NONE, _U)
+        for i, a in enumerate(own):
+            block[i, : n[a]] = words[a]
+        table[own] = table_keys(block, n[own], tables, samples)
+    keys = table.reshape(-1)
     o = np.argsort(keys, kind="stable")
     return Items([ids[r] for r in known], n, k, need, words, grams, keys[o], np.repeat(np.arange(len(known)), tables)[o])
 
@@ -168,15 +197,15 @@ def windows(items: Items, words: np.ndarray, row: np.ndarray) -> tuple[np.ndarra
     return np.concatenate(found_item), np.concatenate(found_at)
 
 
-def search(items: Items, words: np.ndarray, indptr: np.ndarray, tables: int, samples: int, wave: int = 20_000) -> dict[tuple[int, int], tuple[int, int, int]]:
+def search(items: Items, words: np.ndarray, indptr: np.ndarray, tables: int, samples: int) -> dict[tuple[int, int], tuple[int, int, int]]:
     """{(document, item): (edits, first word, end word)}: the best passage of each pair that is within the item's edits."""
     row = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
     item, at = windows(items, words, row)
     met: set[tuple[int, int, int]] = set()
     if len(item):
         spans = np.unique(np.stack([at, items.n[item]]), axis=1)
-        for i in range(0, spans.shape[1], wave):
-            start, n = spans[0, i : i + wave], spans[1, i : i + wave]
+        for own in like_lengths(spans[1]):
+            start, n = spans[0, own], spans[1, own]
             place = start[:, None] + np.arange(int(n.max()))
             ends = indptr[row[start] + 1]
             outside = (place >= ends[:, None]) | (np.arange(place.shape[1]) >= n[:, None])
@@ -198,7 +227,7 @@ def search(items: Items, words: np.ndarray, indptr: np.ndarray, tables: int, sam
     for r, t, a, z in spans_of:
         n, k = int(items.n[t]), int(items.k[t])
         lo, hi = max(int(indptr[r]), a - k), min(int(indptr[r + 1]), z + n + k)
-        edits, s, e = passage_distance(items.words[t, :n], words[lo:hi])
+        edits, s, e = passage_distance(items.words[t], words[lo:hi])
         if edits <= k:
             got = (edits, lo + s, lo + e)
             if (r, t) not in best or got < best[r, t]:
@@ -240,11 +269,16 @@ def _blocks(benchmark: DataFrame, similarity: float, tables: int, samples: int,
         yield prepare(ids, texts, similarity, tables, samples)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, tables: int = 64, samples: int = 4, block_words: int = 1_000_000) -> DataFrame:
+#: Two strings as far apart as the similarity 0.8 allows agree on about half of the coordinates of their walks or more.
+RECALL, AGREE = 0.98, 0.49
+
+
+def find(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, recall: float = RECALL, agree: float = AGREE, samples: int = 4, block_words: int = 1_000_000) -> DataFrame:
     """One row for each document and benchmark item that it holds: the best passage, in code points of the text.
 
     An item without an id is found as well; its item_id is null.
     """
+    tables = tables_for(recall, agree, samples)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for items in _blocks(benchmark, similarity, tables, samples, block_words):
@@ -266,9 +300,10 @@ def _cleaner(held, at: int, tables: int, samples: int):
     return apply
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", similarity: float = 0.8, tables: int = 64, samples: int = 4, block_words: int = 1_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", similarity: float = 0.8, recall: float = RECALL, agree: float = AGREE, samples: int = 4, block_words: int = 1_000_000) -> DataFrame:
     """The rows of docs, all columns, whose text holds no benchmark item."""
+    tables = tables_for(recall, agree, samples)
     for items in _blocks(benchmark, similarity, tables, samples, block_words):
         held = docs.sparkSession.sparkContext.broadcast(items)
-        docs = docs.mapInArrow(_cleaner(held, docs.columns.index(text), tables, samples), docs.schema)
+        docs = map_rows(docs, _cleaner(held, docs.columns.index(text), tables, samples))
     return docs

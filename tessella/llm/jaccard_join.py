@@ -5,18 +5,22 @@
    passages out of the prefixes.
 2. A document's row is its set of n-grams.  Equal sets are one row from here on.
 3. Size bounds: two rows that reach the similarity share n-grams among the first
-   n - ceil(t n) + 1 of each, so only those prefixes are dealt out; their sizes lie in the
-   same or neighbouring bands, so a column is cut into band groups; and the number of shared
-   prefix n-grams has a lower bound that follows from the two sizes.
-4. Groups of at most ``few`` rows are multiplied out: the shared prefix n-grams of each pair
-   are accumulated, pairs below the bounds are discarded, the rest are verified.
-5. In larger groups every row is first multiplied with one pivot, the row whose n-grams are
-   most common (in a family of copies, what the others were made from).  That is linear in
-   the group and settles most families.  Rows of groups that still hold several classes form
-   a matrix that is cut into blocks of bounded size, by band and class; pairs of blocks whose
-   bands can reach the similarity are multiplied, accumulating the overlap counts.  Pairs
-   within a class are not looked at, since they cannot change the classes.
-6. Links give the classes (connected components).
+   n - ceil(t n) + 1 of each, and their sizes lie in the same or neighbouring bands.  So the
+   columns are prefix n-grams, each cut into groups by band.
+4. First product: in every column group the row whose n-grams are most common (in a family of
+   copies, what the others were made from) is the pivot.  The block of pivots is multiplied
+   with the rows of their columns: linear in the group, and it settles most families.  The
+   links so found give classes.
+5. Second product: a column group whose rows, the pivot aside, still are of several classes is
+   open.  Its rows are cut into blocks of bounded size, rows of one large class apart from the
+   others, and the blocks that share an open column are multiplied over the prefixes.  A pair
+   in one class can't change the classes and is dropped, like a pair whose sizes don't reach
+   the similarity, or whose overlap is below the bound that follows from its sizes.
+6. Both products go over the prefixes first; what reaches the bounds there is multiplied over
+   the whole sets.  Links give the classes (connected components).
+
+Every link comes from a product, at every size; no group is multiplied in one task, and none
+is capped.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a text of
 fewer than n words is one n-gram; repeated rows (also of one id) are rows with equal sets; a
@@ -27,13 +31,13 @@ the text are read, so other columns cannot clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import COUNTS, Scratch, combine, count_tables, mix64, sequence_hash, split_by_flags, summed_table, utf8_blocks, word_hashes
 from .graph import components
@@ -97,7 +101,7 @@ def _described(n: int, percent: int, held):
         count = held.value
         for b in batches:
             size, hi, lo, common, prefix = [], [], [], [], []
-            for x in row_sets(b.column(1), n):
+            for x in row_sets(b.column(2), n):
                 c = count[_cell(x)]
                 size.append(len(x))
                 h, w = signature(x)
@@ -110,7 +114,7 @@ def _described(n: int, percent: int, held):
             ends = np.zeros(len(prefix) + 1, np.int32)
             np.cumsum([len(p) for p in prefix], out=ends[1:])
             grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(common, pa.int64()), grams], names=["doc_id", "n", "hi", "lo", "pk", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(common, pa.int64()), grams], names=["doc_id", "tid", "n", "hi", "lo", "pk", "prefix"])
 
     return apply
 
@@ -134,60 +138,81 @@ def reaches(overlap, size_a, size_b, percent: int):
     return 100 * overlap >= percent * (size_a + size_b - overlap)
 
 
-def _linked(percent: int):
-    """Rows (a, b, x, y): the pairs whose sets x and y reach the similarity."""
+def prefix_overlap(size_a, size_b, percent: int):
+    """The least number of prefix n-grams that two rows of these sizes share if they reach the similarity."""
+    least = -(-percent * (size_a + size_b) // (100 + percent))  # of the whole sets
+    outside = lambda n: -(-percent * n // 100) - 1
+    return np.maximum(least - np.maximum(outside(size_a), outside(size_b)), 1)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.sort(np.concatenate([x, y]))
-                overlap = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(bool(reaches(overlap, len(x), len(y), percent)))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return apply
+@dataclass(frozen=True)
+class Block:
+    """Rows of the incidence matrix: entry e says that row[e] holds n-gram gram[e]; rows have sizes and classes."""
 
+    uid: np.ndarray
+    root: np.ndarray
+    size: np.ndarray
+    row: np.ndarray
+    gram: np.ndarray
 
-def overlap_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """The product of two blocks of rows: common n-grams of each left and right row."""
-    out = np.zeros((len(left), len(right)), dtype=np.int32)
-    lc, rc = np.concatenate(left), np.concatenate(right)
-    lr, rr = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
-    lo, ro = np.argsort(lc, kind="stable"), np.argsort(rc, kind="stable")
-    lc, lr, rc, rr = lc[lo], lr[lo], rc[ro], rr[ro]
-    columns, at = np.unique(lc, return_index=True)
-    ends = np.append(at[1:], len(lc))
-    r0, r1 = np.searchsorted(rc, columns, side="left"), np.searchsorted(rc, columns, side="right")
-    for k in np.flatnonzero(r1 > r0):
-        out[np.ix_(lr[at[k] : ends[k]], rr[r0[k] : r1[k]])] += 1
-    return out
+    def part(self, rows: np.ndarray) -> Block:
+        new = np.full(len(self.uid), -1)
+        new[rows] = np.arange(len(rows))
+        held = new[self.row] >= 0
+        return Block(self.uid[rows], self.root[rows], self.size[rows], new[self.row[held]], self.gram[held])
 
 
-def _block_pair(percent: int):
-    """Rows (task, side, uid, root, grams) of one pair of blocks: links between different classes, one for each row and class."""
+def product(left: Block, right: Block, percent: int, slab: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left row, right row, overlap) of the pairs of different classes whose sizes can reach the similarity.
+
+    Rows of the left block are taken in slabs of about slab products, whose overlap counts are
+    accumulated sparsely: memory follows the slab, not the number of pairs.
+    """
+    order = np.argsort(right.gram, kind="stable")
+    grams, rows = right.gram[order], right.row[order]
+    lo = np.searchsorted(grams, left.gram, side="left")
+    count = np.searchsorted(grams, left.gram, side="right") - lo
+    by_row = np.argsort(left.row, kind="stable")
+    by_row = by_row[count[by_row] > 0]
+    done = np.cumsum(count[by_row])
+    at = 0
+    while at < len(by_row):
+        before = done[at - 1] if at else 0
+        end = max(int(np.searchsorted(done, before + slab)), at + 1)
+        end = int(np.searchsorted(left.row[by_row], left.row[by_row[end - 1]], side="right"))  # whole rows
+        own = by_row[at:end]
+        n = count[own]
+        total = int(n.sum())
+        i = np.repeat(left.row[own], n)
+        j = rows[np.repeat(lo[own] - np.cumsum(n) + n, n) + np.arange(total)]
+        a, b = left.size[i], right.size[j]
+        keep = (left.root[i] != right.root[j]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent)
+        pair, overlap = np.unique(i[keep] * len(right.uid) + j[keep], return_counts=True)
+        yield pair // max(len(right.uid), 1), pair % max(len(right.uid), 1), overlap
+        at = end
+
+
+def _multiplied(percent: int, whole: bool):
+    """Rows (task, side, uid, root, n, grams) of two blocks, or of one with itself: the pairs (a, b) that reach the similarity, or can as far as prefixes tell."""
 
     def apply(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        grams = table["grams"].chunk(0) if table["grams"].num_chunks else pa.array([], pa.binary())
+        sets = [np.frombuffer(x.as_buffer(), _U) for x in grams]
+        both = Block(*(table[c].to_numpy() for c in ("uid", "root", "n")), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets) if sets else np.zeros(0, _U))
         side = table["side"].to_numpy()
-        uid, root = table["uid"].to_numpy(), table["root"].to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), _U) for x in table["grams"].combine_chunks()] if table.num_rows else []
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(right):  # a block with itself
-            right = left
-        if not len(left):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        counts = overlap_counts([sets[k] for k in left], [sets[k] for k in right])
-        size = np.array([len(s) for s in sets])
-        ok = reaches(counts.astype(np.int64), size[left][:, None], size[right][None, :], percent) & (root[left][:, None] != root[right][None, :])
-        i, j = np.nonzero(ok)
-        if len(i):
-            _, first = np.unique(np.stack([uid[left][i], root[right][j]]), axis=1, return_index=True)
-            i, j = i[first], j[first]
-        return pa.table({"a": pa.array(uid[left][i]), "b": pa.array(uid[right][j])})
+        one, two = (np.flatnonzero(side == k) for k in (0, 1))
+        left = both.part(one)
+        right = both.part(two) if len(two) else left
+        found = [np.zeros((2, 0), np.int64)]
+        for i, j, overlap in product(left, right, percent):
+            a, b = left.size[i], right.size[j]
+            ok = reaches(overlap, a, b, percent) if whole else overlap >= prefix_overlap(a, b, percent)
+            if not len(two):
+                ok &= i < j
+            found.append(np.stack([left.uid[i[ok]], right.uid[j[ok]]]))
+        a, b = np.concatenate(found, axis=1)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return apply
 
@@ -201,138 +226,167 @@ def _sizes_reach(percent: int):
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
 
-def _pairs_of_small_groups(rows: DataFrame, in_large: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows whose shared prefix n-grams are as many as their sizes demand.
+def _starred(pairs: DataFrame, entries: DataFrame, percent: int, block_grams: int, whole: bool) -> DataFrame:
+    """The pairs (a, b; with sizes na, nb) that reach the similarity, or can, by products over the entries (uid, n, grams).
 
-    in_large (uid, m) counts the large groups of a row, which might add to those seen here.
+    A task takes several rows a and what they are paired with, about block_grams n-grams; a row
+    a with more partners than that has its partners dealt out.
     """
-    cell = F.struct("uid", "n", "band")
-    groups = rows.groupBy("s", "g").agg(F.collect_list(cell).alias("c"))
-    fits = lambda x, y, g: (x["uid"] < y["uid"]) & (F.greatest(x["band"], y["band"]) == g) & (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent)
-    pair = lambda x, y: F.struct(x["uid"].alias("a"), y["uid"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"))
-    out = F.flatten(F.transform("c", lambda x: F.transform(F.filter("c", lambda y: fits(x, y, F.col("g"))), lambda y: pair(x, y))))
-    met = groups.select(F.explode(out).alias("p")).select("p.*").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    least = -F.floor(-(F.col("na") + F.col("nb")) * percent / (100 + percent))
-    spare = lambda x: F.col(x) + F.floor(-F.col(x) * percent / 100) + 1 - (F.col(x) - least)
-    big = lambda x, m: in_large.select(F.col("uid").alias(x), F.col("m").alias(m))
-    met = met.join(big("a", "ma"), "a", "left").join(big("b", "mb"), "b", "left")
-    unseen = F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
-    return met.where(F.col("k") + unseen >= F.least(spare("na"), spare("nb"))).select("a", "b")
-
-
-def _classes(docs: DataFrame, n: int, percent: int, few: int = 24, block_grams: int = 150_000) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n, hi, lo), and their distinct sets that aren't empty: hi, lo, first_id, root (one for each class), component_id."""
+    degree = pairs.groupBy("a").agg((F.first("na") + F.sum("nb")).alias("weight"))
+    total = degree.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    buckets = max(1, 2 * total // block_grams)
+    parts = F.ceil(F.col("weight") / float(block_grams)).cast("int")
+    dealt = pairs.join(degree.select("a", parts.alias("parts")), "a")
+    # a row of several parts has tasks of its own
+    task = F.when(F.col("parts") > 1, F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("a"), F.lit(buckets)))
+    dealt = dealt.select(task.alias("task"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("uid")), F.struct(F.lit(1).alias("side"), F.col("b").alias("uid")))).alias("x"))
+    work = dealt.select("task", "x.side", "x.uid").distinct().join(entries, "uid").select("task", "side", "uid", F.col("uid").alias("root"), "n", "grams")
+    return work.groupBy("task").applyInArrow(_multiplied(percent, whole), "a long, b long")
+
+
+def _verified(met: DataFrame, sets: DataFrame, rows: DataFrame, n: int, percent: int, block_grams: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs of met (a, b) that reach the similarity, by products over whole sets, which are computed once more from their texts."""
+    met = scratch.keep(met.distinct(), f"{name}-met", free=True)
+    wanted = scratch.keep(met.select(F.col("a").alias("uid")).unionAll(met.select("b")).distinct().join(sets.select("uid", "hi", "lo", "n", "tid"), "uid"), f"{name}-wanted")
+    flagged, _ = split_by_flags(rows.select("tid", "text"), wanted.select("tid"), "tid", scratch, f"{name}-flags")
+    computed = flagged.select("text").mapInArrow(_sets_of(n), "hi long, lo long, grams binary")
+    grams = computed.join(wanted.select("hi", "lo", "uid", "n"), ["hi", "lo"]).groupBy("uid").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+    grams = scratch.keep(grams, f"{name}-grams", free=True)
+    size = lambda c, k: wanted.select(F.col("uid").alias(c), F.col("n").alias(k))
+    pairs = met.join(size("a", "na"), "a").join(size("b", "nb"), "b")
+    links = scratch.keep(_starred(pairs, grams, percent, block_grams, True), name, free=True)
+    scratch.drop(f"{name}-grams")
+    return links
+
+
+def _classes(docs: DataFrame, n: int, percent: int, block_grams: int = 400_000) -> tuple[DataFrame, DataFrame, Scratch]:
+    """Documents (doc_id, tid, n, hi, lo), and their distinct sets that aren't empty: hi, lo, first_id, root (one for each class), component_id."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("tid"), "text")
 
     count = sc.broadcast(summed_table(rows.select("text").mapInArrow(_counter(n), COUNTS), SLOTS, WIDTH))
-    meta = scratch.keep(rows.mapInArrow(_described(n, percent, count), "doc_id long, n long, hi long, lo long, pk long, prefix array<long>"), "meta")
-    sets = meta.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("pk").alias("pk"), F.first("prefix").alias("prefix"))
-    sets = scratch.keep(sets.withColumn("uid", F.monotonically_increasing_id()), "sets")
+    meta = scratch.keep(rows.mapInArrow(_described(n, percent, count), "doc_id long, tid long, n long, hi long, lo long, pk long, prefix array<long>"), "meta")
+    count.unpersist()
+    sets = meta.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "tid")).alias("t"), F.first("n").alias("n"), F.first("pk").alias("pk"), F.first("prefix").alias("prefix"))
+    sets = sets.select("hi", "lo", "first_id", F.col("t.tid").alias("tid"), "n", "pk", "prefix", F.monotonically_increasing_id().alias("uid"))
+    sets = scratch.keep(sets, "sets", free=True)
+    slim = scratch.keep(meta.drop("pk", "prefix"), "slim")
+    scratch.drop("meta")
 
     # columns with at least two rows, cut into groups of neighbouring size bands
     cells = sets.select("uid", "pk", "n", F.explode("prefix").alias("s"))
     columns = cells.groupBy("s").agg(F.min("uid").alias("u0"), F.max("uid").alias("u1")).where("u0 < u1").select("s")
-    columns = scratch.keep(columns, "columns")
-    banded = cells.join(columns, "s").withColumn("band", _band(percent)).select("s", "uid", "pk", "n", "band", F.explode(F.array("band", F.col("band") + 1)).alias("g"))
+    columns = scratch.keep(columns, "columns", free=True)
+    banded = cells.join(columns, "s").withColumn("band", _band(percent)).select("s", "uid", "pk", "n", F.explode(F.array("band", F.col("band") + 1)).alias("g"))
     banded = scratch.keep(banded, "banded")
-    groups = banded.groupBy("s", "g").agg(F.count("*").alias("rows"), F.min("pk").alias("pivot")).where("rows > 1")
-    shared = scratch.keep(banded.join(groups, ["s", "g"]), "shared")
+    pivot = F.min(F.struct("pk", "uid", "n"))
+    groups = banded.groupBy("s", "g").agg(F.count("*").alias("rows"), pivot.alias("p")).where("rows > 1").select("s", "g", F.col("p.uid").alias("pivot"), F.col("p.n").alias("na"))
+    shared = scratch.keep(banded.join(groups, ["s", "g"]).select("s", "g", "uid", "n", "pivot", "na"), "shared", free=True)
     scratch.drop("banded")
-
-    large = shared.where(F.col("rows") > few)
-    pairs = _pairs_of_small_groups(shared.where(F.col("rows") <= few), large.groupBy("uid").agg(F.count("*").alias("m")), percent)
-    pivots = sets.select(F.col("pk").alias("pivot"), F.col("uid").alias("a"), F.col("n").alias("na"))
-    stars = large.where("pk <> pivot").select("pivot", F.col("uid").alias("b"), F.col("n").alias("nb")).distinct().join(pivots, "pivot").where(_sizes_reach(percent)).select("a", "b")
-    pairs = scratch.keep(pairs.unionAll(stars).distinct(), "pairs")
-
-    # the sets of the rows that are compared, computed once more from their texts
-    wanted = scratch.keep(pairs.select(F.col("a").alias("uid")).unionAll(pairs.select("b")).unionAll(large.select("uid")).distinct().join(sets.select("uid", "hi", "lo", "first_id"), "uid"), "wanted")
-    flagged, _ = split_by_flags(rows.select(F.xxhash64("doc_id").alias("h"), "text"), wanted.select(F.xxhash64("first_id").alias("h")), "h")
-    computed = flagged.select("text").mapInArrow(_sets_of(n), "hi long, lo long, grams binary")
-    grams = scratch.keep(computed.join(wanted.select("hi", "lo", "uid"), ["hi", "lo"]).groupBy("uid").agg(F.first("grams").alias("grams")), "grams")
-
-    both = pairs.join(grams.select(F.col("uid").alias("b"), F.col("grams").alias("y")), "b").join(grams.select(F.col("uid").alias("a"), F.col("grams").alias("x")), "a")
-    links = scratch.keep(both.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"), "links-1")
-    last = components(links, scratch, "cc1").select(F.col("v").alias("uid"), "root")
-
-    # large groups that still hold several classes
-    classed = large.select("s", "g", "uid", "n").join(last, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    open_groups = classed.groupBy("s", "g").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("uid").alias("u0")).where("r0 < r1").select("s", "g", "u0")
-    left = scratch.keep(classed.join(open_groups, ["s", "g"]).groupBy("u0", "uid").agg(F.first("n").alias("n"), F.first("root").alias("root")), "open")
+    scratch.drop("columns")
+
+    # the first product: pivots by the rows of their columns
+    stars = shared.where("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b"), "na", F.col("n").alias("nb")).where(_sizes_reach(percent)).distinct()
+    stars = scratch.keep(stars, "stars", free=True)
+    starred = stars.select(F.col("a").alias("uid")).unionAll(stars.select("b")).distinct()
+    met = _starred(stars, _entries(sets, scratch.keep(starred, "starred")), percent, block_grams, False)
+    links = _verified(met, sets, rows, n, percent, block_grams, scratch, "links-1")
+    classes = components(links, scratch, "cc1").select(F.col("v").alias("uid"), "root")
+
+    # the second product: blocks that share a column of several classes
+    classed = scratch.keep(shared.join(classes, "uid", "left").withColumn("root", F.coalesce("root", "uid")).select("s", "g", "uid", "root", "pivot"), "classed")
+    scratch.drop("shared")
+    others = F.when(F.col("uid") != F.col("pivot"), F.col("root"))
+    still = classed.groupBy("s", "g").agg(F.min(others).alias("r0"), F.max(others).alias("r1")).where("r0 < r1").select("s", "g")
+    left = scratch.keep(classed.join(still, ["s", "g"]).select("s", "g", "uid", "root"), "open", free=True)
     if not left.isEmpty():
-        family = components(left.select(F.col("u0").alias("a"), F.col("uid").alias("b")), scratch, "cc2").select(F.col("v").alias("uid"), F.col("root").alias("family"))
-        members = left.select("uid", "n", "root").distinct().join(family, "uid")
-        more = links.unionAll(_residual(members, grams, scratch, percent, block_grams))
-        last = components(more, scratch, "cc3").select(F.col("v").alias("uid"), "root")
+        met = _block_products(left, sets, scratch, percent, block_grams)
+        links = links.unionAll(_verified(met, sets, rows, n, percent, block_grams, scratch, "links-2"))
+        classes = components(links, scratch, "cc2").select(F.col("v").alias("uid"), "root")
 
-    named = sets.select("hi", "lo", "uid", "first_id").join(last, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    named = sets.select("hi", "lo", "uid", "first_id").join(classes, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = scratch.keep(named.join(names, "root").select("hi", "lo", "first_id", "root", "component_id"), "named")
-    return meta.select("doc_id", "n", "hi", "lo"), named
+    for name in ("sets", "classed", "open", "placed"):
+        scratch.drop(name)
+    return slim, named, scratch
+
 
+def _block_products(cells: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, block_grams: int) -> DataFrame:
+    """Pairs (a, b) of rows of open columns (cells: s, g, uid, root) that can reach the similarity as far as their prefixes tell.
 
-def join(docs: DataFrame, *, n: int = 4, percent: int = 85, few: int = 24, block_grams: int = 150_000) -> DataFrame:
+    A row's home is the least of its open columns, so rows with the same columns are likely to
+    share it.  The rows of a large home are cut into blocks, each large class apart; small homes
+    are put together (what they don't share costs nothing in a sparse product).
+    """
+    rows = cells.groupBy("uid").agg(F.min("s").alias("home"), F.first("root").alias("root")).join(sets.select("uid", F.size("prefix").cast("long").alias("weight")), "uid")
+    rows = scratch.keep(rows, "homes")
+    share = rows.groupBy("home", "root").agg(F.sum("weight").alias("weight"))
+    share = share.withColumn("class", F.when(F.col("weight") >= block_grams // 2, F.col("root")).otherwise(F.lit(-1)))
+    homes = share.groupBy("home", "class").agg(F.sum("weight").alias("weight"))
+    total = homes.agg(F.sum("weight")).first()[0]
+    buckets = max(1, 2 * total // block_grams)
+    parts = F.ceil(F.col("weight") / float(block_grams)).cast("int")
+    homes = homes.select("home", "class", parts.alias("parts"), (F.col("weight") < block_grams // 4).alias("small"))
+    place = F.when(F.col("small"), F.xxhash64(F.pmod(F.xxhash64("home"), F.lit(buckets)))).otherwise(F.xxhash64("home", "class", F.pmod(F.xxhash64("uid"), F.col("parts"))))
+    dealt = rows.join(share.select("home", "root", "class"), ["home", "root"]).join(homes, ["home", "class"]).select("uid", "root", "class", place.alias("block"))
+    placed = scratch.keep(cells.select("s", "g", "uid").join(dealt, "uid"), "placed")
+
+    blocks = placed.select("s", "g", F.col("block").alias("other"), F.col("class").alias("of")).distinct()
+    # rows of one large class are not multiplied with each other
+    pairs = placed.join(blocks, ["s", "g"]).where((F.col("class") == -1) | (F.col("class") != F.col("of")))
+    first, second = F.least("block", "other"), F.greatest("block", "other")
+    work = pairs.select(first.alias("one"), second.alias("two"), (F.col("block") > F.col("other")).cast("int").alias("side"), "uid", "root").distinct()
+    work = work.join(_entries(sets, rows), "uid").select("one", "two", "side", "uid", "root", "n", "grams")
+    return work.groupBy("one", "two").applyInArrow(_multiplied(percent, False), "a long, b long")
+
+
+def _entries(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """The entries (uid, n, grams) of the prefixes of some rows."""
+    return sets.join(rows.select("uid"), "uid", "left_semi").select("uid", "n", "prefix").mapInArrow(_packed, "uid long, n long, grams binary")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (uid, n, prefix) with the prefix as bytes."""
+    for b in batches:
+        x = b.column(2)
+        values, offsets = x.values.to_numpy(zero_copy_only=False), x.offsets.to_numpy()
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([values[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["uid", "n", "grams"])
+
+
+def join(docs: DataFrame, *, n: int = 4, percent: int = 85, block_grams: int = 400_000) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the least doc_id of its class)."""
-    slim, named = _classes(docs, n, percent, few, block_grams)
+    slim, named, _ = _classes(docs, n, percent, block_grams)
     found = slim.where("n > 0").join(named.select("hi", "lo", "component_id"), ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionAll(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _identified(n: int, at: int):
-    """The rows of a table, with the 128 bits of the set of column at."""
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [signature(x) if len(x) else (None, None) for x in row_sets(b.column(at), n)]
-            bits = [pa.array([s[k] for s in own], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *bits], names=[*b.schema.names, "__hi", "__lo"])
-
-    return apply
-
-
-def representatives(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
+def representatives(docs: DataFrame, *, n: int = 4, percent: int = 85, block_grams: int = 400_000) -> DataFrame:
     """The rows of docs, all columns, that stand for their class: one row with its least doc_id for each.
 
-    Of a class without ids one row stays as well.  Rows are picked by id and set, so that
-    neither rows without an id nor other texts of a repeated id stay beside them.  Blank texts
-    have no class and stay, repeated rows once.
-    """
-    _, named = _classes(docs, n, percent)
-    heads = named.where(F.col("first_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("first_id", "hi", "lo")).alias("h"))
-    heads = heads.select(F.col("h.first_id").alias("__first"), F.col("h.hi").alias("__h"), F.col("h.lo").alias("__l"))
-    schema = StructType([*docs.schema.fields, StructField("__hi", LongType()), StructField("__lo", LongType())])
-    rows = docs.mapInArrow(_identified(n, docs.columns.index("text")), schema)
-    same = F.col("doc_id").eqNullSafe(F.col("__first")) & (F.col("__hi") == F.col("__h")) & (F.col("__lo") == F.col("__l"))
-    held = rows.where("__hi is not null").join(heads, same, "left_semi")
-    one = held.groupBy("doc_id", "__hi", "__lo").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "text").alias("__row")).select("__row.*")
-    return one.unionAll(rows.where("__hi is null").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id", "text"]))
-
-
-def _residual(rows: DataFrame, grams: DataFrame, scratch: Scratch, percent: int, block_grams: int) -> DataFrame:
-    """Links between classes of each family (rows: uid, n, root, family), by products of pairs of blocks.
-
-    A block holds rows of one size band (sizes within a factor of the threshold), about
-    block_grams n-grams of them: rows of one large class, or rows of small classes together.
+    Of a class without ids one row stays as well.  Rows are told apart by id and text, so that
+    neither rows without an id nor other texts of a repeated id stay beside them; of the texts
+    of the least id the one with the least hash stays, and of rows of one id and text the least
+    in the order of their other columns.  Blank texts have no class and stay, repeated rows once.
+    Only documents that may be dropped are shuffled.
     """
-    rows = rows.withColumn("band", _band(percent))
-    size = rows.groupBy("family", "band", "root").agg(F.sum("n").alias("weight"))
-    size = size.withColumn("class", F.when(F.col("weight") >= block_grams // 2, F.col("root")).otherwise(F.lit(-1)))
-    cut = size.groupBy("family", "band", "class").agg(F.ceil(F.sum("weight") / float(block_grams)).cast("int").alias("parts"))
-    rows = rows.join(size.select("family", "band", "root", "class"), ["family", "band", "root"]).join(cut, ["family", "band", "class"])
-    rows = scratch.keep(rows.select("family", "band", "class", F.pmod(F.xxhash64("uid"), F.col("parts")).alias("part"), "uid", "root"), "blocked")
-    blocks = rows.groupBy("family", "band", "class", "part").agg(F.count("*").alias("k")).drop("k")
-    one, two = (blocks.select("family", *(F.col(c).alias(f"{c}{k}") for c in ("band", "class", "part"))) for k in (1, 2))
-    key = lambda k: F.struct(f"band{k}", f"class{k}", f"part{k}")
-    tasks = one.join(two, "family").where(F.abs(F.col("band1") - F.col("band2")) <= 1).where(key(1) <= key(2)).where((F.col("class1") == -1) | (F.col("class1") != F.col("class2")))
-    tasks = scratch.keep(tasks.withColumn("task", F.monotonically_increasing_id()), "tasks")
-    sides = None
-    for k in (1, 2):
-        own = tasks if k == 1 else tasks.where(key(1) < key(2))
-        own = own.select("task", "family", F.col(f"band{k}").alias("band"), F.col(f"class{k}").alias("class"), F.col(f"part{k}").alias("part"), F.lit(k - 1).alias("side"))
-        part = rows.join(own, ["family", "band", "class", "part"]).select("task", "side", "uid", "root")
-        sides = part if sides is None else sides.unionAll(part)
-    work = sides.join(grams.select("uid", "grams"), "uid").select("task", "side", "uid", "root", "grams")
-    return scratch.keep(work.groupBy("task").applyInArrow(_block_pair(percent), "a long, b long"), "links-2")
+    slim, named, scratch = _classes(docs, n, percent, block_grams)
+    same = slim.groupBy("doc_id", "tid").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
+    classed = scratch.keep(same.where("n > 0").join(named.select("hi", "lo", "root"), ["hi", "lo"]), "rows")
+    # nulls last: a null id stands for its class only where all are null
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid")
+    heads = classed.groupBy("root").agg(F.min(order).alias("head"))
+    own = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tid") == F.col("head.tid"))
+    known = classed.join(heads, "root").select("doc_id", "tid", "copies", own.alias("stays"))
+    verdict = known.unionAll(same.where("n = 0").select("doc_id", "tid", "copies", F.lit(True).alias("stays"))).where("not stays or copies > 1")
+    verdict = scratch.keep(verdict.select(F.col("doc_id").alias("k"), F.col("tid").alias("t"), "stays"), "verdicts")
+
+    key = F.col("doc_id").cast("long")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("doc_id"), F.xxhash64(key, F.col("text")).alias("tid"))
+    flagged, others = split_by_flags(rows, verdict.select(F.col("t").alias("tid")), "tid", scratch, "dropped")
+    judged = flagged.join(verdict, (F.col("tid") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("k")), "left")
+    once = judged.where("stays").groupBy("doc_id", "tid").agg(F.min("row").alias("row"))
+    return others.select("row.*").unionAll(judged.where("stays is null").select("row.*")).unionAll(once.select("row.*"))

@@ -22,7 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField
+
+from .common import map_rows
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -160,8 +162,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", out_lang: str
                 pred, prob = score(held.value, part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(prob)], names=[*part.schema.names, out_lang, out_score])
 
-    schema = StructType([*kept.schema.fields, StructField(out_lang, StringType()), StructField(out_score, DoubleType())])
-    return kept.mapInArrow(apply, schema)
+    return map_rows(kept, apply, (StructField(out_lang, StringType()), StructField(out_score, DoubleType())))
 
 
 def held_out(key: Column) -> Column:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, quoted, split_by_flags
 
 WINDOW = 3
 
@@ -37,10 +37,6 @@ def _windows(text: Column, size: int) -> Column:
     return F.when(F.size(lines) >= size, F.flatten(F.transform(F.array(hashed), lambda h: F.transform(whole, lambda k: at(h, k)))))
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _text_id(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.col(text))
 
@@ -58,10 +54,13 @@ def covered_lines(docs: DataFrame, scratch: Scratch, *, key: str = "doc_id", tex
         F.coalesce(F.min_by("p0", "k"), F.min("p0")).alias("p0"),
         ((F.count("*") > 1) | F.max("again")).alias("again"),
     )
-    first = scratch.keep(first.where("again").drop("again"), "repeated")
+    first = scratch.keep(first.where("again").drop("again"), "repeated", free=True)
     own = F.col("k").eqNullSafe(F.col("k0")) & (F.col("tid") == F.col("t0")) & (F.col("pos") == F.col("p0"))
     later = cells.join(first, ["h1", "h2"]).where(~own)
-    return later.groupBy("k", "tid").agg(F.collect_set("pos").alias("starts"))
+    starts = scratch.keep(later.groupBy("k", "tid").agg(F.collect_set("pos").alias("starts")), "starts", free=True)
+    scratch.drop("windows")
+    scratch.drop("repeated")
+    return starts
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -70,11 +69,16 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", siz
 
 
 def annotate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """One row for each of docs: its columns as struct r, the text that is kept, n_lines and n_removed."""
+    """One row for each of docs: its columns as struct r, the text that is kept, n_lines and n_removed.
+
+    Only documents that may hold a repeated window are shuffled.
+    """
     scratch = Scratch(docs.sparkSession, "lines")
     starts = covered_lines(docs, scratch, key=key, text=text, size=size)
-    rows = docs.select(F.struct("*").alias("r"), F.col(key).alias("k"), _text_id(key, text).alias("tid")).alias("d")
-    both = rows.join(starts.alias("s"), (F.col("d.tid") == F.col("s.tid")) & F.col("d.k").eqNullSafe(F.col("s.k")), "left").select("r", "starts")
+    rows = docs.select(F.struct("*").alias("r"), F.col(key).alias("k"), _text_id(key, text).alias("tid"))
+    some, others = split_by_flags(rows, starts, "tid", scratch, "flags")
+    both = some.alias("d").join(starts.alias("s"), (F.col("d.tid") == F.col("s.tid")) & F.col("d.k").eqNullSafe(F.col("s.k")), "left").select("r", "starts")
+    both = both.unionAll(others.select("r", F.lit(None).cast(starts.schema["starts"].dataType).alias("starts")))
     own = F.col(f"r.{quoted(text)}")
     lines = F.split(own, "\n")
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (size - 1)))))

@@ -15,7 +15,7 @@ offsets of a sequence are gapless.
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,6 +38,26 @@ BINS = "total int, members binary"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+def byte_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """The ranks (bytes of a token: id) and special tokens of a byte-level vocabulary file in JSON.
+
+    Such a file writes each byte as one visible character: bytes that are visible themselves,
+    and the others in order from U+0100 on.  Merges must stand in the order of their ids,
+    which makes ids ranks.
+    """
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    byte_of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    special = {t["content"]: t["id"] for t in whole["added_tokens"]}
+    vocab = whole["model"]["vocab"]
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in whole["model"]["merges"]]
+    if any(a >= b for a, b in zip(made, made[1:], strict=False)):
+        raise ValueError(f"the merges of {path} aren't in the order of their ids")
+    return {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items() if t not in special}, special
+
+
 class ByteEncoder:
     """Ids of texts in a byte-level vocabulary, as little-endian uint32 bytes, with a bounded cache of words.
 
@@ -45,9 +65,8 @@ class ByteEncoder:
     text may be cut before a space that follows another kind of character.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int], cached_words: int = 500_000):
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, path: str, pattern: str, cached_words: int = 500_000):
+        ranks, special = byte_ranks(path)
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.special = special
         self.find_special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
@@ -75,8 +94,8 @@ class ByteEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...]) -> ByteEncoder:
-    return ByteEncoder(ranks_path, pattern, dict(special))
+def encoder(path: str, pattern: str) -> ByteEncoder:
+    return ByteEncoder(path, pattern)
 
 
 def cut(ids: bytes, size: int) -> list[tuple[int, int]]:
@@ -117,9 +136,9 @@ def _packed(sizes: list[int], members: list[bytes], size: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array([sum(sizes[k] for k in b) for b in part], pa.int32()), pa.array([b"".join([members[k] for k in b]) for b in part], pa.binary())], names=["total", "members"])
 
 
-def _tokenized(ranks_path: str, pattern: str, special: tuple, size: int, most_items: int):
+def _tokenized(path: str, pattern: str, size: int, most_items: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_path, pattern, special)
+        enc = encoder(path, pattern)
         sizes: list[int] = []
         members: list[bytes] = []
         for b in batches:
@@ -168,14 +187,15 @@ def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], *, size: int = 2048, slack: int = 16, group_bins: int = 10_000, fan_in: int = 8, most_items: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, *, size: int = 2048, slack: int = 16, group_bins: int = 10_000, fan_in: int = 8, most_items: int = 200_000) -> DataFrame:
     """One row for each piece of every document, with its sequence and its place there.
 
-    A bin with at most slack tokens of room is done.  A task packs at most most_items at once.
+    path is a byte-level vocabulary in JSON, pattern the one that splits its words.  Rounds go
+    on until all that is left met in one group, or a round saves no bin.  A bin with at most slack tokens of room is done.  A task packs at most most_items at once.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    level = scratch.keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenized(ranks_path, pattern, tuple(sorted(special.items())), size, most_items), BINS), "level-0")
+    level = scratch.keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenized(path, pattern, size, most_items), BINS), "level-0")
     done, under = [level.where(F.col("total") >= size - slack)], level.where(F.col("total") < size - slack)
     left, groups = under.count(), 1 << 62
     k = 0
@@ -187,7 +207,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int]
         after = now.count()
         done.append(level.where(F.col("total") >= size - slack))
         saved, left, under = left - after, after, now
-        if groups == 1 or saved * 50 < after:
+        if groups == 1 or not saved:
             break
     out = under
     for d in done:

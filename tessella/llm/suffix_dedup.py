@@ -339,7 +339,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 400, gram: int = 64, chunk: i
     wants = scratch.keep(compare.groupBy("key", "tid").agg(F.collect_list(want).alias("want")), "wants")
 
     # their bytes, from the texts that hold them
-    flagged, _ = split_by_flags(rows, wants, "tid")
+    flagged, _ = split_by_flags(rows, wants, "tid", scratch, "flags-1")
     fetched = scratch.keep(flagged.join(wants, ["key", "tid"]).dropDuplicates(["key", "tid"]).select("key", "text", "want").mapInArrow(_contexts(size), CONTEXTS), "fetched")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = fetched.where("context is not null").select("a", "c1", "c2", "once", "k", "context").repartition(tasks, "a").sortWithinPartitions("a")
@@ -352,7 +352,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 400, gram: int = 64, chunk: i
 
     marks = held.join(verdict, ["a", "c1", "c2"]).groupBy("key", "tid").agg(F.collect_set(F.struct("s0", "runs")).alias("marks"))
     marks = scratch.keep(marks, "marks")
-    flagged, others = split_by_flags(rows, marks, "tid")
+    flagged, others = split_by_flags(rows, marks, "tid", scratch, "flags-2")
     cut = flagged.join(marks, ["key", "tid"], "left").select("doc_id", "text", "marks")
     kind = cut.schema["marks"].dataType
     return cut.unionAll(others.select("doc_id", "text", F.lit(None).cast(kind).alias("marks"))).mapInArrow(_removed(size), RESULT)

@@ -85,3 +85,49 @@ def test_edges(spark, docs, rows, empty):
     assert decontaminate.find(docs, bench.limit(0)).count() == 0
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 1
+
+
+def test_groups_of_like_lengths():
+    """Every row once; none is padded to more than twice its length, or 16 words, and no group is large unless its row is."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    n = np.concatenate([rng.integers(1, 300, 40_000), [200_000, 150_000, 3_000_000]])
+    groups = list(decontaminate.like_lengths(n))
+    assert sorted(np.concatenate(groups).tolist()) == list(range(len(n)))
+    for g in groups:
+        assert n[g].max() < 2 * max(n[g].min(), 8)
+        assert len(g) == 1 or len(g) * n[g].max() <= decontaminate.WAVE_WORDS
+
+
+def test_a_long_item_beside_short_ones():
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(6000))
+    texts = [long, *(prose(rng, 20) for _ in range(50))]
+    items = decontaminate.prepare(list(range(len(texts))), texts, 0.8, 64, 4)
+    words, indptr, _, _ = decontaminate.word_hashes(*_raw("before " + long + " after"))
+    assert (0, 0) in decontaminate.search(items, words, indptr, 64, 4)
+
+
+def _raw(text):
+    import numpy as np
+
+    b = text.encode()
+    return np.frombuffer(b, np.uint8), np.array([0, len(b)])
+
+
+def test_agreement_of_walks():
+    """Strings at the similarity agree on the share of coordinates that the number of tables is chosen for, or more."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    shares = []
+    for n in (20, 50, 120):
+        for _ in range(60):
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            b = a.copy()
+            b[rng.choice(n, n // 5, replace=False)] = rng.integers(0, 2**63, n // 5).astype(np.uint64)
+            pair = np.stack([a, b])
+            shares += [float((e[0] == e[1]).mean()) for e in [decontaminate.walk(pair, np.array([n, n]), 0)]]
+    assert np.quantile(shares, 0.05) >= decontaminate.AGREE
+    assert decontaminate.tables_for(decontaminate.RECALL, decontaminate.AGREE, 4) == 66

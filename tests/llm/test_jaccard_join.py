@@ -71,8 +71,9 @@ def test_families_on_both_sides_of_the_threshold(spark):
     rows = families(5)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(docs) == brute(rows)
-    # every group counts as large, and blocks are tiny: pivots and block products alone give the same
-    assert found(docs, few=1, block_grams=300) == brute(rows)
+    # tiny blocks: large homes and classes are cut, and pairs of blocks meet in tasks of their own
+    assert found(docs, block_grams=300) == brute(rows)
+    assert found(docs, block_grams=40) == brute(rows)
 
 
 def test_one_representative_of_each_class(spark):
@@ -88,8 +89,44 @@ def test_one_representative_of_each_class(spark):
     assert len(kept) == len(groups)
 
 
-def test_overlap_counts():
+def block(sets, roots=None):
+    return jj.Block(np.arange(len(sets)), np.array(roots if roots is not None else range(len(sets))), np.array([len(x) for x in sets]), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets))
+
+
+def test_product():
+    """Overlaps of all pairs of different classes whose sizes reach the similarity, whatever the slab."""
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 40, 15)).astype(np.uint64) for _ in range(12)]
-    got = jj.overlap_counts(sets[:5], sets[5:])
-    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(40)]
+    one, two = sets[:15], sets[15:]
+    roots = rng.integers(0, 6, 40)
+    reach = lambda a, b: 100 * min(len(a), len(b)) >= 60 * max(len(a), len(b))
+    want = {(i, j): len(np.intersect1d(a, b)) for i, a in enumerate(one) for j, b in enumerate(two) if roots[i] != roots[15 + j] and reach(a, b) and len(np.intersect1d(a, b))}
+    for slab in (1, 50, 1 << 20):
+        got = {}
+        for i, j, k in jj.product(block(one, roots[:15]), block(two, roots[15:]), 60, slab):
+            for key in zip(i.tolist(), j.tolist(), k.tolist()):
+                assert key[:2] not in got
+                got[key[:2]] = key[2]
+        assert got == want
+
+
+def test_prefix_overlap_is_a_bound():
+    """Rows that reach the similarity share at least that many prefix n-grams, in any fixed order."""
+    rng = np.random.default_rng(2)
+    for _ in range(4000):
+        a = rng.choice(60, rng.integers(1, 50), replace=False)
+        b = np.unique(np.concatenate([rng.permutation(a)[: max(1, len(a) - rng.integers(0, 4))], rng.choice(60, rng.integers(0, 4))]))
+        for percent in (80, 85):
+            if jj.reaches(len(np.intersect1d(a, b)), len(a), len(b), percent):
+                cut = lambda x: np.sort(x)[: jj.prefix_length(len(x), percent)]
+                assert len(np.intersect1d(cut(a), cut(b))) >= jj.prefix_overlap(len(a), len(b), percent)
+
+
+def test_both_products_run(spark, monkeypatch):
+    """A row that is a near copy of neither the pivot nor its copies, and two that are near copies of each other only."""
+    seen = []
+    own = jj._block_products
+    monkeypatch.setattr(jj, "_block_products", lambda *a: seen.append(a[0].count()) or own(*a))
+    rows = families(8)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert seen and seen[0] > 2

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +12,7 @@ from tests.llm.test_token_counts import TEXTS
 from tessella.llm import packing
 
 LIB = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-ARGS = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+ARGS = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 ENCODER = packing.ByteEncoder(*ARGS)
 
 
@@ -21,6 +22,12 @@ def test_ids_equal_the_library(text):
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == LIB.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_every_text_of_a_table():
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    for text, want in zip(texts, LIB.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == want.ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=40))
 def test_best_fit(sizes):

@@ -72,5 +72,25 @@ def test_near_copies_by_five_words_and_four_fifths(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - near
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, names that operators use inside or that need quotes, null columns and repeated ids."""
+    cols = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, __lang string, `a.b` string, `c``d` string, row string, tid long, __word int, starts string, r string"
+    text = "the house by the river\nhas a green roof\nand a silver door " * 4
+    row = lambda d, t, lang: (d, t, lang, None, None, "mine", "own", "dotted", "ticked", "row", 5, 6, "s", "r")
+    rows = [row(1, text, "en"), row(1, text, "en"), row(1, text + " and more of it", "en"), row(None, text.upper(), None), row(2, None, "en"), row(3, "", None), row(4, "Das Haus am Fluss hat ein Dach und einen Garten " * 3, "de")]
+    spark.createDataFrame([(1, "no such words in any text at all here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, cols)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "pack":
+                assert out.columns == docs.columns
+                got = out.collect()
+                assert all(tuple(r[5:]) == tuple(rows[0][5:]) for r in got)
+                docs = spark.createDataFrame(got, docs.schema)
+        assert (out.count() > 0) == bool(given)
+    assert {r["doc_id"] for r in docs.collect()} <= {1, 4, None}
+
+
 def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
