@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing.
 
-The hashes of all runs of k characters are taken, and from every w neighbouring ones the
-least is kept, of equals the rightmost.  Any run of w + k - 1 characters that two texts
+The hashes (40 bits) of all runs of k characters are taken, and from every w neighbouring ones
+the least is kept, of equals the rightmost.  Any run of w + k - 1 characters that two texts
 share has a kept hash, at the same place of the run, in both; positions are kept with the
 hashes, so that matches can be located.
 
@@ -26,6 +26,8 @@ from .common import mix64
 
 _U = np.uint64
 K, W = 16, 64
+#: Hashes are the upper 40 bits, so that they and a place fit into 64 when windows are compared.
+_TOP = _U(0xFFFFFFFFFF000000)
 
 
 def code_points(text: str) -> np.ndarray:
@@ -86,8 +88,8 @@ def winnow(text: str | None, k: int = K, w: int = W) -> tuple[np.ndarray, np.nda
     code = code_points(text)
     if len(code) < k:
         whole = gram_hashes(code, len(code)) * _U(0xC4CEB9FE1A85EC53) + _U(len(code))
-        return mix64(whole), np.zeros(1, np.int64)
-    h = gram_hashes(code, k)
+        return mix64(whole) & _TOP, np.zeros(1, np.int64)
+    h = gram_hashes(code, k) & _TOP
     at = window_minima(h, w)
     return h[at], at
 
@@ -101,9 +103,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def digest(hashes: np.ndarray) -> str:
-    """The distinct kept hashes, ascending, 8 hexadecimal digits each."""
-    return (np.unique(hashes) >> _U(32)).astype(">u4").tobytes().hex()
+def digest(hashes: np.ndarray, at: np.ndarray) -> tuple[str, list[int]]:
+    """The distinct kept hashes, ascending, 10 hexadecimal digits each, and the last place of each."""
+    order = np.lexsort((-at, hashes))
+    own, first = np.unique(hashes[order], return_index=True)
+    digits = (own >> _U(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+    return digits.tobytes().hex(), at[order][first].tolist()
 
 
 def fingerprint(docs: DataFrame, *, text: str = "text", k: int = K, w: int = W) -> DataFrame:
@@ -123,7 +128,7 @@ def fingerprint(docs: DataFrame, *, text: str = "text", k: int = K, w: int = W)
     return rest.mapInArrow(apply, StructType([*rest.schema.fields[:-1], StructField("hashes", kind), StructField("positions", kind)]))
 
 
-COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>, edited_positions array<int>"
 
 
 def edited(text: str, following: str) -> str:
@@ -136,15 +141,16 @@ def _compared(k: int, w: int):
     """Rows (p, extra, doc_id, text) in order; the first extra row of a range only follows the others."""
 
     def result(row: tuple, following: tuple) -> tuple:
-        doc, text, own = row
+        doc, text, (own, at) = row
         new = edited(text, following[1])
-        other = winnow(new, k, w)[0]
+        other, other_at = winnow(new, k, w)
         sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-        return doc, len(text), sha, digest(own), digest(other), likeness(own, other), likeness(own, following[2])
+        (print_, places), (new_print, new_places) = digest(own, at), digest(other, other_at)
+        return doc, len(text), sha, print_, new_print, likeness(own, other), likeness(own, following[2][0]), places, new_places
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions", "edited_positions"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, closed = None, None, False
@@ -156,7 +162,7 @@ def _compared(k: int, w: int):
                 if closed or (extra and last is None):
                     continue
                 text = cell.as_py()
-                row = (doc, text, winnow(text, k, w)[0])
+                row = (doc, text, winnow(text, k, w))
                 if last is not None:
                     out.append(result(last, row))
                     if len(out) >= 1000:
@@ -172,6 +178,9 @@ def _compared(k: int, w: int):
 def compare_with_next(docs: DataFrame, *, ranges: int | None = None, k: int = K, w: int = W) -> DataFrame:
     """Each document beside its edited text, whose last half is the start of the next document's.
 
+    positions holds the place of each hash of the fingerprint, in its order, so that a match of
+    two fingerprints can be located in both texts.
+
     Documents are ordered by doc_id (nulls first), then text, and the last is followed by the
     first.  They are dealt out in ranges whose bounds are ids that occur, so the only text a
     range needs from outside is its successor's first; those few are dealt out twice.  The

@@ -21,6 +21,8 @@ def test_window_minima(values, w):
 def test_shared_runs_share_a_hash(left, run, right):
     a, b = (fp.winnow(t, 6, 16) for t in (left + run, run + right))
     assert set(a[0].tolist()) & set(b[0].tolist())
+    # and their positions locate the run: a kept hash stands at the same place of it in both
+    assert {(h, p - len(left)) for h, p in zip(*map(np.ndarray.tolist, a), strict=True)} & {(h, p) for h, p in zip(*map(np.ndarray.tolist, b), strict=True) if p + 6 <= len(run)}
 
 
 def test_compare_with_next(docs, rows, empty):
@@ -29,8 +31,9 @@ def test_compare_with_next(docs, rows, empty):
     for (d, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
         half = len(t) // 2
         new = t[: len(t) - half] + nxt[:half]
-        own, other, follow = (fp.winnow(x)[0] for x in (t, new, nxt))
-        want.append((str(d), len(t), hashlib.sha256(new.encode()).hexdigest(), fp.digest(own), fp.digest(other), fp.likeness(own, other), fp.likeness(own, follow)))
+        own, other, follow = (fp.winnow(x) for x in (t, new, nxt))
+        (print1, at1), (print2, at2) = fp.digest(*own), fp.digest(*other)
+        want.append((str(d), len(t), hashlib.sha256(new.encode()).hexdigest(), print1, print2, fp.likeness(own[0], other[0]), fp.likeness(own[0], follow[0]), at1, at2))
     for ranges in (None, 1, 30):
         got = fp.compare_with_next(docs, ranges=ranges).collect()
         assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
@@ -38,6 +41,15 @@ def test_compare_with_next(docs, rows, empty):
     assert fp.compare_with_next(docs.where("doc_id = 4")).collect()[0]["near_next"] == 1.0
 
 
+def test_digest():
+    h, at = fp.winnow("the same words and the same words and the same words again", 6, 16)
+    digits, places = fp.digest(h, at)
+    assert len(digits) == 10 * len(places) == 10 * len(set(h.tolist()))
+    for i, p in enumerate(places):
+        own = int(digits[10 * i : 10 * i + 10], 16) << 24
+        assert p == max(q for x, q in zip(h.tolist(), at.tolist(), strict=True) if x == own)
+
+
 def test_positions(docs, rows):
     out = fp.fingerprint(docs.select("doc_id", "text", "k")).collect()
     assert len(out) == len(rows) and all(len(r["hashes"]) == len(r["positions"]) for r in out)
