@@ -9,9 +9,14 @@ card and phone: each has potentials from its shape, neighbours in reading order
 passing gives every other candidate's marginals; a candidate that is surely of a kind is
 added as a span.
 
-The weights are fitted by pseudo-likelihood on a bounded sample: documents picked by a hash
-of the id, about ``fit_docs`` of them, at most ``fit_nodes`` candidates of each.  Half of the
-base spans of the sample are hidden, so that the links learn what they tell.
+The patterns' own labels don't say what a broken mention looks like, so the fit writes some
+itself: into documents that hold base spans it inserts mentions of them in another form
+(``broken``), whose label is known, and beside each a number or address of the same form that
+is nobody's (``strange``), labelled none.  What the patterns leave and no skip link ties to a
+base span counts as none as well.  Weights are fitted by pseudo-likelihood on four fifths of
+a bounded sample: documents picked by a hash of id and text, about ``fit_docs`` of them, of each
+the first ``fit_nodes`` candidates.  On the last fifth the least marginal is chosen that
+keeps ``precision`` of the inserted candidates right; that is what "surely" means.
 
 Defined results: a null or empty text has no spans; offsets are code points, ends exclusive;
 equal spans of two kinds both stay; repeated rows are treated alike; with no base span in the
@@ -21,9 +26,10 @@ sample only base spans are found; only the id and the text are read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +46,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){13,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOOSE_DIGITS = re.compile(r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[ ().-]{0,2}[0-9]){6,}(?![0-9A-Za-z])")
-_LOOSE_AT = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9][A-Za-z0-9.-]*")
+_AT = re.compile(r" ?(?:@|\(at\)|\[at\]) ?")
+_HOST = re.compile(r"[A-Za-z0-9][A-Za-z0-9.-]*")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -58,6 +65,22 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             done, at = at + 1, text.find("@", at + 1)
 
 
+def _loose_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Spelled-out or broken addresses, leftmost first; each character is looked at a bounded number of times."""
+    done, at = 0, _AT.search(text)
+    while at:
+        start = at.start()
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        host = _HOST.match(text, at.end())
+        if start < at.start() and host:
+            yield start, host.end()
+            done = host.end()
+        else:
+            done = at.start() + 1
+        at = _AT.search(text, max(done, at.start() + 1))
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -97,6 +120,7 @@ class Field:
     base: np.ndarray
     shape: np.ndarray
     links: np.ndarray  # (from, to, type): 0 chain, 1 same, 2 similar
+    told: np.ndarray | None = None  # labels known without the patterns, or -1
 
 
 SHAPES = 16
@@ -124,7 +148,7 @@ def field(text: str, most: int | None = None) -> Field:
     covered = sorted((a, b) for a, b, _ in base)
     loose = [(m.start(), m.end()) for m in _LOOSE_DIGITS.finditer(text)]
     if "@" in text or "at)" in text or "at]" in text:
-        loose += [(m.start(), m.end()) for m in _LOOSE_AT.finditer(text)]
+        loose += list(_loose_addresses(text))
     if loose:
         starts = np.array([a for a, _ in covered] or [1 << 60])
         reach = np.maximum.accumulate([b for _, b in covered] or [0])
@@ -150,6 +174,7 @@ def field(text: str, most: int | None = None) -> Field:
 class Weights:
     shape: np.ndarray  # SHAPES x labels
     pair: np.ndarray  # link type x labels x labels
+    sure: float = 0.9  # the least marginal of an added span
 
 
 #: A message that changes by less than this has settled.
@@ -211,25 +236,28 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def fit_weights(fields: list[Field], *, steps: int = 200, rate: float = 0.5, ridge: float = 1e-3) -> Weights:
     """Pseudo-likelihood: each target's label given its neighbours' labels.
 
-    Base spans have their kind; other candidates count as none unless a link of the skip
-    chain ties them to a base span, which leaves them out.  Every other base span is a target
-    by its links alone: the patterns decide its shape, so shapes would hide the links.
+    Base spans have their kind, told candidates their label; others count as none unless a link
+    of the skip chain ties them to a base span, which leaves them out.  Every other base span is
+    a target by its links alone: the patterns decide its shape, so shapes would hide the links.
     """
-    shape, label, links, at = [], [], [], 0
+    shape, label, given, links, at = [], [], [], [], 0
     for f in fields:
         y = f.base + 1
         loose = f.base < 0
         for a, b, kind in f.links:
             if kind and loose[a] != loose[b]:
                 y[a if loose[a] else b] = -1
+        if f.told is not None:
+            y = np.where(f.told >= 0, f.told, y)
         shape.append(f.shape)
         label.append(y)
+        given.append(loose)
         links.append(f.links + np.array([at, at, 0]))
         at += len(y)
     x, y, e = np.concatenate(shape), np.concatenate(label), np.concatenate(links)
     known = y >= 0
     e = e[known[e[:, 0]] & known[e[:, 1]]]
-    blind = (np.arange(len(y)) % 2 == 0) & (y > 0)
+    blind = (np.arange(len(y)) % 2 == 0) & (y > 0) & ~np.concatenate(given)
     x = np.where(blind[:, None], 0.0, x)
     n, m = len(y), len(LABELS)
     w, t = np.zeros((SHAPES, m)), np.zeros((3, m, m))
@@ -248,7 +276,73 @@ def fit_weights(fields: list[Field], *, steps: int = 200, rate: float = 0.5, rid
     return Weights(w, t)
 
 
-def spans(text: str | None, weights: Weights | None, sure: float = 0.9) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def broken(s: str, kind: int, form: int) -> str:
+    """Another form of a base span, which the patterns miss."""
+    if kind == 0:
+        return s.replace("@", (" (at) ", " [at] ", "(at)", " @ ")[form % 4])
+    if kind == 1:
+        return s.replace(".", ("-", " ", ". ", " .")[form % 4])
+    d = _digits(s)
+    if kind == 2:
+        return (".", "  ", " .", "--")[form % 4].join(d[k : k + 4] for k in range(0, len(d), 4))
+    return (s.lstrip("+"), d, f"{d[:-10]}({d[-10:-7]}){d[-7:-4]}.{d[-4:]}", f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}")[form % 4]
+
+
+def strange(s: str, seed: int) -> str:
+    """s with other digits and letters: the same form, but nobody's."""
+    out, h = [], seed
+    for c in s:
+        h = (h * 6364136223846793005 + 1442695040888963407) & 0xFFFFFFFFFFFFFFFF
+        out.append(chr(48 + (h >> 33) % 10) if "0" <= c <= "9" else chr(97 + (h >> 33) % 26) if "a" <= c <= "z" and "at" not in s else c)
+    return "".join(out)
+
+
+def with_broken_mentions(text: str, seed: int, most: int | None = None) -> Field:
+    """The candidates of text with a broken mention, and a strange one, of every other base span inserted at spaces."""
+    gaps = [m.start() for m in re.finditer(" ", text)] or [len(text)]
+    new: list[tuple[int, str, int]] = []
+    for n, (a, b, kind) in enumerate(base_spans(text)[:most]):
+        h = zlib.crc32(f"{seed}:{n}".encode())
+        if h & 1:
+            mention = broken(text[a:b], kind, h >> 1)
+            at = gaps[(h >> 3) % len(gaps)], gaps[(h >> 13) % len(gaps)]
+            new += [(at[0], mention, kind + 1), (at[1], strange(mention, h), 0)]
+    parts, spots, done, size = [], [], 0, 0
+    for at, mention, label in sorted(new):
+        parts += [text[done:at], "; ", mention, " ;"]
+        size += at - done + 2
+        spots.append((size, size + len(mention), label))
+        size += len(mention) + 2
+        done = at
+    f = field("".join([*parts, text[done:]]), most)
+    told = np.full(len(f.base), -1)
+    for k, (a, b) in enumerate(f.spans):
+        for x, y, label in spots:
+            if f.base[k] < 0 and a < y and x < b:
+                told[k] = label
+    f.told = told
+    return f
+
+
+def threshold(fields: list[Field], w: Weights, precision: float) -> float:
+    """The least marginal at which this share of the told candidates that are named of a kind are of it; more than 1 if none."""
+    best, right = [], []
+    for f in fields:
+        if f.told is None or not (f.told >= 0).any():
+            continue
+        p = marginals(f, w, np.where(f.base >= 0, f.base + 1, -1))[f.told >= 0]
+        named = p[:, 1:].argmax(axis=1) + 1
+        best.append(p[np.arange(len(p)), named])
+        right.append(named == f.told[f.told >= 0])
+    if not best:
+        return w.sure
+    p, ok = np.concatenate(best), np.concatenate(right)
+    order = np.argsort(-p, kind="stable")
+    good = np.flatnonzero(np.cumsum(ok[order]) >= precision * np.arange(1, len(p) + 1))
+    return max(0.5, float(p[order][good[-1]])) if len(good) else 2.0
+
+
+def spans(text: str | None, weights: Weights | None, sure: float | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) of a text, each (start, end, kind) by start, then kind."""
     if not text:
         return [], []
@@ -262,36 +356,53 @@ def spans(text: str | None, weights: Weights | None, sure: float = 0.9) -> tuple
     added = []
     for k in np.flatnonzero(f.base < 0):
         best = int(p[k].argmax())
-        if best and p[k, best] >= sure:
+        if best and p[k, best] >= (weights.sure if sure is None else sure):
             added.append((*f.spans[k], best - 1))
     return base, sorted(base + added, key=lambda s: (s[0], s[2], s[1]))
 
 
-def fit(docs: DataFrame, *, fit_docs: int = 20_000, fit_nodes: int = 200) -> Weights | None:
-    """Weights from about fit_docs documents of docs; None if they hold no base span."""
+def fit(docs: DataFrame, *, fit_docs: int = 20_000, fit_nodes: int = 200, precision: float = 0.98) -> Weights | None:
+    """Weights from about fit_docs documents of docs (at most twice as many); None if they hold no base span.
+
+    Half of them by chance are fitted with broken mentions inserted, and all as they are.
+    """
     total = docs.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = docs.where(share < min(1.0, fit_docs / total) if total else F.lit(False)).select(F.col("doc_id").cast("long"), "text")
+    text = F.col("text")
+    key = F.xxhash64(F.col("doc_id").cast("long"), text)
+    share = F.pmod(key, F.lit(1 << 30)) / float(1 << 30)
+    sample = docs.where(share < min(1.0, fit_docs / total) if total else F.lit(False)).select(key.alias("key"), text)
+    if total > fit_docs and sample.count() > 2 * fit_docs:  # many rows of one id and text are in it: one of each
+        sample = sample.dropDuplicates(["key"])
+    names = ("base", "shape", "links", "told")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = defaultdict(list)
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                f = field(text.as_py() or "", fit_nodes)
-                if len(f.base):
-                    for name, value in (("doc", doc), ("base", f.base.tobytes()), ("shape", f.shape.tobytes()), ("links", f.links.tobytes())):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc"], pa.int64()), *(pa.array(out[c], pa.binary()) for c in ("base", "shape", "links"))], names=["doc", "base", "shape", "links"])
-
-    rows = sorted(sample.mapInArrow(apply, "doc long, base binary, shape binary, links binary").collect(), key=lambda r: (r["doc"] is None, r["doc"] or 0, bytes(r["base"]), bytes(r["shape"])))
-    fields = [Field([], np.frombuffer(r["base"], np.int64), np.frombuffer(r["shape"], float).reshape(-1, SHAPES), np.frombuffer(r["links"], np.int64).reshape(-1, 3)) for r in rows]
-    return fit_weights(fields) if any((f.base >= 0).any() for f in fields) else None
+            for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                whole = t.as_py() or ""
+                own = field(whole, fit_nodes)
+                found = [own, with_broken_mentions(whole, key, fit_nodes)] if (own.base >= 0).any() else [own]
+                for f in found:
+                    if len(f.base):
+                        told = np.full(len(f.base), -1) if f.told is None else f.told
+                        for name, value in zip(("key", *names), (key, *(x.tobytes() for x in (f.base, f.shape, f.links, told))), strict=True):
+                            out[name].append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), *(pa.array(out[c], pa.binary()) for c in names)], names=["key", *names])
+
+    rows = sample.mapInArrow(apply, "key long, base binary, shape binary, links binary, told binary")
+    rows = sorted(rows.collect(), key=lambda r: (r["key"], bytes(r["base"]), bytes(r["shape"])))
+    fields = [Field([], np.frombuffer(r["base"], np.int64), np.frombuffer(r["shape"], float).reshape(-1, SHAPES), np.frombuffer(r["links"], np.int64).reshape(-1, 3), np.frombuffer(r["told"], np.int64)) for r in rows]
+    if not any((f.base >= 0).any() for f in fields):
+        return None
+    tune = [r["key"] % 5 == 0 for r in rows]
+    w = fit_weights([f for f, t in zip(fields, tune, strict=True) if not t] or fields)
+    return replace(w, sure=threshold([f for f, t in zip(fields, tune, strict=True) if t], w, precision))
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
-def find(docs: DataFrame, weights: Weights | None, *, sure: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, weights: Weights | None, *, sure: float | None = None) -> DataFrame:
     """One row for each document: doc_id, base and spans (both arrays of kind, start, end)."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -29,6 +30,8 @@ def test_base_spans(text):
 def test_long_runs_take_linear_time():
     assert pii.base_spans("a" * 300_000 + "1" * 300_000 + "." * 1000) == []
     assert len(pii.base_spans("1.1.1.1." * 20_000)) == 20_000
+    for text in ("a" * 300_000 + "@", "@" + "a" * 300_000, "a@" * 100_000, "a (at) " * 50_000, "1 " * 200_000 + "x", "1" * 300_000 + "x", "(1" * 100_000, "x" * 300_000 + " at) (at) y"):
+        pii.field(text)
 
 
 def trained():
@@ -48,6 +51,31 @@ def test_links_carry_labels():
     assert pii.spans("nothing here 12345", w) == ([], [])
 
 
+def test_broken_mentions_are_found_and_strange_ones_left(spark):
+    """On documents that the fit has not seen: mentions in another form, decoys of the same form, and plain documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    w = pii.fit(docs.where("doc_id % 2 = 0"))
+    assert 0.5 <= w.sure <= 1
+    rng = random.Random(1)
+    found = named = added = n = 0
+    for r in docs.where("doc_id % 2 = 1").collect():
+        base, every = pii.spans(r["text"], w)
+        assert set(base) <= set(every)
+        added += len(every) - len(base)
+        if base:
+            a, b, kind = base[0]
+            mention = pii.broken(r["text"][a:b], kind, rng.randrange(4))
+            decoy = pii.strange(mention, rng.randrange(10**9))
+            head = r["text"] + "\nseen again: "
+            text = f"{head}{mention} and also {decoy} here"
+            own = pii.spans(text, w)[1]
+            at = len(head) + len(mention) + 10
+            found += any(x < len(head) + len(mention) and y > len(head) and k == kind for x, y, k in own)
+            named += any(x < at + len(decoy) and y > at for x, y, _ in set(own) - set(pii.base_spans(text)))
+            n += 1
+    assert n > 150 and found >= 0.95 * n and named <= 0.02 * n and added == 0
+
+
 def test_message_passing_equals_enumeration_on_a_tree():
     f = pii.field("x@y.zz 1234567 then 12345678")
     f.links = f.links[f.links[:, 2] == 0]
