@@ -5,8 +5,11 @@ All DataFrame expressions.  Training labels are the verdicts of the rules.  At m
 to distinct bin vectors with weights and written once.  A boosting level is one aggregation
 of that table into gradient histograms (nodes x features x bins cells, whatever the input),
 from which the splits follow; the trees become one CASE expression over the features.
-Suffix statistics are the smoothed share of blocked rows of a host's last label in the
-sample, at most fit_rows of them, in a map that is part of the plan.
+Suffix statistics are the smoothed shares of blocked rows by a host's last label and by a
+path's first folder in the sample, for those of at least ``support`` rows (so at most
+fit_rows / support of each), in maps that are part of the plan.  What has no such share takes
+the mean of a split's two sides, by the rows that were on each, so that the other features
+decide.
 
 Defined results: a null URL, or one without "://", has an empty host and path, fits no rule
 and is judged by the model; without labelled URLs every verdict of the model is "allow";
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ("length", "host_length", "depth", "labels", "digit_ratio", "entropy", "params", "hyphens", "suffix_rate")
+FEATURES = ("length", "host_length", "depth", "labels", "digit_ratio", "entropy", "params", "hyphens", "suffix_rate", "folder_rate")
 
 
 @dataclass(frozen=True)
@@ -44,19 +47,21 @@ class Split:
     at_most: float
     low: Split | float
     high: Split | float
+    #: Share of the rows on the low side, for rows without the feature.
+    share: float = 0.5
 
     def column(self) -> Column:
         low, high = (x.column() if isinstance(x, Split) else F.lit(float(x)) for x in (self.low, self.high))
-        return F.when(F.col(self.feature) <= self.at_most, low).otherwise(high)
+        known = F.when(F.col(self.feature) <= self.at_most, low)
+        return known.when(F.col(self.feature).isNull(), low * self.share + high * (1 - self.share)).otherwise(high) if self.feature.endswith("_rate") else known.otherwise(high)
 
 
 @dataclass(frozen=True)
 class Model:
     base: float
     trees: tuple[Split | float, ...]
-    #: Share of blocked rows by host suffix, and of all rows.
-    rates: tuple[tuple[str, float], ...]
-    rate: float
+    #: Shares of blocked rows by host suffix, and by first folder.
+    rates: tuple[tuple[tuple[str, float], ...], tuple[tuple[str, float], ...]]
 
     def log_odds(self) -> Column:
         return reduce(lambda a, t: a + (t.column() if isinstance(t, Split) else F.lit(float(t))), self.trees, F.lit(self.base))
@@ -91,12 +96,16 @@ def suffix(host: Column) -> Column:
     return F.element_at(F.split(host, r"\."), -1)
 
 
-def with_features(rows: DataFrame, model_rates: tuple[tuple[str, float], ...], rate: float) -> DataFrame:
+def folder(path: Column) -> Column:
+    return F.regexp_extract(path, "^/([^/]*)/", 1)
+
+
+def with_features(rows: DataFrame, model_rates: tuple[tuple[tuple[str, float], ...], ...]) -> DataFrame:
     """rows (url, host, path, ...) with the lexical features."""
     url = F.coalesce("url", F.lit(""))
     # the scheme, and what tells one page of a site from another, are left out
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    rates = F.create_map(*[F.lit(x) for pair in model_rates for x in pair]) if model_rates else F.create_map().cast("map<string,double>")
+    rates = [F.create_map(*[F.lit(x) for pair in r for x in pair]) if r else F.create_map().cast("map<string,double>") for r in model_rates]
     return rows.select(
         "*",
         F.length(url).cast("double").alias("length"),
@@ -107,7 +116,8 @@ def with_features(rows: DataFrame, model_rates: tuple[tuple[str, float], ...], r
         F.round(_entropy(url), 6).alias("entropy"),
         F.when(query == "", 0.0).otherwise(F.size(F.split(query, "&")).cast("double")).alias("params"),
         F.regexp_count("host", F.lit("-")).cast("double").alias("hyphens"),
-        F.coalesce(F.try_element_at(rates, suffix(F.col("host"))), F.lit(rate)).alias("suffix_rate"),
+        F.try_element_at(rates[0], suffix(F.col("host"))).alias("suffix_rate"),
+        F.try_element_at(rates[1], folder(F.col("path"))).alias("folder_rate"),
     )
 
 
@@ -126,7 +136,7 @@ def _best_split(cells: dict[tuple[int, int], tuple[float, float]], features: int
     return best
 
 
-def fit(labelled: DataFrame, *, fit_rows: int = 20_000, trees: int = 8, depth: int = 2, bins: int = 16, rate: float = 0.4, ridge: float = 1.0) -> Model:
+def fit(labelled: DataFrame, *, fit_rows: int = 20_000, trees: int = 8, depth: int = 2, bins: int = 16, support: int = 20, rate: float = 0.4, ridge: float = 1.0) -> Model:
     """Boosts trees of logistic loss on rows (url, host, path, verdict)."""
     import math
 
@@ -134,20 +144,22 @@ def fit(labelled: DataFrame, *, fit_rows: int = 20_000, trees: int = 8, depth: i
     y = F.col("verdict").eqNullSafe("block").cast("int")
     total = labelled.count()
     if not total:
-        return Model(-10.0, (), (), 0.0)
+        return Model(-10.0, (), ((), ()))
     share = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.where(share < min(1.0, fit_rows / total)).select("url", "host", "path", y.alias("y"))
     sample = scratch.keep(sample, "sample")
-    counted = sample.groupBy(suffix(F.col("host")).alias("s")).agg(F.count("*").alias("n"), F.sum("y").alias("k")).orderBy("s").collect()
-    n, k = sum(r["n"] for r in counted), sum(r["k"] for r in counted)
+    n, k = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n:
-        return Model(-10.0, (), (), 0.0)
+        return Model(-10.0, (), ((), ()))
     mean = (k + 0.5) / (n + 1)
-    rates = tuple((r["s"], (r["k"] + 10 * mean) / (r["n"] + 10)) for r in counted)
-    rows = with_features(sample, rates, mean)
+    rates = ()
+    for part in (suffix(F.col("host")), folder(F.col("path"))):
+        own = sample.groupBy(part.alias("s")).agg(F.count("*").alias("n"), F.sum("y").alias("k")).where(F.col("n") >= support).orderBy("s").collect()
+        rates = (*rates, tuple((r["s"], (r["k"] + 10 * mean) / (r["n"] + 10)) for r in own if r["s"] is not None))
+    rows = with_features(sample, rates)
     edges = rows.select(*[F.percentile_approx(f, [i / bins for i in range(1, bins)], 1000).alias(f) for f in FEATURES]).first()
-    cuts = {f: sorted(set(edges[f])) for f in FEATURES}
-    bin_of = lambda f: reduce(lambda a, c: a + (F.col(f) > c).cast("int"), cuts[f], F.lit(0))
+    cuts = {f: sorted(set(edges[f] or ())) for f in FEATURES}
+    bin_of = lambda f: reduce(lambda a, c: a + F.coalesce((F.col(f) > c).cast("int"), F.lit(0)), cuts[f], F.lit(0))
     binned = rows.select("y", *[bin_of(f).alias(f) for f in FEATURES]).groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("y").alias("k"))
     binned = scratch.keep(binned, "binned")
 
@@ -180,11 +192,12 @@ def fit(labelled: DataFrame, *, fit_rows: int = 20_000, trees: int = 8, depth: i
             f, b = splits[i]
             name = FEATURES[f]
             at = (cuts[name][b] if b < len(cuts[name]) else math.inf) if raw else float(b)
-            return Split(name, at, grown(2 * i, raw), grown(2 * i + 1, raw))
+            low, high = (leaf.get(c, (0.0, 0.0))[1] for c in (2 * i, 2 * i + 1))
+            return Split(name, at, grown(2 * i, raw), grown(2 * i + 1, raw), round(low / (low + high), 6) if low + high else 0.5)
 
         found.append(grown(1, raw=False))
-    to_raw = lambda t: t if not isinstance(t, Split) else Split(t.feature, cuts[t.feature][int(t.at_most)] if int(t.at_most) < len(cuts[t.feature]) else math.inf, to_raw(t.low), to_raw(t.high))
-    return Model(base, tuple(to_raw(t) for t in found), rates, mean)
+    to_raw = lambda t: t if not isinstance(t, Split) else Split(t.feature, cuts[t.feature][int(t.at_most)] if int(t.at_most) < len(cuts[t.feature]) else math.inf, to_raw(t.low), to_raw(t.high), t.share)
+    return Model(base, tuple(to_raw(t) for t in found), rates)
 
 
 def judge(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str = "url", fit_rows: int = 20_000) -> DataFrame:
@@ -194,6 +207,6 @@ def judge(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", name.alias("rule"), verdict.alias("verdict"))
     model = fit(rows.where("rule is not null"), fit_rows=fit_rows)
-    scored = with_features(rows, model.rates, model.rate).select("page_id", "host", "path", "rule", "verdict", (1 / (1 + F.exp(-model.log_odds()))).alias("block_probability"))
+    scored = with_features(rows, model.rates).select("page_id", "host", "path", "rule", "verdict", (1 / (1 + F.exp(-model.log_odds()))).alias("block_probability"))
     own = F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow")
     return scored.withColumn("verdict", F.coalesce("verdict", own))
