@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,33 @@ _MIX1, _MIX2 = _U64(0xFF51AFD7ED558CCD), _U64(0xC4CEB9FE1A85EC53)
 _S33 = _U64(33)
 
 
+#: Bytes of one Arrow batch: a task holds few of them, in Spark and in Python.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session's Arrow batches hold at most BATCH_BYTES; a smaller size that is set stays."""
+    own = spark.conf.get(_BATCH).removesuffix("b")
+    if not own.isdigit() or not 0 < int(own) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def trimmed(apply):
+    """apply, which gives the memory that it has freed back to the system when a task ends."""
+
+    @wraps(apply)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from apply(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 class Scratch:
     """Tables written to the shared folder and read back, which cuts lineage.
 
@@ -33,13 +62,17 @@ class Scratch:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base and not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        small_batches(spark)
         base = base or f"file://{tempfile.gettempdir()}/scratch-tables"
         self.spark, self.root = spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str, *, free: bool = False) -> DataFrame:
-        """Writes df and reads it again; free lets Spark delete the shuffle files behind it, which nothing reads any more."""
+    def keep(self, df: DataFrame, name: str, *, free: bool = False, packed: bool = False) -> DataFrame:
+        """Writes df and reads it again; free lets Spark delete the shuffle files behind it, which nothing reads any more.
+
+        Hashes don't shrink, so only tables of texts are packed (compressed).
+        """
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "snappy" if packed else "none").parquet(path)
         if free:
             self.spark._jvm.System.gc()  # a shuffle's files go when the driver has collected the plan that made them
         return self.spark.read.schema(df.schema).parquet(path)
@@ -66,6 +99,7 @@ def free_name(docs: DataFrame, name: str) -> str:
 
 def map_rows(docs: DataFrame, apply, more: tuple[StructField, ...] = ()) -> DataFrame:
     """mapInArrow over all columns of docs, whatever their names; apply may append the columns more."""
+    small_batches(docs.sparkSession)
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     return plain.mapInArrow(apply, StructType([*plain.schema.fields, *more])).toDF(*docs.columns, *[f.name for f in more])
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, map_rows, mix64, utf8_blocks, word_hashes
+from .common import combine, map_rows, mix64, trimmed, utf8_blocks, word_hashes
 
 _U = np.uint64
 _NONE = _U(0x6A09E667F3BCC909)  # what the walk emits beyond the last word
@@ -77,7 +77,7 @@ def tables_for(recall: float, agree: float, samples: int) -> int:
 
 
 #: Words of one group that is embedded at once.
-WAVE_WORDS = 1 << 20
+WAVE_WORDS = 1 << 18
 
 
 def like_lengths(n: np.ndarray) -> Iterator[np.ndarray]:
@@ -306,5 +306,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", similari
     tables = tables_for(recall, agree, samples)
     for items in _blocks(benchmark, similarity, tables, samples, block_words):
         held = docs.sparkSession.sparkContext.broadcast(items)
-        docs = map_rows(docs, _cleaner(held, docs.columns.index(text), tables, samples))
+        docs = map_rows(docs, trimmed(_cleaner(held, docs.columns.index(text), tables, samples)))
     return docs

@@ -12,10 +12,11 @@
    with the rows of their columns: linear in the group, and it settles most families.  The
    links so found give classes.
 5. Second product: a column group whose rows, the pivot aside, still are of several classes is
-   open.  Its rows are cut into blocks of bounded size, rows of one large class apart from the
-   others, and the blocks that share an open column are multiplied over the prefixes.  A pair
-   in one class can't change the classes and is dropped, like a pair whose sizes don't reach
-   the similarity, or whose overlap is below the bound that follows from its sizes.
+   open.  Open columns are put together into blocks of bounded size, and each block of the
+   incidence is multiplied with itself; a hot column is cut by rows, and those of its commonest
+   class don't meet each other.  A pair in one class can't change the classes and is dropped,
+   like a pair whose sizes don't reach the similarity, or whose overlap is below the bound that
+   follows from its sizes.
 6. Both products go over the prefixes first; what reaches the bounds there is multiplied over
    the whole sets.  Links give the classes (connected components).
 
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import COUNTS, Scratch, combine, count_tables, mix64, sequence_hash, split_by_flags, summed_table, utf8_blocks, word_hashes
+from .common import COUNTS, Scratch, combine, count_tables, mix64, sequence_hash, split_by_flags, summed_table, trimmed, utf8_blocks, word_hashes
 from .graph import components
 
 #: Cells of the table of counts: 2**20 in 16 slots, 4 MB, whatever the input.
@@ -99,7 +100,7 @@ def prefix_length(n: int, percent: int) -> int:
 def _described(n: int, percent: int, held):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = held.value
-        for b in batches:
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             size, hi, lo, common, prefix = [], [], [], [], []
             for x in row_sets(b.column(2), n):
                 c = count[_cell(x)]
@@ -249,7 +250,7 @@ def _verified(met: DataFrame, sets: DataFrame, rows: DataFrame, n: int, percent:
     met = scratch.keep(met.distinct(), f"{name}-met", free=True)
     wanted = scratch.keep(met.select(F.col("a").alias("uid")).unionAll(met.select("b")).distinct().join(sets.select("uid", "hi", "lo", "n", "tid"), "uid"), f"{name}-wanted")
     flagged, _ = split_by_flags(rows.select("tid", "text"), wanted.select("tid"), "tid", scratch, f"{name}-flags")
-    computed = flagged.select("text").mapInArrow(_sets_of(n), "hi long, lo long, grams binary")
+    computed = flagged.select("text").mapInArrow(trimmed(_sets_of(n)), "hi long, lo long, grams binary")
     grams = computed.join(wanted.select("hi", "lo", "uid", "n"), ["hi", "lo"]).groupBy("uid").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
     grams = scratch.keep(grams, f"{name}-grams", free=True)
     size = lambda c, k: wanted.select(F.col("uid").alias(c), F.col("n").alias(k))
@@ -267,8 +268,8 @@ def _classes(docs: DataFrame, n: int, percent: int, block_grams: int = 400_000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("tid"), "text")
 
-    count = sc.broadcast(summed_table(rows.select("text").mapInArrow(_counter(n), COUNTS), SLOTS, WIDTH))
-    meta = scratch.keep(rows.mapInArrow(_described(n, percent, count), "doc_id long, tid long, n long, hi long, lo long, pk long, prefix array<long>"), "meta")
+    count = sc.broadcast(summed_table(rows.select("text").mapInArrow(trimmed(_counter(n)), COUNTS), SLOTS, WIDTH))
+    meta = scratch.keep(rows.mapInArrow(trimmed(_described(n, percent, count)), "doc_id long, tid long, n long, hi long, lo long, pk long, prefix array<long>"), "meta")
     count.unpersist()
     sets = meta.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "tid")).alias("t"), F.first("n").alias("n"), F.first("pk").alias("pk"), F.first("prefix").alias("prefix"))
     sets = sets.select("hi", "lo", "first_id", F.col("t.tid").alias("tid"), "n", "pk", "prefix", F.monotonically_increasing_id().alias("uid"))
@@ -300,8 +301,8 @@ def _classes(docs: DataFrame, n: int, percent: int, block_grams: int = 400_000)
     classed = scratch.keep(shared.join(classes, "uid", "left").withColumn("root", F.coalesce("root", "uid")).select("s", "g", "uid", "root", "pivot"), "classed")
     scratch.drop("shared")
     others = F.when(F.col("uid") != F.col("pivot"), F.col("root"))
-    still = classed.groupBy("s", "g").agg(F.min(others).alias("r0"), F.max(others).alias("r1")).where("r0 < r1").select("s", "g")
-    left = scratch.keep(classed.join(still, ["s", "g"]).select("s", "g", "uid", "root"), "open", free=True)
+    still = classed.groupBy("s", "g").agg(F.min(others).alias("r0"), F.max(others).alias("r1"), F.count("*").alias("rows"), F.min("uid").alias("anchor")).where("r0 < r1")
+    left = scratch.keep(classed.join(still.drop("r0", "r1"), ["s", "g"]).select("s", "g", "uid", "root", "rows", "anchor"), "open", free=True)
     if not left.isEmpty():
         met = _block_products(left, sets, scratch, percent, block_grams)
         links = links.unionAll(_verified(met, sets, rows, n, percent, block_grams, scratch, "links-2"))
@@ -310,43 +311,49 @@ def _classes(docs: DataFrame, n: int, percent: int, block_grams: int = 400_000)
     named = sets.select("hi", "lo", "uid", "first_id").join(classes, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = scratch.keep(named.join(names, "root").select("hi", "lo", "first_id", "root", "component_id"), "named")
-    for name in ("sets", "classed", "open", "placed"):
+    for name in ("sets", "classed", "open", "dealt", "stars", "starred"):
         scratch.drop(name)
     return slim, named, scratch
 
 
-def _block_products(cells: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, block_grams: int) -> DataFrame:
-    """Pairs (a, b) of rows of open columns (cells: s, g, uid, root) that can reach the similarity as far as their prefixes tell.
+def _block_products(cells: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, block_grams: int, most_rows: int = 1024) -> DataFrame:
+    """Pairs (a, b) of rows of open columns (cells: s, g, uid, root, rows, anchor) that can reach the similarity as far as their prefixes tell.
 
-    A row's home is the least of its open columns, so rows with the same columns are likely to
-    share it.  The rows of a large home are cut into blocks, each large class apart; small homes
-    are put together (what they don't share costs nothing in a sparse product).
+    Blocks are made of columns: those with the same least row (anchor) are likely to hold the
+    same rows, so they are put together, about block_grams entries at a time, and a block is
+    multiplied with itself.  Each cell goes to one block.  A column of more than most_rows rows
+    is cut by rows: parts of its commonest class, which need not meet each other, and parts of
+    all others, which meet all.
     """
-    rows = cells.groupBy("uid").agg(F.min("s").alias("home"), F.first("root").alias("root")).join(sets.select("uid", F.size("prefix").cast("long").alias("weight")), "uid")
-    rows = scratch.keep(rows, "homes")
-    share = rows.groupBy("home", "root").agg(F.sum("weight").alias("weight"))
-    share = share.withColumn("class", F.when(F.col("weight") >= block_grams // 2, F.col("root")).otherwise(F.lit(-1)))
-    homes = share.groupBy("home", "class").agg(F.sum("weight").alias("weight"))
-    total = homes.agg(F.sum("weight")).first()[0]
-    buckets = max(1, 2 * total // block_grams)
-    parts = F.ceil(F.col("weight") / float(block_grams)).cast("int")
-    homes = homes.select("home", "class", parts.alias("parts"), (F.col("weight") < block_grams // 4).alias("small"))
-    place = F.when(F.col("small"), F.xxhash64(F.pmod(F.xxhash64("home"), F.lit(buckets)))).otherwise(F.xxhash64("home", "class", F.pmod(F.xxhash64("uid"), F.col("parts"))))
-    dealt = rows.join(share.select("home", "root", "class"), ["home", "root"]).join(homes, ["home", "class"]).select("uid", "root", "class", place.alias("block"))
-    placed = scratch.keep(cells.select("s", "g", "uid").join(dealt, "uid"), "placed")
-
-    blocks = placed.select("s", "g", F.col("block").alias("other"), F.col("class").alias("of")).distinct()
-    # rows of one large class are not multiplied with each other
-    pairs = placed.join(blocks, ["s", "g"]).where((F.col("class") == -1) | (F.col("class") != F.col("of")))
-    first, second = F.least("block", "other"), F.greatest("block", "other")
-    work = pairs.select(first.alias("one"), second.alias("two"), (F.col("block") > F.col("other")).cast("int").alias("side"), "uid", "root").distinct()
-    work = work.join(_entries(sets, rows), "uid").select("one", "two", "side", "uid", "root", "n", "grams")
-    return work.groupBy("one", "two").applyInArrow(_multiplied(percent, False), "a long, b long")
+    hot = F.col("rows") > most_rows
+    # ordinary columns, by anchor
+    columns = cells.where(~hot).groupBy("anchor", "s", "g").agg(F.count("*").alias("n"))
+    parts = columns.groupBy("anchor").agg(F.ceil(F.sum("n") / float(16 * most_rows)).cast("int").alias("parts"))
+    dealt = cells.where(~hot).join(parts, "anchor").select(F.col("anchor").alias("x"), F.pmod(F.xxhash64("s"), F.col("parts")).alias("y"), "uid", "root").distinct()
+    weight = sets.select("uid", F.size("prefix").alias("w"))
+    dealt = scratch.keep(dealt.join(weight, "uid"), "dealt", free=True)
+    total = dealt.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    bucket = F.pmod(F.xxhash64("x", "y"), F.lit(max(1, 2 * total // block_grams)))
+    work = dealt.select(bucket.alias("task"), F.lit(0).alias("side"), "uid", "root").distinct()
+
+    # hot ones, by row parts
+    large = cells.where(hot)
+    most = large.groupBy("s", "g", "root").agg(F.count("*").alias("n")).groupBy("s", "g").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("m1"), F.sum("n").alias("m"))
+    cut = lambda n: F.ceil(n / float(most_rows)).cast("int")
+    large = large.join(most.select("s", "g", "main", cut(F.col("m1")).alias("p1"), cut(F.col("m") - F.col("m1")).alias("p2")), ["s", "g"])
+    large = large.withColumn("own", F.when(F.col("root") == F.col("main"), F.pmod(F.xxhash64("uid"), F.col("p1"))).otherwise(F.col("p1") + F.pmod(F.xxhash64("uid"), F.col("p2"))).cast("int"))
+    first = F.when(F.col("own") < F.col("p1"), F.col("p1")).otherwise(F.lit(0))
+    large = large.withColumn("other", F.explode(F.sequence(first, F.col("p1") + F.col("p2") - 1)))
+    task = F.xxhash64("s", "g", F.least("own", "other"), F.greatest("own", "other"))
+    work = work.unionAll(large.select(task.alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"), "uid", "root"))
+
+    work = work.join(_entries(sets, cells), "uid").select("task", "side", "uid", "root", "n", "grams")
+    return work.groupBy("task").applyInArrow(_multiplied(percent, False), "a long, b long")
 
 
 def _entries(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """The entries (uid, n, grams) of the prefixes of some rows."""
-    return sets.join(rows.select("uid"), "uid", "left_semi").select("uid", "n", "prefix").mapInArrow(_packed, "uid long, n long, grams binary")
+    return sets.join(rows.select("uid").distinct(), "uid", "left_semi").select("uid", "n", "prefix").mapInArrow(_packed, "uid long, n long, grams binary")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
-from .common import map_rows
+from .common import map_rows, trimmed
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -117,7 +117,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
     for r in seen:
         if r["n"] > rows_per_lang:
             wanted = F.when(F.col("l") == r["l"], rows_per_lang / r["n"]).otherwise(wanted)
-    counts = rows.where(share < wanted).select("t", "l").mapInArrow(_counter(langs), "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = rows.where(share < wanted).select("t", "l").mapInArrow(trimmed(_counter(langs)), "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((len(langs), size), smoothing)
     np.add.at(table, (counts["k"].to_numpy(), counts["bucket"].to_numpy()), counts["n"].to_numpy())
     log_prob = np.log(table) - np.log(table[:, :-1].sum(axis=1, keepdims=True))
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", out_lang: str
                 pred, prob = score(held.value, part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(prob)], names=[*part.schema.names, out_lang, out_score])
 
-    return map_rows(kept, apply, (StructField(out_lang, StringType()), StructField(out_score, DoubleType())))
+    return map_rows(kept, trimmed(apply), (StructField(out_lang, StringType()), StructField(out_score, DoubleType())))
 
 
 def held_out(key: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, trimmed
 from .token_counts import _Cache
 
 MEMBER = np.dtype([("doc", "<i8"), ("start", "<i8"), ("piece", "<i4"), ("length", "<i4"), ("crc", "<u4"), ("known", "u1")])
@@ -65,7 +65,7 @@ class ByteEncoder:
     text may be cut before a space that follows another kind of character.
     """
 
-    def __init__(self, path: str, pattern: str, cached_words: int = 500_000):
+    def __init__(self, path: str, pattern: str, cached_words: int = 250_000):
         ranks, special = byte_ranks(path)
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.special = special
@@ -195,14 +195,14 @@ def pack(docs: DataFrame, path: str, pattern: str, *, size: int = 2048, slack: i
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    level = scratch.keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenized(path, pattern, size, most_items), BINS), "level-0")
+    level = scratch.keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(_tokenized(path, pattern, size, most_items)), BINS), "level-0")
     done, under = [level.where(F.col("total") >= size - slack)], level.where(F.col("total") < size - slack)
     left, groups = under.count(), 1 << 62
     k = 0
     while left > 1:
         k += 1
         groups = max(1, -(-left // group_bins), min(groups, max(1, level.rdd.getNumPartitions())) // fan_in)
-        level = scratch.keep(under.repartition(groups, F.xxhash64("members")).mapInArrow(_repacked(size, most_items), BINS), f"level-{k}")
+        level = scratch.keep(under.repartition(groups, F.xxhash64("members")).mapInArrow(trimmed(_repacked(size, most_items)), BINS), f"level-{k}")
         now = level.where(F.col("total") < size - slack)
         after = now.count()
         done.append(level.where(F.col("total") >= size - slack))

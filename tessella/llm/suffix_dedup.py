@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, split_by_flags, utf8_column
+from .common import Scratch, mix64, split_by_flags, trimmed, utf8_column
 from .fingerprints import window_minima
 
 _U = np.uint64
@@ -324,7 +324,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 400, gram: int = 64, chunk: i
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("key"), F.xxhash64("doc_id", "text").alias("tid"))
-    cells = scratch.keep(rows.select("key", "text", "tid").mapInArrow(_anchored(size, gram), CELLS), "anchors")
+    cells = scratch.keep(rows.select("key", "text", "tid").mapInArrow(trimmed(_anchored(size, gram)), CELLS), "anchors")
 
     # anchors that occur twice, and their distinct contexts
     # (kept as tables, so that a join with them can split an anchor that many documents share)
@@ -340,10 +340,10 @@ def remove_repeats(docs: DataFrame, *, size: int = 400, gram: int = 64, chunk: i
 
     # their bytes, from the texts that hold them
     flagged, _ = split_by_flags(rows, wants, "tid", scratch, "flags-1")
-    fetched = scratch.keep(flagged.join(wants, ["key", "tid"]).dropDuplicates(["key", "tid"]).select("key", "text", "want").mapInArrow(_contexts(size), CONTEXTS), "fetched")
+    fetched = scratch.keep(flagged.join(wants, ["key", "tid"]).dropDuplicates(["key", "tid"]).select("key", "text", "want").mapInArrow(trimmed(_contexts(size)), CONTEXTS), "fetched", packed=True)
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = fetched.where("context is not null").select("a", "c1", "c2", "once", "k", "context").repartition(tasks, "a").sortWithinPartitions("a")
-    found = scratch.keep(dealt.mapInArrow(_compared(size, chunk), f"a long, c1 long, c2 long, runs {RUNS}"), "found")
+    found = scratch.keep(dealt.mapInArrow(trimmed(_compared(size, chunk)), f"a long, c1 long, c2 long, runs {RUNS}"), "found")
     single = fetched.where("w1 is not null")
     again = single.groupBy("a", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("a", "w1", "w2")
     counted = single.where("once").join(again, ["a", "w1", "w2"]).groupBy("a", "c1", "c2").agg(F.transform(F.sort_array(F.collect_set("k")), lambda k: F.struct(k.alias("x"), k.alias("y"))).alias("runs"))
@@ -355,4 +355,4 @@ def remove_repeats(docs: DataFrame, *, size: int = 400, gram: int = 64, chunk: i
     flagged, others = split_by_flags(rows, marks, "tid", scratch, "flags-2")
     cut = flagged.join(marks, ["key", "tid"], "left").select("doc_id", "text", "marks")
     kind = cut.schema["marks"].dataType
-    return cut.unionAll(others.select("doc_id", "text", F.lit(None).cast(kind).alias("marks"))).mapInArrow(_removed(size), RESULT)
+    return cut.unionAll(others.select("doc_id", "text", F.lit(None).cast(kind).alias("marks"))).mapInArrow(trimmed(_removed(size)), RESULT)

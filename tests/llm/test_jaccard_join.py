@@ -71,9 +71,17 @@ def test_families_on_both_sides_of_the_threshold(spark):
     rows = families(5)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(docs) == brute(rows)
-    # tiny blocks: large homes and classes are cut, and pairs of blocks meet in tasks of their own
-    assert found(docs, block_grams=300) == brute(rows)
-    assert found(docs, block_grams=40) == brute(rows)
+    assert found(docs, block_grams=300) == brute(rows)  # tiny blocks
+
+
+def test_hot_columns(spark, monkeypatch):
+    """Every column is hot and cut into parts of one or three rows."""
+    rows = families(6, 16)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = jj._block_products
+    for most in (1, 3):
+        monkeypatch.setattr(jj, "_block_products", lambda *a, most=most: own(*a, most_rows=most))
+        assert found(docs) == brute(rows)
 
 
 def test_one_representative_of_each_class(spark):
