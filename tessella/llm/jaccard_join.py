@@ -108,9 +108,9 @@ def _described(n: int, percent: int, held):
                 h, w = signature(x)
                 hi.append(h)
                 lo.append(w)
-                # the rarer its n-grams, the larger: 20 bits, and 40 bits of the signature behind them
+                # the rarer its n-grams, the larger: 20 bits, and the size behind them
                 rare = (1 << 20) - 1 - int(np.log2(c.astype(float) + 1).mean() * 30000) if len(x) else 0
-                common.append((max(rare, 0) << 40) | (w & ((1 << 40) - 1)))
+                common.append((max(rare, 0) << 40) | len(x))
                 prefix.append(x[np.lexsort((x, c))[: prefix_length(len(x), percent)]].view(np.int64) if len(x) else np.zeros(0, np.int64))
             ends = np.zeros(len(prefix) + 1, np.int32)
             np.cumsum([len(p) for p in prefix], out=ends[1:])
@@ -193,8 +193,27 @@ def product(left: Block, right: Block, percent: int, slab: int = 1 << 21) -> Ite
         at = end
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the same classes, one for each row but the least of its class."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, root[i], root[j])
+        np.minimum.at(new, root[j], root[i])
+        new = np.minimum(new, new[root])
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    rest = np.flatnonzero(root != np.arange(len(names)))
+    return names[root[rest]], names[rest]
+
+
 def _multiplied(percent: int, whole: bool):
-    """Rows (task, side, uid, root, n, grams) of two blocks, or of one with itself: the pairs (a, b) that reach the similarity, or can as far as prefixes tell."""
+    """Rows (task, side, uid, root, n, grams) of two blocks, or of one with itself: the pairs (a, b) that can reach the similarity as far as prefixes tell, or, over whole sets, links that give the classes of all pairs that do."""
 
     def apply(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -213,6 +232,8 @@ def _multiplied(percent: int, whole: bool):
                 ok &= i < j
             found.append(np.stack([left.uid[i[ok]], right.uid[j[ok]]]))
         a, b = np.concatenate(found, axis=1)
+        if whole:
+            a, b = forest(a, b)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return apply
@@ -278,14 +299,15 @@ def _classes(docs: DataFrame, n: int, percent: int, block_grams: int = 400_000)
     scratch.drop("meta")
 
     # columns with at least two rows, cut into groups of neighbouring size bands
-    cells = sets.select("uid", "pk", "n", F.explode("prefix").alias("s"))
-    columns = cells.groupBy("s").agg(F.min("uid").alias("u0"), F.max("uid").alias("u1")).where("u0 < u1").select("s")
+    # (tables that grow with the input are joined by sorting, at every size)
+    cells = sets.select("uid", "pk", F.explode("prefix").alias("s"))
+    columns = cells.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
     columns = scratch.keep(columns, "columns", free=True)
-    banded = cells.join(columns, "s").withColumn("band", _band(percent)).select("s", "uid", "pk", "n", F.explode(F.array("band", F.col("band") + 1)).alias("g"))
-    banded = scratch.keep(banded, "banded")
-    pivot = F.min(F.struct("pk", "uid", "n"))
-    groups = banded.groupBy("s", "g").agg(F.count("*").alias("rows"), pivot.alias("p")).where("rows > 1").select("s", "g", F.col("p.uid").alias("pivot"), F.col("p.n").alias("na"))
-    shared = scratch.keep(banded.join(groups, ["s", "g"]).select("s", "g", "uid", "n", "pivot", "na"), "shared", free=True)
+    size = lambda c: F.col(c).bitwiseAND((1 << 40) - 1)
+    banded = cells.join(columns.hint("merge"), "s").withColumn("n", size("pk")).withColumn("band", _band(percent)).select("s", "uid", "pk", F.explode(F.array("band", F.col("band") + 1)).alias("g"))
+    banded = scratch.keep(banded, "banded", free=True)
+    groups = banded.groupBy("s", "g").agg(F.count("*").alias("rows"), F.min(F.struct("pk", "uid")).alias("p")).where("rows > 1").select("s", "g", F.col("p.uid").alias("pivot"), size("p.pk").alias("na"))
+    shared = scratch.keep(banded.join(groups.hint("merge"), ["s", "g"]).select("s", "g", "uid", size("pk").alias("n"), "pivot", "na"), "shared", free=True)
     scratch.drop("banded")
     scratch.drop("columns")
 
@@ -302,7 +324,7 @@ def _classes(docs: DataFrame, n: int, percent: int, block_grams: int = 400_000)
     scratch.drop("shared")
     others = F.when(F.col("uid") != F.col("pivot"), F.col("root"))
     still = classed.groupBy("s", "g").agg(F.min(others).alias("r0"), F.max(others).alias("r1"), F.count("*").alias("rows"), F.min("uid").alias("anchor")).where("r0 < r1")
-    left = scratch.keep(classed.join(still.drop("r0", "r1"), ["s", "g"]).select("s", "g", "uid", "root", "rows", "anchor"), "open", free=True)
+    left = scratch.keep(classed.join(still.drop("r0", "r1").hint("merge"), ["s", "g"]).select("s", "g", "uid", "root", "rows", "anchor"), "open", free=True)
     if not left.isEmpty():
         met = _block_products(left, sets, scratch, percent, block_grams)
         links = links.unionAll(_verified(met, sets, rows, n, percent, block_grams, scratch, "links-2"))

@@ -118,6 +118,24 @@ def test_product():
         assert got == want
 
 
+def test_forest():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (5, 3), (60, 40), (60, 400)):
+        a, b = rng.integers(0, n, m) * 10, rng.integers(0, n, m) * 10
+        x, y = jj.forest(a, b)
+
+        def classes(a, b):
+            own = {v: {v} for v in {*a.tolist(), *b.tolist()}}
+            for p, q in zip(a.tolist(), b.tolist(), strict=True):
+                both = own[p] | own[q]
+                for v in both:
+                    own[v] = both
+            return {frozenset(c) for c in own.values() if len(c) > 1}
+
+        assert classes(x, y) == classes(a, b)
+        assert len(x) == sum(len(c) - 1 for c in classes(a, b))
+
+
 def test_prefix_overlap_is_a_bound():
     """Rows that reach the similarity share at least that many prefix n-grams, in any fixed order."""
     rng = np.random.default_rng(2)
