@@ -70,15 +70,27 @@ def lines(text: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(all_lines, start, F.greatest(last - start + 1, F.lit(0))), "\n")
 
 
+def _string_at(doc: Column, key: str) -> Column:
+    value = F.try_variant_get(doc, f"$.{key}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", none_if_blank(F.try_variant_get(doc, f"$.{key}", "string")))
+
+
+def first_string(doc: Column, keys: tuple[str, ...]) -> Column:
+    """The first value, in the order of keys, at a top-level key of a JSON object that is a string and not blank.
+
+    The document is parsed once: it is bound as the only element of an array.
+    """
+    return F.get(F.transform(F.array(F.try_parse_json(doc)), lambda v: F.coalesce(*[_string_at(v, k) for k in keys])), F.lit(0))
+
+
 def json_string(doc: Column, key: str) -> Column:
     """The value at a top-level key of a JSON object, if it is a string and not blank."""
-    value = F.try_variant_get(F.try_parse_json(doc), f"$.{key}", "variant")
-    return F.when(F.schema_of_variant(value) == "STRING", none_if_blank(F.try_variant_get(F.try_parse_json(doc), f"$.{key}", "string")))
+    return first_string(doc, (key,))
 
 
 def first_path(doc: Column, extra: tuple[str, ...] = ()) -> Column:
     """The path that a tool call's input names: the first key, in order, with a non-blank string."""
-    return F.coalesce(*[json_string(doc, k) for k in (*PATH_KEYS, *extra)])
+    return first_string(doc, (*PATH_KEYS, *extra))
 
 
 def json_object(text: Column) -> Column:

@@ -527,9 +527,8 @@ def concept_index(spark, sf_dir):
     return retrieval.index_text(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("tag"), F.col("p_type").alias("summary")))
 
 
-@query("""WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages),
-few AS (SELECT target FROM l GROUP BY target HAVING count(*) <= 50)
-SELECT x.page_id AS a, y.page_id AS b, count(*) AS weight FROM l x JOIN l y USING (target) JOIN few USING (target) WHERE x.page_id < y.page_id GROUP BY 1, 2""")
+@query("""WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages)
+SELECT x.page_id AS a, y.page_id AS b, count(*) AS weight FROM l x JOIN l y USING (target) WHERE x.page_id < y.page_id GROUP BY 1, 2""")
 def shared_target_edges(spark, sf_dir):
     return graph.shared_targets(links(spark, sf_dir))
 

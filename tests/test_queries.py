@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__
 from tessella.operators import graph
-from tessella.plans import catalogue
+from tessella.plans import catalogue, more
 from tessella.sources.tables import links
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +51,11 @@ def test_shared_targets_of_many_pages(spark, tmp_path):
     assert sorted(map(tuple, graph.shared_targets(links(spark, str(tmp_path)), block_pages=7).collect())) == want
 
 
+def test_every_operator_of_the_second_catalogue_has_an_oracle():
+    own = [n for n, q in catalogue.QUERIES.items() if q.__module__ == more.__name__]
+    assert len(own) > 15 and set(own) <= set(catalogue.ORACLES)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
