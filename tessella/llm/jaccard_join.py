@@ -45,6 +45,8 @@ from .graph import components
 
 #: Cells of the table of counts: 2**20 in 16 slots, 4 MB, whatever the input.
 SLOTS, WIDTH = 16, 1 << 16
+#: Rows of a column group that are multiplied in one task; larger groups are cut.
+MOST_ROWS = 1024
 _U = np.uint64
 
 
@@ -324,7 +326,10 @@ def _classes(docs: DataFrame, n: int, percent: int, block_grams: int = 400_000)
     scratch.drop("shared")
     others = F.when(F.col("uid") != F.col("pivot"), F.col("root"))
     still = classed.groupBy("s", "g").agg(F.min(others).alias("r0"), F.max(others).alias("r1"), F.count("*").alias("rows"), F.min("uid").alias("anchor")).where("r0 < r1")
-    left = scratch.keep(classed.join(still.drop("r0", "r1").hint("merge"), ["s", "g"]).select("s", "g", "uid", "root", "rows", "anchor"), "open", free=True)
+    still = scratch.keep(still.select("s", "g", "rows", "anchor"), "still", free=True)
+    parts = still.groupBy("anchor").agg(F.ceil(F.sum("rows") / float(16 * MOST_ROWS)).cast("int").alias("parts"))
+    left = classed.join(still.join(parts, "anchor").hint("merge"), ["s", "g"]).select("s", "g", "uid", "root", "rows", "anchor", "parts")
+    left = scratch.keep(left, "open", free=True)
     if not left.isEmpty():
         met = _block_products(left, sets, scratch, percent, block_grams)
         links = links.unionAll(_verified(met, sets, rows, n, percent, block_grams, scratch, "links-2"))
@@ -333,13 +338,13 @@ def _classes(docs: DataFrame, n: int, percent: int, block_grams: int = 400_000)
     named = sets.select("hi", "lo", "uid", "first_id").join(classes, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = scratch.keep(named.join(names, "root").select("hi", "lo", "first_id", "root", "component_id"), "named")
-    for name in ("sets", "classed", "open", "dealt", "stars", "starred"):
+    for name in ("sets", "classed", "still", "open", "placed", "dealt", "held", "stars", "starred"):
         scratch.drop(name)
     return slim, named, scratch
 
 
-def _block_products(cells: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, block_grams: int, most_rows: int = 1024) -> DataFrame:
-    """Pairs (a, b) of rows of open columns (cells: s, g, uid, root, rows, anchor) that can reach the similarity as far as their prefixes tell.
+def _block_products(cells: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, block_grams: int, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Pairs (a, b) of rows of open columns (cells: s, g, uid, root, rows, anchor, parts) that can reach the similarity as far as their prefixes tell.
 
     Blocks are made of columns: those with the same least row (anchor) are likely to hold the
     same rows, so they are put together, about block_grams entries at a time, and a block is
@@ -349,11 +354,9 @@ def _block_products(cells: DataFrame, sets: DataFrame, scratch: Scratch, percent
     """
     hot = F.col("rows") > most_rows
     # ordinary columns, by anchor
-    columns = cells.where(~hot).groupBy("anchor", "s", "g").agg(F.count("*").alias("n"))
-    parts = columns.groupBy("anchor").agg(F.ceil(F.sum("n") / float(16 * most_rows)).cast("int").alias("parts"))
-    dealt = cells.where(~hot).join(parts, "anchor").select(F.col("anchor").alias("x"), F.pmod(F.xxhash64("s"), F.col("parts")).alias("y"), "uid", "root").distinct()
+    dealt = cells.where(~hot).select(F.col("anchor").alias("x"), F.pmod(F.xxhash64("s"), F.col("parts")).alias("y"), "uid", "root").distinct()
     weight = sets.select("uid", F.size("prefix").alias("w"))
-    dealt = scratch.keep(dealt.join(weight, "uid"), "dealt", free=True)
+    dealt = scratch.keep(scratch.keep(dealt, "placed").join(weight, "uid"), "dealt", free=True)
     total = dealt.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     bucket = F.pmod(F.xxhash64("x", "y"), F.lit(max(1, 2 * total // block_grams)))
     work = dealt.select(bucket.alias("task"), F.lit(0).alias("side"), "uid", "root").distinct()
@@ -369,13 +372,14 @@ def _block_products(cells: DataFrame, sets: DataFrame, scratch: Scratch, percent
     task = F.xxhash64("s", "g", F.least("own", "other"), F.greatest("own", "other"))
     work = work.unionAll(large.select(task.alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"), "uid", "root"))
 
-    work = work.join(_entries(sets, cells), "uid").select("task", "side", "uid", "root", "n", "grams")
+    held = scratch.keep(cells.select("uid").distinct(), "held")
+    work = work.join(_entries(sets, held), "uid").select("task", "side", "uid", "root", "n", "grams")
     return work.groupBy("task").applyInArrow(_multiplied(percent, False), "a long, b long")
 
 
 def _entries(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """The entries (uid, n, grams) of the prefixes of some rows."""
-    return sets.join(rows.select("uid").distinct(), "uid", "left_semi").select("uid", "n", "prefix").mapInArrow(_packed, "uid long, n long, grams binary")
+    return sets.join(rows.select("uid"), "uid", "left_semi").select("uid", "n", "prefix").mapInArrow(_packed, "uid long, n long, grams binary")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
