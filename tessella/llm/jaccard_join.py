@@ -127,12 +127,12 @@ def _sets_of(n: int):
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 hi, lo, sets = [], [], []
-                for x in row_sets(b.column(0).slice(i, 500), n):
+                for x in row_sets(b.column(1).slice(i, 500), n):
                     h, w = signature(x)
                     hi.append(h)
                     lo.append(w)
                     sets.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sets, pa.binary())], names=["hi", "lo", "grams"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 500), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sets, pa.binary())], names=["tid", "hi", "lo", "grams"])
 
     return apply
 
@@ -250,8 +250,8 @@ def _sizes_reach(percent: int):
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
 
-def _starred(pairs: DataFrame, entries: DataFrame, percent: int, block_grams: int, whole: bool) -> DataFrame:
-    """The pairs (a, b; with sizes na, nb) that reach the similarity, or can, by products over the entries (uid, n, grams).
+def _dealt(pairs: DataFrame, block_grams: int) -> DataFrame:
+    """The rows that each task multiplies (task, side, uid), for pairs (a, b; with sizes na, nb).
 
     A task takes several rows a and what they are paired with, about block_grams n-grams; a row
     a with more partners than that has its partners dealt out.
@@ -264,23 +264,30 @@ def _starred(pairs: DataFrame, entries: DataFrame, percent: int, block_grams: in
     # a row of several parts has tasks of its own
     task = F.when(F.col("parts") > 1, F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("a"), F.lit(buckets)))
     dealt = dealt.select(task.alias("task"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("uid")), F.struct(F.lit(1).alias("side"), F.col("b").alias("uid")))).alias("x"))
-    work = dealt.select("task", "x.side", "x.uid").distinct().join(entries, "uid").select("task", "side", "uid", F.col("uid").alias("root"), "n", "grams")
-    return work.groupBy("task").applyInArrow(_multiplied(percent, whole), "a long, b long")
+    return dealt.select("task", "x.side", "x.uid").distinct()
+
+
+def _products(work: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """The pairs (a, b) that reach the similarity, or can, by a product in each task of work (task, side, uid, root, n, grams)."""
+    return work.select("task", "side", "uid", "root", "n", "grams").groupBy("task").applyInArrow(_multiplied(percent, whole), "a long, b long")
 
 
 def _verified(met: DataFrame, sets: DataFrame, rows: DataFrame, n: int, percent: int, block_grams: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs of met (a, b) that reach the similarity, by products over whole sets, which are computed once more from their texts."""
+    """The pairs of met (a, b) that reach the similarity, by products over whole sets, which are computed once more from their texts.
+
+    A set is told by the row that stands for it and by its signature, so that of copies one is
+    sent; it goes from its row to the tasks that multiply it at once.
+    """
     met = scratch.keep(met.distinct(), f"{name}-met", free=True)
     wanted = scratch.keep(met.select(F.col("a").alias("uid")).unionAll(met.select("b")).distinct().join(sets.select("uid", "hi", "lo", "n", "tid"), "uid"), f"{name}-wanted")
     flagged, _ = split_by_flags(rows.select("tid", "text"), wanted.select("tid"), "tid", scratch, f"{name}-flags")
-    computed = flagged.select("text").mapInArrow(trimmed(_sets_of(n)), "hi long, lo long, grams binary")
-    grams = computed.join(wanted.select("hi", "lo", "uid", "n"), ["hi", "lo"]).groupBy("uid").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-    grams = scratch.keep(grams, f"{name}-grams", free=True)
+    computed = flagged.select("tid", "text").mapInArrow(trimmed(_sets_of(n)), "tid long, hi long, lo long, grams binary")
     size = lambda c, k: wanted.select(F.col("uid").alias(c), F.col("n").alias(k))
-    pairs = met.join(size("a", "na"), "a").join(size("b", "nb"), "b")
-    links = scratch.keep(_starred(pairs, grams, percent, block_grams, True), name, free=True)
-    scratch.drop(f"{name}-grams")
-    return links
+    work = _dealt(met.join(size("a", "na"), "a").join(size("b", "nb"), "b"), block_grams).join(wanted, "uid")
+    # repeated rows have one set; the grouping keeps to the join's partitions
+    row = ["tid", "hi", "lo"]
+    work = computed.join(work, row).groupBy(*row, "task", "side", "uid", "n").agg(F.first("grams").alias("grams"))
+    return scratch.keep(_products(work.withColumn("root", F.col("uid")), percent, True), name, free=True)
 
 
 def _classes(docs: DataFrame, n: int, percent: int, block_grams: int = 400_000) -> tuple[DataFrame, DataFrame, Scratch]:
@@ -316,8 +323,9 @@ def _classes(docs: DataFrame, n: int, percent: int, block_grams: int = 400_000)
     # the first product: pivots by the rows of their columns
     stars = shared.where("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b"), "na", F.col("n").alias("nb")).where(_sizes_reach(percent)).distinct()
     stars = scratch.keep(stars, "stars", free=True)
-    starred = stars.select(F.col("a").alias("uid")).unionAll(stars.select("b")).distinct()
-    met = _starred(stars, _entries(sets, scratch.keep(starred, "starred")), percent, block_grams, False)
+    starred = stars.select(F.col("a").alias("uid")).unionAll(stars.select("b"))
+    work = _dealt(stars, block_grams).join(_entries(sets, starred, scratch, "starred"), "uid")
+    met = _products(work.withColumn("root", F.col("uid")), percent, False)
     links = _verified(met, sets, rows, n, percent, block_grams, scratch, "links-1")
     classes = components(links, scratch, "cc1").select(F.col("v").alias("uid"), "root")
 
@@ -372,14 +380,14 @@ def _block_products(cells: DataFrame, sets: DataFrame, scratch: Scratch, percent
     task = F.xxhash64("s", "g", F.least("own", "other"), F.greatest("own", "other"))
     work = work.unionAll(large.select(task.alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"), "uid", "root"))
 
-    held = scratch.keep(cells.select("uid").distinct(), "held")
-    work = work.join(_entries(sets, held), "uid").select("task", "side", "uid", "root", "n", "grams")
-    return work.groupBy("task").applyInArrow(_multiplied(percent, False), "a long, b long")
+    return _products(work.join(_entries(sets, cells, scratch, "held"), "uid"), percent, False)
 
 
-def _entries(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """The entries (uid, n, grams) of the prefixes of some rows."""
-    return sets.join(rows.select("uid"), "uid", "left_semi").select("uid", "n", "prefix").mapInArrow(_packed, "uid long, n long, grams binary")
+def _entries(sets: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The entries (uid, n, grams) of the prefixes of some rows and by chance of others: all that a join with the rows needs to shuffle."""
+    key = F.xxhash64("uid").alias("key")
+    own, _ = split_by_flags(sets.select("uid", "n", "prefix", key), rows.select(key), "key", scratch, name)
+    return own.select("uid", "n", "prefix").mapInArrow(_packed, "uid long, n long, grams binary")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
