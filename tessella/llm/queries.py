@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard_join, language_id, line_dedup, packing, pii, suffix_dedup, token_counts, url_filter
+from . import byte_bpe, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, packing, pii, suffix_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +80,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_fingerprints, op6_suffix_dedup, op7_pii, op8_url_filter, op9_jaccard_join, op10_best_fit_packing)}
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    out = byte_bpe.decode(coded.select("doc_id", "ids"), path)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_fingerprints, op6_suffix_dedup, op7_pii, op8_url_filter, op9_jaccard_join, op10_best_fit_packing, op13_byte_bpe)}
 
 OP2_SQL = """
 WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
