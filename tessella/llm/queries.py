@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, packing, pii, suffix_dedup, token_counts, url_filter
+from . import byte_bpe, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, packing, periodic_runs, pii, suffix_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,34 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """documents (doc_id, text) of which a tenth repeats itself to its end; their words are joined by one space."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    parts = docs.withColumn("w", F.when(chosen, F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != ""))).withColumn("g", F.floor(h / 10)).withColumn("n", F.size("w"))
+    parts = parts.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    parts = parts.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    words = F.concat(F.slice("w", 1, F.col("a")), F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times)), 1, F.col("n") - F.col("a")))
+    return parts.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.annotate(with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text")), least=12).drop("text")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
@@ -92,7 +120,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_fingerprints, op6_suffix_dedup, op7_pii, op8_url_filter, op9_jaccard_join, op10_best_fit_packing, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_fingerprints, op6_suffix_dedup, op7_pii, op8_url_filter, op9_jaccard_join, op10_best_fit_packing, op11_periodic_runs, op13_byte_bpe)}
 
 OP2_SQL = """
 WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
