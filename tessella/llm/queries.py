@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, packing, periodic_runs, pii, suffix_dedup, token_counts, url_filter
+from . import byte_bpe, decontaminate, fingerprints, hard_negatives, jaccard_join, language_id, line_dedup, packing, periodic_runs, pii, suffix_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +108,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, label = F.col("vec_id"), F.col("label")
+    moved = F.when(key % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = _table(spark, sf_dir, "embeddings").select(key.alias("id"), moved.alias("label"), hard_negatives.quantized(F.col("embedding"), 256).alias("vec"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0, positives=5, negatives=5, percent=(80, 100))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
@@ -120,7 +127,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_fingerprints, op6_suffix_dedup, op7_pii, op8_url_filter, op9_jaccard_join, op10_best_fit_packing, op11_periodic_runs, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_fingerprints, op6_suffix_dedup, op7_pii, op8_url_filter, op9_jaccard_join, op10_best_fit_packing, op11_periodic_runs, op12_hard_negatives, op13_byte_bpe)}
 
 OP2_SQL = """
 WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
@@ -139,5 +146,26 @@ SELECT l.doc_id, coalesce(len(l.a), 0) AS n_lines, coalesce(g.n, 0) AS n_removed
 FROM lines l LEFT JOIN kept k USING (doc_id) LEFT JOIN gone g USING (doc_id)
 """
 
-#: Only line dedup is plain SQL; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL}
+OP12_SQL = """
+WITH ok AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM ok a JOIN ok b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, positive_score, other AS negative_id, score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+#: The others are tested against brute force, the library or held-out rows in tests/llm.
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op12_hard_negatives": OP12_SQL}
