@@ -9,17 +9,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def structural_edges(entities: DataFrame) -> DataFrame:
-    """Edges (src, dst, type) by names: contains (parent of a qualified name in the same file), calls and inherits; repeats are kept."""
-    named = entities.select("node_id", "file", "name", "kind")
+def contains_edges(entities: DataFrame) -> DataFrame:
+    """Edges (src, dst, type) from the entity that a qualified name ends in to its members, in one file."""
     qual = F.substring_index("node_id", "::", -1)
-    parent = F.when(qual.contains("."), F.concat("file", F.lit("::"), F.regexp_replace(qual, r"\.[^.]*$", ""))).otherwise(F.col("file"))
-    owned = entities.where("kind <> 'module'").select(parent.alias("src"), F.col("node_id").alias("dst"))
-    contains = owned.join(entities.select(F.col("node_id").alias("src")), "src").select("src", "dst", F.lit("contains").alias("type"))
-    defined = named.where("kind <> 'module'").select("name", F.col("node_id").alias("dst"), "kind")
-    calls = entities.select(F.col("node_id").alias("src"), F.explode("calls").alias("name")).join(defined, "name").where("src <> dst").select("src", "dst", F.lit("calls").alias("type"))
-    inherits = entities.select(F.col("node_id").alias("src"), F.explode("bases").alias("name")).join(defined.where("kind = 'class'"), "name").select("src", "dst", F.lit("inherits").alias("type"))
-    return contains.unionAll(calls).unionAll(inherits)
+    parent = F.concat("file", F.lit("::"), F.regexp_replace(qual, r"\.[^.]*$", ""))
+    owned = entities.where(qual.contains(".")).select(parent.alias("src"), F.col("node_id").alias("dst"))
+    return owned.join(entities.select(F.col("node_id").alias("src")), "src", "left_semi").select("src", "dst", F.lit("contains").alias("type"))
+
+
+def named_edges(users: DataFrame, defined: DataFrame) -> DataFrame:
+    """Edges (src, dst, type) by name from users to the entities in defined: calls (not of oneself) and inherits (of classes); repeats are kept."""
+    target = defined.select("name", F.col("node_id").alias("dst"), F.col("kind").alias("target_kind"))
+    called = users.select(F.col("node_id").alias("src"), F.explode("calls").alias("name"), F.lit("calls").alias("type"))
+    based = users.where("kind = 'class'").select(F.col("node_id").alias("src"), F.explode("bases").alias("name"), F.lit("inherits").alias("type"))
+    found = called.unionAll(based).join(target, "name")
+    return found.where("(type = 'calls' AND src <> dst) OR (type = 'inherits' AND target_kind = 'class')").select("src", "dst", "type")
+
+
+def structural_edges(entities: DataFrame) -> DataFrame:
+    """Edges (src, dst, type) of entities by names: contains, calls and inherits; repeats are kept."""
+    return contains_edges(entities).unionAll(named_edges(entities, entities))
 
 
 def undirected_weights(edges: DataFrame) -> DataFrame:

@@ -209,21 +209,26 @@ def tool_choice_reset(spark, sf_dir):
     return touches.tool_choice(rows, rows.select("request", F.col("choice").alias("name")).where("name <> 'glob'"))
 
 
-SHELL = [("cat src/c.py", "src/c.py"), ("rm -rf build", None), ("/usr/bin/head -n 5 'a b/x.txt' y. z.md | tail q.py", "a b/x.txt,z.md"), ("grep -r foo. ./lib; cat w.py", "./lib"), ("cat 'unclosed a.py", "a.py"), ("", None), ("sed s/a/b/ f.txt > out.txt", "s/a/b/,f.txt")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {'NULL' if p is None else chr(39) + p + chr(39)})" for k, (_, p) in enumerate(SHELL)) + ") t(id, paths)")
+@query("""WITH n AS (SELECT p_partkey AS id, p_name AS name, CASE p_partkey % 8 WHEN 0 THEN 'cat -n' WHEN 1 THEN '/usr/bin/head' WHEN 2 THEN 'rm' WHEN 3 THEN 'sed' WHEN 4 THEN 'cat "unclosed' WHEN 5 THEN 'wc' WHEN 6 THEN 'grep' ELSE 'cp' END AS command FROM part)
+SELECT id, CASE id % 8 WHEN 2 THEN NULL WHEN 7 THEN NULL WHEN 4 THEN split_part(name, ' ', 1) || '/a.py' ELSE name || '/a.py' END AS paths FROM n""")
 def shell_reads(spark, sf_dir):
-    rows = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(SHELL)], "id int, command string")
+    """Shell lines with a quoted path of two words, a plain word and a second command; one in eight doesn't close a quote."""
+    k = F.col("p_partkey") % 8
+    command = F.when(k == 0, "cat -n").when(k == 1, "/usr/bin/head").when(k == 2, "rm").when(k == 3, "sed").when(k == 4, 'cat "unclosed').when(k == 5, "wc").when(k == 6, "grep").otherwise("cp")
+    path = F.when(k == 4, F.concat(F.substring_index("p_name", " ", 1), F.lit("/a.py"))).otherwise(F.concat(F.lit("'"), "p_name", F.lit("/a.py'")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(command, F.lit(" "), path, F.lit(" word | tail other.py")).alias("command"))
     rows = rows.withColumn("words", shell_words(first_command(F.col("command"))))
     paths = read_paths(F.col("words"))
     return rows.select("id", F.when(F.size(paths) > 0, F.array_join(paths, ",")).alias("paths"))
 
 
-@query("SELECT p_partkey, p_name LIKE '%.%' AND p_name NOT LIKE '%.' OR p_name LIKE '%/%' AS path_like FROM part WHERE p_name NOT LIKE '-%'")
+@query("""WITH n AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '-' || p_name || '.py' WHEN 1 THEN p_name || '.' WHEN 2 THEN replace(p_name, ' ', '/') WHEN 3 THEN p_name || '.txt' WHEN 4 THEN '' ELSE p_name END AS name FROM part)
+SELECT p_partkey, p_partkey % 6 IN (2, 3) AS path_like FROM n""")
 def path_like_names(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where(~F.col("p_name").startswith("-"))
-    return rows.select("p_partkey", looks_like_path(F.col("p_name")).alias("path_like"))
+    """Names that begin like an option, end in a dot, hold a slash or an extension, are empty, or plain."""
+    k, name = F.col("p_partkey") % 6, F.col("p_name")
+    made = F.when(k == 0, F.concat(F.lit("-"), name, F.lit(".py"))).when(k == 1, F.concat(name, F.lit("."))).when(k == 2, F.replace(name, F.lit(" "), F.lit("/"))).when(k == 3, F.concat(name, F.lit(".txt"))).when(k == 4, "").otherwise(name)
+    return table(spark, sf_dir, "part").select("p_partkey", looks_like_path(made).alias("path_like"))
 
 
 # A: providers and settings
@@ -416,24 +421,18 @@ def hybrid_weights(spark, sf_dir):
     return graph.hybrid_weights(_chain(spark, sf_dir), _semantic(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
-NAMES = """
-entities AS (
-  SELECT 'o' || o_orderkey AS node_id, 'class' AS kind, CAST(o_custkey AS VARCHAR) AS name FROM orders
-  UNION ALL SELECT 'p' || p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'class' ELSE 'function' END, CAST(p_partkey AS VARCHAR) FROM part)"""
-
-
-@query("""SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, 'calls' AS type FROM lineitem JOIN part ON l_partkey = p_partkey
-UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey, 'inherits' FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type = 'ECONOMY'
-UNION ALL SELECT 'o' || o_orderkey, 'o' || o_orderkey || '::m', 'contains' FROM orders""")
+@query("""SELECT 'o' || l_orderkey || '::C' AS src, '-::part' || l_partkey AS dst, 'calls' AS type FROM lineitem JOIN part ON l_partkey = p_partkey
+UNION ALL SELECT 'o' || l_orderkey || '::C', '-::part' || l_partkey, 'inherits' FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type = 'ECONOMY'
+UNION ALL SELECT 'o' || o_orderkey || '::C', 'o' || o_orderkey || '::C.m', 'contains' FROM orders""")
 def name_resolution_edges(spark, sf_dir):
     none = F.array().cast("array<string>")
-    part = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node_id"), F.when(F.col("p_type") == "ECONOMY", "class").otherwise("function").alias("kind"), F.lit("lib").alias("file"), F.concat(F.lit("part"), "p_partkey").alias("name"), none.alias("calls"), none.alias("bases"))
-    part = part.withColumn("file", F.lit("-"))
+    name = F.concat(F.lit("part"), "p_partkey")
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("-::"), name).alias("node_id"), F.when(F.col("p_type") == "ECONOMY", "class").otherwise("function").alias("kind"), F.lit("-").alias("file"), name.alias("name"), none.alias("calls"), none.alias("bases"))
     used = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.concat(F.lit("part"), "l_partkey")).alias("used"))
     orders = table(spark, sf_dir, "orders").join(used, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     own = F.concat(F.lit("o"), "o_orderkey")
-    head = orders.select(own.alias("node_id"), F.lit("module").alias("kind"), own.alias("file"), own.alias("name"), F.coalesce("used", none).alias("calls"), F.coalesce("used", none).alias("bases"))
-    inner = orders.select(F.concat(own, F.lit("::m")).alias("node_id"), F.lit("method").alias("kind"), own.alias("file"), F.lit("m").alias("name"), none.alias("calls"), none.alias("bases"))
+    head = orders.select(F.concat(own, F.lit("::C")).alias("node_id"), F.lit("class").alias("kind"), own.alias("file"), F.concat(own, F.lit("C")).alias("name"), F.coalesce("used", none).alias("calls"), F.coalesce("used", none).alias("bases"))
+    inner = orders.select(F.concat(own, F.lit("::C.m")).alias("node_id"), F.lit("method").alias("kind"), own.alias("file"), F.concat(own, F.lit("m")).alias("name"), none.alias("calls"), none.alias("bases"))
     return graph.structural_edges(head.unionByName(inner).unionByName(part))
 
 
@@ -533,46 +532,7 @@ def shared_target_edges(spark, sf_dir):
     return graph.shared_targets(links(spark, sf_dir))
 
 
-# B: code
-
-SOURCE = {
-    "pkg/a.py": "import os\n\nclass Base:\n    def run(self):\n        return helper(1)\n\ndef helper(x):\n    return os.path.join(str(x))\n",
-    "pkg/b.py": "from pkg.a import Base, helper\n\nclass Child(Base):\n    def run(self):\n        helper(2)\n        helper(3)\n        return self.stop()\n    def stop(self):\n        def inner():\n            return 1\n        return inner()\n",
-    "pkg/broken.py": "def (:\n",
-}
-
-
-def _source(spark):
-    return spark.createDataFrame(list(SOURCE.items()), "file string, content string")
-
-
-ENTITY_ROWS = [
-    ("pkg/a.py", "module", 1, 8, "", ""), ("pkg/a.py::Base", "class", 3, 5, "", "helper"), ("pkg/a.py::Base.run", "method", 4, 5, "", "helper"), ("pkg/a.py::helper", "function", 7, 8, "", "join,str"),
-    ("pkg/b.py", "module", 1, 11, "", ""), ("pkg/b.py::Child", "class", 3, 11, "Base", "helper,helper,stop,inner"), ("pkg/b.py::Child.run", "method", 4, 7, "", "helper,helper,stop"),
-    ("pkg/b.py::Child.stop", "method", 8, 11, "", "inner"), ("pkg/b.py::Child.inner", "function", 9, 10, "", ""),
-]
-EDGE_ROWS = [
-    ("pkg/a.py", "pkg/a.py::Base", "contains"), ("pkg/a.py", "pkg/a.py::helper", "contains"), ("pkg/a.py::Base", "pkg/a.py::Base.run", "contains"),
-    ("pkg/b.py", "pkg/b.py::Child", "contains"), ("pkg/b.py::Child", "pkg/b.py::Child.run", "contains"), ("pkg/b.py::Child", "pkg/b.py::Child.stop", "contains"), ("pkg/b.py::Child", "pkg/b.py::Child.inner", "contains"),
-    ("pkg/a.py::Base", "pkg/a.py::helper", "calls"), ("pkg/a.py::Base.run", "pkg/a.py::helper", "calls"),
-    ("pkg/b.py::Child", "pkg/a.py::helper", "calls"), ("pkg/b.py::Child", "pkg/a.py::helper", "calls"), ("pkg/b.py::Child.run", "pkg/a.py::helper", "calls"), ("pkg/b.py::Child.run", "pkg/a.py::helper", "calls"),
-    ("pkg/b.py::Child", "pkg/b.py::Child.stop", "calls"), ("pkg/b.py::Child.run", "pkg/b.py::Child.stop", "calls"), ("pkg/b.py::Child", "pkg/b.py::Child.inner", "calls"), ("pkg/b.py::Child.stop", "pkg/b.py::Child.inner", "calls"),
-    ("pkg/b.py::Child", "pkg/a.py::Base", "inherits"),
-]
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}" for v in r) + ")" for r in rows) + f") t({names})"
-
-
-@query(_values(ENTITY_ROWS, "node_id, kind, span_start, span_end, bases, calls"))
-def code_entities(spark, sf_dir):
-    return code.parse(_source(spark)).select("node_id", "kind", "span_start", "span_end", F.array_join("bases", ",").alias("bases"), F.array_join("calls", ",").alias("calls"))
-
-
-@query(_values(EDGE_ROWS, "src, dst, type"))
-def code_edges(spark, sf_dir):
-    return graph.structural_edges(code.parse(_source(spark)))
+# B: communities
 
 
 @query()

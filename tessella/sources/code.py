@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import basename
 
 #: Extensions of source files and their languages.
-LANGUAGES = {".py": "python", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript"}
+LANGUAGES = {".py": "python", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "tsx", ".mjs": "javascript"}
 #: Folders that hold no code of the project.
 SKIPPED_FOLDERS = (
     ".git", ".hg", ".svn", "__pycache__", "venv", ".venv", "env", ".env", ".tox", ".nox", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".hypothesis",
@@ -65,53 +66,72 @@ def codebase_key(root: str) -> str:
     return hashlib.sha1(root.encode()).hexdigest()
 
 
-def _callee(node: ast.Call) -> str | None:
-    f = node.func
-    return f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
+class _Source:
+    """A file's bytes with the places of its lines, as the parser counts them."""
 
+    def __init__(self, content: str):
+        self.raw = content.encode("utf-8", "replace")
+        self.lines = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", self.raw))]
 
-def _base(node: ast.expr) -> str | None:
-    while isinstance(node, ast.Subscript):
-        node = node.value
-    return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else None
+    def place(self, line: int, column: int) -> int:
+        return self.lines[line - 1] + column
+
+    def text(self, start: int, end: int) -> str:
+        return self.raw[start:end].decode("utf-8", "replace")
+
+    def of(self, node: ast.AST) -> str:
+        return self.text(self.place(node.lineno, node.col_offset), self.place(node.end_lineno, node.end_col_offset))
+
+
+def _header(node: ast.AST, source: _Source) -> str:
+    """The first three lines of what stands before the body."""
+    first = node.body[0]
+    line, column = min((x.lineno, x.col_offset) for x in [first, *getattr(first, "decorator_list", [])])
+    if getattr(first, "decorator_list", None):
+        column = source.raw[: source.place(line, column)].rfind(b"@") - source.lines[line - 1]
+    return "\n".join(source.text(source.place(node.lineno, node.col_offset), source.place(line, column)).strip().splitlines()[:3])
+
+
+def _called(node: ast.AST, source: _Source) -> list[str]:
+    """Names called in a definition, nested ones included, but not in its own decorators."""
+    out, left = [], [x for x in ast.iter_child_nodes(node) if x not in getattr(node, "decorator_list", [])][::-1]
+    while left:
+        x = left.pop()
+        if isinstance(x, ast.Call) and (name := source.of(x.func).split(".")[-1].split("(")[0].strip()):
+            out.append(name)
+        left += [*ast.iter_child_nodes(x)][::-1]
+    return out
 
 
 def python_entities(file: str, content: str) -> list[dict]:
-    """The module, classes, functions and methods of a Python file; nothing for one that doesn't parse.
+    """The classes, functions and methods of a Python file; nothing for one that doesn't parse.
 
-    Ids are file::qualified.name, qualified by classes only.  A class's calls include those
-    of its methods; repeated calls are kept.
+    Ids are file::qualified.name, qualified by classes only; what is defined anywhere inside a
+    class but isn't a class is a method.  A class's calls include those of its methods; repeated
+    calls are kept.  Code and header leave decorators out.
     """
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError):
         return []
-    rows = content.splitlines()
-
-    def row(node, kind: str, qual: str, name: str) -> dict:
-        first, last = (node.lineno, node.end_lineno) if kind != "module" else (1, max(len(rows), 1))
-        code = "\n".join(rows[first - 1 : last])
-        calls = [c for x in ast.walk(node) if isinstance(x, ast.Call) and (c := _callee(x))] if kind != "module" else []
-        bases = [b for x in getattr(node, "bases", []) if (b := _base(x))]
-        head = rows[first - 1 : min(first + 2, last)] if kind != "module" else []
-        return {"node_id": f"{file}::{qual}" if qual else file, "kind": kind, "file": file, "name": name, "span_start": first, "span_end": last, "code_hash": hashlib.sha1(code.encode("utf-8", "replace")).hexdigest(), "signature": "\n".join(h.strip() for h in head), "bases": bases, "calls": calls}
-
-    out = [row(tree, "module", "", file)]
+    source, out = _Source(content), []
 
-    def visit(node, owner: str, in_class: bool) -> None:
+    def visit(node: ast.AST, owner: str) -> None:
         for child in ast.iter_child_nodes(node):
-            if isinstance(child, ast.ClassDef):
-                qual = f"{owner}.{child.name}" if owner else child.name
-                out.append(row(child, "class", qual, child.name))
-                visit(child, qual, True)
-            elif isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                qual = f"{owner}.{child.name}" if owner else child.name
-                out.append(row(child, "method" if in_class else "function", qual, child.name))
-                visit(child, owner, False)
-            else:
-                visit(child, owner, in_class)
-
-    visit(tree, "", False)
+            if not isinstance(child, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+                visit(child, owner)
+                continue
+            qual = f"{owner}.{child.name}" if owner else child.name
+            is_class = isinstance(child, ast.ClassDef)
+            bases = [source.of(x).split(".")[-1].strip() for x in sorted([*child.bases, *child.keywords], key=lambda x: (x.lineno, x.col_offset))] if is_class else []
+            out.append({
+                "node_id": f"{file}::{qual}", "kind": "class" if is_class else "method" if owner else "function", "file": file, "name": child.name,
+                "span_start": child.lineno, "span_end": child.end_lineno, "code_hash": hashlib.sha1(source.of(child).encode()).hexdigest(),
+                "signature": _header(child, source), "bases": bases, "calls": _called(child, source),
+            })
+            visit(child, qual if is_class else owner)
+
+    visit(tree, "")
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,21 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", path.alias("file"), "text")
 
 
+def sources(spark: SparkSession, sf_dir: str, *, salt: Column | str = "") -> DataFrame:
+    """documents as Python files (doc_id, file, content, hash): a class that calls one other class for each line of the text.
+
+    Which one follows from the line's md5 (with the salt behind it) and lies within 48 ids.
+    """
+    d = F.col("doc_id").cast("string")
+    salt = F.lit(salt) if isinstance(salt, str) else salt
+    lines = files(spark, sf_dir).withColumn("lines", F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")))
+    call = lambda line: F.concat(F.lit("        Doc"), F.abs(F.col("doc_id") + F.conv(F.substring(F.md5(F.concat(line, salt).cast("binary")), 1, 4), 16, 10).cast("long") % 97 - 48).cast("string"), F.lit("(x)\n"))
+    head = F.concat(F.lit("class Doc"), d, F.lit("(Doc"), F.greatest(F.lit(0), F.col("doc_id") - 1 - F.col("doc_id") % 8).cast("string"), F.lit("):\n    def run(self, x):\n"))
+    tail = F.concat(F.lit("        return self.step"), d, F.lit("(x)\n    def step"), d, F.lit("(self, x):\n        return x"))
+    content = F.concat(head, F.array_join(F.transform("lines", call), ""), tail)
+    return lines.select("doc_id", "file", content.alias("content")).withColumn("hash", F.sha1(F.col("content").cast("binary")))
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct link targets of every page."""
     hrefs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)

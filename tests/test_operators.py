@@ -17,12 +17,23 @@ def calls(spark, *rows):
     return spark.createDataFrame([(1, t, k, n, json.dumps(i)) for k, (t, n, i) in enumerate(rows)], "session long, turn long, seq long, name string, input string")
 
 
-def test_touches_of_tools_and_shell(spark):
-    rows = calls(spark, (1, "apply_patch", {"path": "src/a.py"}), (1, "read_file", {"file_path": " "}), (1, "READ", {"filePath": "src/b.py"}), (2, "bash", {"command": "cat src/c.py | wc"}), (2, "bash", {"command": "rm -rf build"}), (2, "shell", {"command": ["head", "d.txt"]}), (2, "edit", {"path": 7, "file": "e.py"}), (3, "glob", {"path": "x.py"}))
-    got = sorted((r["turn"], r["path"], r["kind"]) for r in touches.detect(rows).collect())
-    assert got == [(1, "src/a.py", "write"), (1, "src/b.py", "read"), (2, "d.txt", "read"), (2, "e.py", "write"), (2, "src/c.py", "read")]
-    more = touches.detect(calls(spark, (1, "MyEditor", {"srcPath": "x.py"}), (1, "my_shell", {"command": "cat y.py"})), write=("myeditor",), shell=("My_Shell",), path_keys=("srcPath",))
-    assert sorted((r["path"], r["kind"]) for r in more.collect()) == [("x.py", "write"), ("y.py", "read")]
+def test_every_tool_and_path_key(spark):
+    """Each tool of the tables, in upper case, with each path key; and each read-only command in each shell."""
+    direct = [(k, tool.upper(), {key: f"d{k}/in"}) for k, (tool, key) in enumerate((t, p) for t in (*touches.WRITE_TOOLS, *touches.READ_TOOLS) for p in tx.PATH_KEYS)]
+    got = {(r["turn"], r["path"], r["kind"]) for r in touches.detect(calls(spark, *direct)).collect()}
+    assert got == {(k, f"d{k}/in", "write" if tool.lower() in touches.WRITE_TOOLS else "read") for k, tool, _ in direct}
+    lines = [(k, tool, {"command": f"{command} -q d{k}/in plain"}) for k, (tool, command) in enumerate((t, c) for t in touches.SHELL_TOOLS for c in tx.READ_ONLY)]
+    got = {(r["turn"], r["path"], r["kind"], r["evidence"]) for r in touches.detect(calls(spark, *lines)).collect()}
+    assert got == {(k, f"d{k}/in", "read", f"{body['command']}") for k, _, body in lines}
+
+
+def test_own_tools_and_unusable_inputs(spark):
+    own = {"write": ("Stamp",), "read": ("peek_at",), "shell": ("console",), "path_keys": ("whereabouts",)}
+    rows = [(1, "stamp", {"whereabouts": "one.txt"}), (2, "PEEK_AT", {"whereabouts": "two.txt"}), (3, "Console", {"cmd": "wc three.txt"}), (4, "console", {"command": ["wc", "-l", "four.txt"]})]
+    assert sorted((r["turn"], r["path"], r["kind"]) for r in touches.detect(calls(spark, *rows), **own).collect()) == [(1, "one.txt", "write"), (2, "two.txt", "read"), (3, "three.txt", "read"), (4, "four.txt", "read")]
+    assert touches.detect(calls(spark, *rows)).isEmpty()
+    bad = [(1, "view", {tx.PATH_KEYS[0]: "\t"}), (1, "view", {tx.PATH_KEYS[0]: 12}), (1, "view", {}), (1, "sh", {"command": "mkdir one.txt"}), (1, "sh", {"command": ""}), (1, "sh", {"command": None})]
+    assert touches.detect(calls(spark, *bad)).isEmpty()
 
 
 def test_ledger_merges_and_renders(spark):
@@ -134,7 +145,7 @@ def test_scan_and_parse(spark, tmp_path):
         (tmp_path / name).write_text(body)
     found = code.scan(spark, str(tmp_path))
     assert {r["file"] for r in found.collect()} == {"a.py", "pkg/b.py"}
-    assert {r["node_id"] for r in code.parse(found).collect()} == {"a.py", "a.py::f", "pkg/b.py", "pkg/b.py::B"}
+    assert {r["node_id"] for r in code.parse(found).collect()} == {"a.py::f", "pkg/b.py::B"}
     assert code.size_limit("x") == 512 * 1024 and code.size_limit("0") == 1024
 
 

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__
 from tessella.operators import graph
-from tessella.plans import catalogue, more
+from tessella.plans import catalogue, codegraph, more  # noqa: F401
 from tessella.sources.tables import links
 
 SF = "/root/testdata/sf0.001"
