@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Tables, ready_for_checkpoints
+
 
 def contains_edges(entities: DataFrame) -> DataFrame:
     """Edges (src, dst, type) from the entity that a qualified name ends in to its members, in one file."""
@@ -90,11 +91,7 @@ def hybrid_weights(structural: DataFrame, semantic: DataFrame, *, structural_wei
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, root): the least vertex of each vertex's component (edges a, b), by minimum labels and pointer jumping; every round is a checkpoint."""
-    spark = edges.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    ready_for_checkpoints(edges.sparkSession)
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")).checkpoint()
     while True:
@@ -107,12 +104,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def numbered(rows: DataFrame, order: list, tables: Tables) -> DataFrame:
+    """rows with their number from 0 in an order: sorted in ranges, each range's numbers start where those before it end."""
+    placed = tables.keep(rows.orderBy(*order).withColumn("number", F.monotonically_increasing_id()))
+    part = F.shiftright("number", 33)
+    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("part", before.alias("before"))
+    place = F.col("number").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("part", part).join(starts, "part").withColumn("number", F.col("before") + place).drop("part", "before")
+
+
 def neighbourhood(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """Vertices (v) within some hops of the seeds (v), in either direction."""
-    both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     reached = seeds.select("v").distinct()
     for _ in range(hops):
-        reached = reached.unionAll(reached.join(both, reached["v"] == both["src"]).select(F.col("dst").alias("v"))).distinct()
+        near = [edges.join(reached, F.col(k) == F.col("v"), "left_semi").select(F.col(other).alias("v")) for k, other in (("src", "dst"), ("dst", "src"))]
+        reached = reached.unionAll(near[0]).unionAll(near[1]).distinct()
     return reached
 
 
@@ -124,88 +132,6 @@ def quotient_neighbours(edges: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.unionAll(pairs.select(F.col("neighbour").alias("concept"), F.col("concept").alias("neighbour"))).distinct()
 
 
-# communities
-
-
-def _levels(nodes: list, weight: dict[tuple, float], resolution: float) -> list[list]:
-    """Communities by local moves on ever coarser graphs; ties go to the least member, so the result is reproducible."""
-    near: dict = {v: {} for v in nodes}
-    for (a, b), w in weight.items():
-        near[a][b] = near[a].get(b, 0.0) + w
-        near[b][a] = near[b].get(a, 0.0) + w
-    total = sum(weight.values())
-    group = {v: [v] for v in nodes}
-    loops = dict.fromkeys(nodes, 0.0)
-    while total > 0:
-        degree = {v: sum(near[v].values()) + 2 * loops[v] for v in near}
-        home = {v: v for v in near}
-        mass = dict(degree)
-        moved_any, moved = False, True
-        while moved:
-            moved = False
-            for v in sorted(near):
-                pull: dict = {}
-                for u, w in near[v].items():
-                    pull[home[u]] = pull.get(home[u], 0.0) + w
-                old = home[v]
-                mass[old] -= degree[v]
-                gain = lambda c: pull.get(c, 0.0) - resolution * degree[v] * mass[c] / (2 * total)  # noqa: B023, E731
-                best = min({old, *pull}, key=lambda c: (-round(gain(c), 12), c))
-                if gain(best) <= gain(old) + 1e-12:
-                    best = old
-                mass[best] += degree[v]
-                if best != old:
-                    home[v], moved, moved_any = best, True, True
-        if not moved_any:
-            break
-        parts: dict = {}
-        for v in sorted(near):  # a community that moves have torn apart becomes several
-            parts.setdefault(home[v], []).append(v)
-        label: dict = {}
-        for own in parts.values():
-            left = set(own)
-            while left:
-                root = min(left)
-                queue = [root]
-                left.discard(root)
-                while queue:
-                    x = queue.pop()
-                    label[x] = root
-                    fresh = [u for u in near[x] if u in left]
-                    left.difference_update(fresh)
-                    queue += fresh
-        coarse: dict = {r: {} for r in set(label.values())}
-        own_loops = dict.fromkeys(coarse, 0.0)
-        for v in near:
-            own_loops[label[v]] += loops[v]
-            for u, w in near[v].items():
-                if label[u] == label[v]:
-                    own_loops[label[v]] += w / 2
-                else:
-                    coarse[label[v]][label[u]] = coarse[label[v]].get(label[u], 0.0) + w
-        group = {r: sorted(x for v in near if label[v] == r for x in group[v]) for r in coarse}
-        near, loops = coarse, own_loops
-    return sorted(group.values(), key=lambda m: (-len(m), m[0]))
-
-
-def communities(weights: DataFrame, nodes: DataFrame, *, resolution: float = 1.0) -> DataFrame:
-    """(codebase, community, node): weighted communities of each codebase (weights: codebase, a, b, weight; nodes: codebase, node).
-
-    A codebase is one group and must fit in a task; for graphs beyond that, components() is
-    the distributed stand-in.
-    """
-    schema = "codebase string, community int, node string"
-
-    def work(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = sorted(set(left["node"]))
-        known = set(own)
-        weight = {(a, b): w for a, b, w in zip(right["a"], right["b"], right["weight"], strict=True) if a in known and b in known and a != b}
-        rows = [(key[0], k, v) for k, m in enumerate(_levels(own, weight, resolution)) for v in m]
-        return pd.DataFrame(rows, columns=["codebase", "community", "node"])
-
-    return nodes.groupBy("codebase").cogroup(weights.groupBy("codebase")).applyInPandas(work, schema)
-
-
 # identities
 
 
@@ -225,6 +151,7 @@ def greedy_matches(scored: DataFrame) -> DataFrame:
     mutual best pairs give the same result; each round is a checkpoint.
     """
     order = [F.desc("jaccard"), F.desc("community"), F.desc("concept_id")]
+    ready_for_checkpoints(scored.sparkSession)
     left, taken = scored.checkpoint(), None
     while not left.isEmpty():
         ranked = left.select("*", F.row_number().over(Window.partitionBy("community").orderBy(*order)).alias("r1"), F.row_number().over(Window.partitionBy("concept_id").orderBy(*order)).alias("r2"))
@@ -247,8 +174,11 @@ def identify(new: DataFrame, old: DataFrame, *, threshold: float = 0.5, next_num
     merge = F.coalesce(F.col("k_new") > 1, F.lit(False))
     split = F.coalesce(F.col("k_old") > 1, F.lit(False))
     rows = rows.select("community", "own", "near", merge.alias("merge"), split.alias("split"), (F.col("own").isNotNull() & ~merge & ~split).alias("kept"))
-    number = F.sum((~F.col("kept")).cast("int")).over(Window.orderBy("community")) - 1 + next_number
-    fresh = F.format_string("concept-%04d", number.cast("int"))
+    tables = Tables(new.sparkSession, "identities")
+    rows = tables.keep(rows)
+    number = numbered(rows.where("NOT kept").select(F.col("community").alias("k")), ["k"], tables)
+    rows = rows.join(number, rows["community"] == number["k"], "left")
+    fresh = F.format_string("concept-%04d", (F.col("number") + next_number).cast("int"))
     return rows.select("community", F.when(F.col("kept"), F.col("own")).otherwise(fresh).alias("concept_id"), F.when(F.col("split"), F.col("own")).alias("split_from"), F.when(F.col("merge"), F.col("near")).alias("merged_from"))
 
 

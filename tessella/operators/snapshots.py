@@ -46,9 +46,11 @@ def manifest(current: DataFrame, entities: DataFrame) -> DataFrame:
 
 def unchanged_concepts(now: DataFrame, before: DataFrame, touched: DataFrame) -> DataFrame:
     """Concepts (concept_id, node_id rows) whose members are the same as before and none of them touched (node_id)."""
-    listed = lambda rows, name: rows.groupBy("concept_id").agg(F.array_sort(F.collect_set("node_id")).alias(name))
+    a, b = (rows.select("concept_id", "node_id").distinct() for rows in (now, before))
+    sized = lambda rows, name: rows.groupBy("concept_id").agg(F.count("*").alias(name))
+    shared = sized(a.join(b, ["concept_id", "node_id"], "left_semi"), "n")
+    same = shared.join(sized(a, "n_a"), "concept_id").join(sized(b, "n_b"), "concept_id").where("n = n_a AND n = n_b").select("concept_id")
     hit = now.join(touched.select("node_id"), "node_id", "left_semi").select("concept_id").distinct()
-    same = listed(now, "a").join(listed(before, "b"), "concept_id").where("a = b").select("concept_id")
     return same.join(hit, "concept_id", "left_anti")
 
 

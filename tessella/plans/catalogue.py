@@ -532,16 +532,6 @@ def shared_target_edges(spark, sf_dir):
     return graph.shared_targets(links(spark, sf_dir))
 
 
-# B: communities
-
-
-@query()
-def community_detection(spark, sf_dir):
-    weights = graph.hybrid_weights(_chain(spark, sf_dir), _semantic(spark, sf_dir)).select(F.lit("all").alias("codebase"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "weight")
-    nodes = _vectors(spark, sf_dir).select(F.lit("all").alias("codebase"), F.col("id").cast("string").alias("node"))
-    return graph.communities(weights, nodes)
-
-
 # clock
 
 GAPS = """

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, incremental
+from ..operators import communities, concepts, graph, incremental
 from ..sources import code
-from ..sources.tables import sources
-from .catalogue import query
+from ..sources.shared import Tables, shared_folder
+from ..sources.snapshots import SnapshotStore
+from ..sources.tables import sources, table
+from .catalogue import CHAIN, NEAR, OVERLAP, _chain, _concepts, _semantic, query
 
 
 def rule(name: str, where: str = "true", salt: str = "''") -> str:
@@ -117,4 +121,83 @@ def graph_sync_touched(spark, sf_dir):
     return _synced(spark, sf_dir).touched
 
 
+@query(f"WITH {EDITED} SELECT 1 AS version, file, sha1(content) AS hash FROM old_files UNION ALL SELECT 2, file, sha1(content) FROM new_files")
+def graph_store_versions(spark, sf_dir):
+    """The manifests of two versions of a stored graph: one built, the next synced from what the store holds."""
+    before, after = edits(spark, sf_dir)
+    store = SnapshotStore(spark, f"{shared_folder(spark)}/graph-store-{uuid.uuid4().hex}")
+    with Tables(spark, "graph") as tables:
+        first = store.commit(incremental.build(before, tables=tables).tables())
+        held = incremental.CodeGraph(**store.tables(first))
+        second = store.commit(incremental.sync(held, after, tables=tables).graph.tables(), base=first)
+    rows = [store.read("manifest", v).select(F.lit(k).alias("version"), "file", "hash") for k, v in enumerate((first, second), 1)]
+    return rows[0].unionAll(rows[1])
+
+
+# communities of vectors, tied by likeness and by chains of labels; two codebases by label
+
+WEIGHTS = f"""{NEAR}, {CHAIN},
+of AS (SELECT vec_id, label, 'c' || label % 2 AS codebase FROM embeddings),
+ties AS (SELECT src, dst, 1.0 AS w FROM chain WHERE dst IS NOT NULL UNION ALL SELECT id, other, score - 0.35 FROM near WHERE score > 0.35),
+w AS (SELECT x.codebase, x.label AS a, y.label AS b, w FROM ties JOIN of x ON x.vec_id = src JOIN of y ON y.vec_id = dst WHERE x.codebase = y.codebase),
+total AS (SELECT codebase, sum(w) AS total, sum(CASE WHEN a = b THEN w ELSE 0 END) AS inside FROM w GROUP BY 1),
+mass AS (SELECT codebase, label, sum(w) AS mass FROM (SELECT codebase, a AS label, w FROM w UNION ALL SELECT codebase, b, w FROM w) GROUP BY 1, 2),
+labels_q AS (SELECT codebase, round(any_value(inside) / any_value(total) - sum((mass / (2 * total)) ** 2), 6) AS of_labels FROM mass JOIN total USING (codebase) GROUP BY 1)"""
+
+
+def _weighted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(weights, nodes) of two codebases."""
+    of = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), "label", F.concat(F.lit("c"), F.col("label") % 2).alias("codebase"))
+    ties = graph.hybrid_weights(_chain(spark, sf_dir), _semantic(spark, sf_dir))
+    ends = ties.join(of.select(F.col("node").alias("a"), "codebase"), "a").join(of.select(F.col("node").alias("b"), F.col("codebase").alias("other")), "b")
+    return ends.where("codebase = other").select("codebase", "a", "b", "weight"), of
+
+
+@query(f"WITH {WEIGHTS} SELECT vec_id AS node, of.codebase, 1 AS places, true AS connected, true AS better, of_labels FROM of JOIN labels_q USING (codebase)")
+def community_detection(spark, sf_dir):
+    """What must hold of the communities, for every node: it is in one, which is connected; modularity is at least that of the labels (of_labels)."""
+    with Tables(spark, "community-detection") as tables:
+        weights, nodes = (tables.keep(x) for x in _weighted(spark, sf_dir))
+        found = tables.keep(communities.communities(weights, nodes))
+        side = lambda k: found.select("codebase", F.col("node").alias(k), F.col("community").alias(f"{k}_of"))
+        inside = weights.join(side("a"), ["codebase", "a"]).join(side("b"), ["codebase", "b"]).where("a_of = b_of")
+        roots = graph.components(inside.select("a", "b")).select(F.col("v").alias("node"), "root")
+        rooted = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        parts = rooted.groupBy("codebase", "community").agg((F.min("root") == F.max("root")).alias("connected"))
+        own = communities.modularity(weights, found).withColumnRenamed("modularity", "own")
+        labels = communities.modularity(weights, nodes.withColumnRenamed("label", "community")).withColumnRenamed("modularity", "labels")
+        quality = own.join(labels, "codebase").select("codebase", (F.col("own") >= F.col("labels")).alias("better"), F.round("labels", 6).alias("of_labels"))
+        rows = found.groupBy("codebase", "node").agg(F.count("*").cast("int").alias("places"), F.first("community").alias("community"))
+        kept = Tables(spark, "community-rows")
+        return kept.keep(rows.join(parts, ["codebase", "community"]).join(quality, "codebase").select("node", "codebase", "places", "connected", "better", "of_labels"))
+
+
+TOUCHED_NODES = "label = 3 AND vec_id % 12 = 2"
+
+
+@query(f"""WITH {OVERLAP}, s AS (SELECT * FROM scored WHERE jaccard >= 0.5),
+k AS (SELECT community, count(*) AS k_new, max(concept_id) AS own FROM s GROUP BY 1),
+o AS (SELECT concept_id AS own, count(*) AS k_old FROM s GROUP BY 1),
+rows AS (SELECT n.community, CASE WHEN k_new = 1 AND k_old = 1 THEN own END AS own FROM (SELECT DISTINCT community FROM new) n LEFT JOIN k USING (community) LEFT JOIN o USING (own)),
+top AS (SELECT max(CAST(substr(concept_id, 9) AS INTEGER)) + 1 AS next FROM old),
+ids AS (SELECT community, own, coalesce(own, 'concept-' || lpad(CAST((SELECT next FROM top) + sum(CASE WHEN own IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY community) - 1 AS VARCHAR), 4, '0')) AS concept_id FROM rows),
+hit AS (SELECT DISTINCT community FROM new JOIN embeddings ON node_id = vec_id WHERE {TOUCHED_NODES}),
+same AS (SELECT community FROM s WHERE jaccard = 1 AND community NOT IN (SELECT community FROM hit)),
+ranked AS (SELECT community, vec_id, 't' || label || ': s' || vec_id AS line FROM new JOIN embeddings ON node_id = vec_id QUALIFY row_number() OVER (PARTITION BY community ORDER BY vec_id) <= 40),
+prompt AS (SELECT community, string_agg(line, ' ' ORDER BY vec_id) AS text FROM ranked GROUP BY 1)
+SELECT concept_id, own IS NULL OR community NOT IN (SELECT community FROM same) AS called,
+  CASE WHEN own IS NULL OR community NOT IN (SELECT community FROM same) THEN substr(sha1(text), 1, 8) ELSE 'tag of ' || own END AS tag,
+  CASE WHEN own IS NULL OR community NOT IN (SELECT community FROM same) THEN substr(text, 1, 280) ELSE 'summary of ' || own END AS summary
+FROM ids JOIN prompt USING (community)""")
+def concept_recluster(spark, sf_dir):
+    """Concepts after edits: one is split, one has lost members, one is touched; the others stay verbatim."""
+    new, old = _concepts(spark, sf_dir)
+    named = lambda kind: F.concat(F.lit(f"{kind} of "), "concept_id")
+    before = old.select("concept_id").distinct().select("concept_id", named("tag").alias("tag"), named("summary").alias("summary"))
+    rows = table(spark, sf_dir, "embeddings")
+    entities = rows.select(F.col("vec_id").alias("node_id"), F.concat(F.lit("t"), "label").alias("tag"), F.concat(F.lit("s"), "vec_id").alias("summary"))
+    touched = rows.where(TOUCHED_NODES).select(F.col("vec_id").alias("node_id"))
+    return concepts.recluster(new, entities, before, old, touched).concepts.select("concept_id", "called", "tag", "summary")
+
+
 __all__ = ["edits", "graph"]

@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import incremental
+from tessella.operators import concepts, incremental
+from tessella.operators.enrich import Offline
 from tessella.sources.code import parse, python_entities
+from tessella.sources.snapshots import Conflict, SnapshotStore
 
 SOURCE = '''@mark(0)
 class Shelf(Base, lib.Store[int], metaclass=meta.Kind):
@@ -118,3 +120,71 @@ def test_scope_and_empty_graphs(spark):
 def test_repeated_names_keep_the_last(spark):
     rows = parse(frame(spark, {"a.py": "def f(): one()\ndef f(): two()\n"})).collect()
     assert [(r["node_id"], r["calls"]) for r in rows] == [("a.py::f", ["two"])]
+
+
+def test_store_shows_whole_versions_only(spark, tmp_path):
+    """Tables that are carried over, readers of old versions, writers that fail or come second, cut pointers, clearing up."""
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "x long")
+    read = lambda table, v=None: sorted(r["x"] for r in store.read(table, v).collect())
+    assert not store.exists() and store.latest() is None and store.tables() == {} and store.versions() == []
+    first = store.commit({"manifest": rows(1), "edges": rows(1, 2), "none": rows()}, note={"batch": 7})
+    second = store.commit({"manifest": rows(2)}, base=first)
+    assert (read("manifest"), read("edges"), read("manifest", first), read("none")) == ([2], [1, 2], [1], [])
+    assert store.note(first) == {"batch": 7} and store.versions() == [first, second]
+
+    def bad(x):
+        raise ValueError("a task fails")
+
+    failing = rows(5).select(F.udf(bad, "long")("x").alias("x"))
+    with pytest.raises(Exception, match="a task fails"):
+        store.commit({"edges": rows(9), "manifest": failing}, base=second)
+    assert store.latest() == second and read("edges") == [1, 2]
+    with pytest.raises(Conflict):
+        store.commit({"manifest": rows(3)}, base=first)
+    with pytest.raises(Conflict):
+        store.commit({"manifest": rows(3)})
+    (tmp_path / "store/commits/000000000003.json").write_text('{"tables": {"mani')
+    assert store.latest() == second and read("manifest") == [2]
+    with pytest.raises(KeyError):
+        store.read("manifest", 3)
+    third = store.commit({"edges": rows(4)}, base=second)
+    assert third == 4 and (read("manifest"), read("edges"), read("edges", second)) == ([2], [4], [1, 2])
+    store.vacuum(keep=1)
+    assert store.versions() == [third] and (read("manifest"), read("edges"), read("none")) == ([2], [4], [])
+    assert len(list((tmp_path / "store/data").iterdir())) == 3
+
+
+class Counting(Offline):
+    """Writes a line for each call."""
+
+    log = ""
+
+    def complete(self, system, prompt):
+        with open(self.log, "a") as f:
+            f.write("call\n")
+        return super().complete(system, prompt)
+
+
+def test_only_changed_concepts_are_called(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def make():
+        own = Counting()
+        own.log = log
+        return own
+
+    nodes = [f"n{k:02d}" for k in range(30)]
+    entities = spark.createDataFrame([(v, "t", "s" + v) for v in nodes], "node_id string, tag string, summary string")
+    groups = lambda rows: spark.createDataFrame(rows, "community int, node_id string")
+    none = spark.createDataFrame([], "concept_id string, tag string, summary string")
+    first = concepts.recluster(groups([(k // 6, v) for k, v in enumerate(nodes)]), entities, none, none.select("concept_id", F.lit("").alias("node_id")), None, make=make)
+    was = {r["concept_id"]: r["summary"] for r in first.concepts.collect()}
+    assert sorted(was) == [f"concept-{k:04d}" for k in range(5)] and len(open(log).readlines()) == 5
+    moved = groups([(9 - k // 6 if k != 29 else 8, v) for k, v in enumerate(nodes)])
+    touched = spark.createDataFrame([("n01",)], "node_id string")
+    then = concepts.recluster(moved, entities, first.concepts, first.members, touched, make=make)
+    rows = {r["concept_id"]: r for r in then.concepts.collect()}
+    assert sorted(rows) == sorted(was) and {c for c, r in rows.items() if r["called"]} == {"concept-0000", "concept-0001", "concept-0004"}
+    assert all(rows[c]["summary"] == was[c] for c in ("concept-0002", "concept-0003"))
+    assert len(open(log).readlines()) == 8

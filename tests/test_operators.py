@@ -173,16 +173,6 @@ def test_identity_lineage(spark):
     assert {got[0]["concept_id"], got[1]["concept_id"]} == {"concept-0002", "concept-0003"}
 
 
-def test_communities_are_a_partition_and_better_than_components(spark):
-    import itertools
-
-    edges = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "ab" for i, j in itertools.combinations(range(5), 2)] + [("a0", "b0", 0.5)]
-    weights = spark.createDataFrame([("k", *e) for e in edges], "codebase string, a string, b string, weight double")
-    nodes = spark.createDataFrame([("k", f"{g}{i}") for g in "ab" for i in range(5)] + [("k", "alone")], "codebase string, node string")
-    got = {r["node"]: r["community"] for r in graph.communities(weights, nodes).collect()}
-    assert len(got) == 11 and len({got[f"a{i}"] for i in range(5)}) == 1 and len({got[f"b{i}"] for i in range(5)}) == 1 and len(set(got.values())) == 3
-
-
 def test_neighbours_equal_brute_force(spark):
     import numpy as np
 
