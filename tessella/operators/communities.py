@@ -15,7 +15,7 @@ hashes are fixed, so results don't depend on the layout.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.shared import Tables
@@ -77,10 +77,9 @@ def _rounds(state: DataFrame, step, column: str, share: int, vertices: int, tabl
     """Repeats step until hardly a vertex moves in as many rounds as take all of them."""
     quiet = 0
     for k in range(most):
-        state = tables.keep(step(state, k))
-        moved = state.where(F.col(column) != F.col("old")).count()
-        state = state.drop("old")
-        quiet = quiet + 1 if 200 * moved <= vertices else 0
+        seen = Observation()
+        state = tables.keep(step(state, k).observe(seen, F.count_if(F.col(column) != F.col("old")).alias("moved"))).drop("old")
+        quiet = quiet + 1 if 50 * seen.get["moved"] <= vertices else 0
         if quiet == share:
             break
     return state
