@@ -5,14 +5,16 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet
+from ..sources.shared import Tables
 
 
 class Enricher(Protocol):
@@ -48,30 +50,75 @@ def _parse(answer: str) -> dict:
     return got
 
 
-def enrich(rows: DataFrame, prompt: Column, make: Callable[[], Enricher] = Offline, *, system: str = "", attempts: int = 2) -> DataFrame:
-    """rows with answer (tag, summary, error): one call a row, in Arrow batches; a failed call leaves an error, not a failed job."""
+def _answer(backend: Enricher, system: str, prompt: str, attempts: int) -> tuple[str, str, str | None]:
+    """(tag, summary, error) of one call; an answer that isn't an object is asked for again."""
+    error = None
+    for k in range(attempts):
+        try:
+            got = _parse(backend.complete(system + (" Answer with a JSON object only." if k else ""), prompt))
+            return str(got.get("tag") or ""), str(got.get("summary") or ""), None
+        except Exception as e:  # noqa: BLE001  any failure of a backend
+            error = f"{type(e).__name__}: {e}"
+    return "", "", error
+
+
+def enrich(rows: DataFrame, prompt: Column, make: Callable[[], Enricher] = Offline, *, system: str = "", attempts: int = 2, workers: int = 1) -> DataFrame:
+    """rows with answer (tag, summary, error): one call a row, in Arrow batches; a failed call leaves an error, not a failed job.
+
+    A task has up to `workers` calls under way at once; a backend that isn't safe for that wants 1.
+    """
 
     @F.pandas_udf("tag string, summary string, error string")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         backend = make()
-        for prompts in batches:
-            out = []
-            for p in prompts:
-                error = None
-                for k in range(attempts):
-                    try:
-                        got = _parse(backend.complete(system + (" Answer with a JSON object only." if k else ""), p or ""))
-                        out.append((str(got.get("tag") or ""), str(got.get("summary") or ""), None))
-                        break
-                    except Exception as e:  # noqa: BLE001  any failure of a backend
-                        error = f"{type(e).__name__}: {e}"
-                else:
-                    out.append(("", "", error))
-            yield pd.DataFrame(out, columns=["tag", "summary", "error"])
+        with ThreadPoolExecutor(workers) as pool:
+            for prompts in batches:
+                out = list(pool.map(lambda p: _answer(backend, system, p or "", attempts), prompts))
+                yield pd.DataFrame(out, columns=["tag", "summary", "error"])
 
     return rows.withColumn("answer", call(prompt))
 
 
+#: Calls under way at once, and calls between two checkpoints of a long job.
+WORKERS, CHUNK = 6, 5
+
+
+class ResultLog:
+    """Answers by (node_id, code_hash) in an append-only folder, which a long job fills as its tasks end."""
+
+    SCHEMA = "node_id string, code_hash string, tag string, summary string, error string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        """All rows ever written; a job that was stopped may have left some."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+    def answers(self) -> DataFrame:
+        """One row for each key that has an answer without an error."""
+        done = self.rows().where("error IS NULL")
+        return done.groupBy("node_id", "code_hash").agg(F.min(F.struct("tag", "summary")).alias("a")).select("node_id", "code_hash", "a.*")
+
+    def fill(self, rows: DataFrame, prompt: Column, make: Callable[[], Enricher] = Offline, *, chunk: int = CHUNK, workers: int = WORKERS, system: str = "") -> None:
+        """Calls the backend for the rows (node_id, code_hash) without an answer, `chunk` of them in a task.
+
+        A task's results are in the log once it ends, whatever becomes of the job; so a job that is
+        started again repeats only the tasks that hadn't ended, and calls that failed.
+        """
+        todo = rows.select("node_id", "code_hash", prompt.alias("prompt")).dropDuplicates(["node_id", "code_hash"]).join(self.answers(), ["node_id", "code_hash"], "left_anti")
+        with Tables(self.spark, "calls") as tables:
+            todo = tables.keep(todo)
+            parts = max(1, -(-todo.count() // chunk))
+            called = enrich(todo.repartition(parts, "node_id", "code_hash"), F.col("prompt"), make, system=system, workers=workers)
+            out = called.select("node_id", "code_hash", "answer.tag", "answer.summary", "answer.error")
+            # Version 2 of the committer moves a task's file to its place when the task ends, not when the job does.
+            out.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(self.path)
+
+
 def fallback_summary(transcript: Column) -> Column:
     return snippet(transcript)
 

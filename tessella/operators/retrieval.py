@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, fence
+from ..functions.text import cosine, fence, trim_all
 
 
 def index_text(concepts: DataFrame) -> DataFrame:
@@ -51,3 +51,78 @@ def digest(placed: DataFrame, concepts: DataFrame, members: DataFrame, entities:
     line = F.concat(F.lit("### "), "node_id", F.lit("\n```"), fence(F.col("file")), F.lit("\n"), "code", F.lit("\n```"))
     text = rows.withColumn("line", line).groupBy("concept_id", "place", "tag", "summary").agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY m)").alias("body"))
     return text.select("concept_id", "place", F.concat(F.lit("## "), "tag", F.lit("\n"), "summary", F.lit("\n"), "body").alias("text"))
+
+
+# for tables of queries
+
+#: Substrings of up to so many characters are what needles and texts are joined by.
+_GRAM = 3
+
+NO_HIT = "No matching code concepts found."  # fixed value
+
+
+def _grams(text: Column, sizes: Column) -> Column:
+    """The distinct substrings of a text of the given sizes, none of which is more than its length."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+    return F.array_distinct(F.flatten(F.transform(sizes, of)))
+
+
+def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle, text) for every text that holds a needle, both distinct and not empty.
+
+    A text is listed under its substrings of up to three characters.  A needle looks under one
+    of its own, the one with the fewest texts, and what it finds there is compared in full.
+    """
+    sizes = F.filter(F.array(*[F.lit(n) for n in range(1, _GRAM + 1)]), lambda n: n <= F.length("text"))
+    listed = texts.where("text <> ''").select("text", F.explode(_grams(F.col("text"), sizes)).alias("gram"))
+    common = listed.groupBy("gram").agg(F.count("*").alias("n"))
+    own = needles.where("needle <> ''").select("needle", F.explode(_grams(F.col("needle"), F.array(F.least(F.length("needle"), F.lit(_GRAM))))).alias("gram"))
+    least = own.join(common, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return least.join(listed, "gram").where(F.contains("text", "needle")).select("needle", "text")
+
+
+def match_query_tags(concepts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, concept_id): for each query (query_id, tag; it may have several) the concepts whose tag equals, holds or is held in one, in any case.
+
+    Blank tags match nothing, on either side.
+    """
+    wanted = queries.select("query_id", F.lower(F.trim("tag")).alias("wanted")).where("wanted <> ''")
+    tagged = concepts.select("concept_id", F.lower("tag").alias("own")).where("own <> ''")
+    asked, there = wanted.select("wanted").distinct(), tagged.select("own").distinct()
+    holds = contained(asked.withColumnRenamed("wanted", "needle"), there.withColumnRenamed("own", "text")).select(F.col("needle").alias("wanted"), F.col("text").alias("own"))
+    held = contained(there.withColumnRenamed("own", "needle"), asked.withColumnRenamed("wanted", "text")).select(F.col("text").alias("wanted"), F.col("needle").alias("own"))
+    pairs = holds.unionAll(held).distinct()
+    return wanted.join(pairs, "wanted").join(tagged, "own").select("query_id", "concept_id").distinct()
+
+
+def expand_each(seeds: DataFrame, neighbours: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(query_id, concept_id, place): expand() for the seeds (query_id, concept_id, rank) of many queries."""
+    near = seeds.join(neighbours, seeds["concept_id"] == neighbours["concept"]).select("query_id", "rank", F.col("neighbour").alias("concept_id"))
+    after = F.row_number().over(Window.partitionBy("query_id", "rank").orderBy("concept_id"))
+    listed = seeds.select("query_id", "rank", F.lit(0).alias("sub"), "concept_id").unionByName(near.select("query_id", "rank", after.alias("sub"), "concept_id"))
+    first = listed.groupBy("query_id", "concept_id").agg(F.min(F.struct("rank", "sub")).alias("at")).join(concepts.select("concept_id"), "concept_id", "left_semi")
+    return first.select("query_id", "concept_id", F.row_number().over(Window.partitionBy("query_id").orderBy("at")).alias("place"))
+
+
+def digest_texts(concepts: DataFrame, members: DataFrame, entities: DataFrame) -> DataFrame:
+    """(concept_id, text): a concept's heading, then its members (with tag, summary, file, span_start, span_end, code) by id."""
+    either = lambda a, b: F.when(F.length(a) > 0, F.col(a)).otherwise(F.col(b).cast("string"))
+    place = F.concat(F.lit(" ("), "file", F.lit(":"), "span_start", F.lit("-"), "span_end", F.lit(")\n"))
+    body = F.concat(F.lit("### "), either("tag", "node_id"), place, F.coalesce("summary", F.lit("")), F.lit("\n```"), fence(F.col("file")), F.lit("\n"), F.coalesce("code", F.lit("")), F.lit("\n```\n"))
+    lines = members.join(entities.select("node_id", body.alias("line")), "node_id").groupBy("concept_id").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY node_id)").alias("body"))
+    head = F.concat(F.lit("## "), either("tag", "concept_id"), F.lit("\n"), F.coalesce("summary", F.lit("")), F.lit("\n"))
+    return concepts.join(lines, "concept_id", "left").select("concept_id", F.concat_ws("\n", head, "body").alias("text"))
+
+
+def recall_by_tags(queries: DataFrame, concepts: DataFrame, neighbours: DataFrame, members: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query_id, text): for each query the digests of the concepts that its tags match and of their neighbours, or a fixed text."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("concept_id"))
+    seeds = match_query_tags(concepts, queries).withColumn("rank", rank)
+    return _assembled(queries, expand_each(seeds, neighbours, concepts), concepts, members, entities)
+
+
+def _assembled(queries: DataFrame, placed: DataFrame, concepts: DataFrame, members: DataFrame, entities: DataFrame) -> DataFrame:
+    wanted = concepts.join(placed.select("concept_id").distinct(), "concept_id", "left_semi")
+    texts = placed.join(digest_texts(wanted, members, entities), "concept_id")
+    found = texts.groupBy("query_id").agg(trim_all(F.expr("listagg(text, '\n') WITHIN GROUP (ORDER BY place)")).alias("text"))
+    return queries.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("text", F.lit(NO_HIT)).alias("text"))

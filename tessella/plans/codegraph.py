@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import communities, concepts, graph, incremental
+from ..operators import communities, concepts, enrich, graph, incremental, retrieval
 from ..sources import code
 from ..sources.shared import Tables, shared_folder
 from ..sources.snapshots import SnapshotStore
 from ..sources.tables import sources, table
-from .catalogue import CHAIN, NEAR, OVERLAP, _chain, _concepts, _semantic, query
+from .catalogue import CHAIN, NEAR, OVERLAP, QUOTIENT, _chain, _concepts, _members, _semantic, query
 
 
 def rule(name: str, where: str = "true", salt: str = "''") -> str:
@@ -200,4 +200,65 @@ def concept_recluster(spark, sf_dir):
     return concepts.recluster(new, entities, before, old, touched).concepts.select("concept_id", "called", "tag", "summary")
 
 
+# long jobs of calls, and retrieval for tables of queries
+
+
+@query(f"WITH {rule('all')}, e AS ({entities_sql('all')}) SELECT node_id, substr(sha1(t), 1, 8) AS tag, substr(t, 1, 280) AS summary, 1 AS calls FROM (SELECT node_id, signature || ' ' || code_hash AS t FROM e)")
+def enrichment_resumed(spark, sf_dir):
+    """Digests of all entities by a job that finds a third of them in its log; calls: rows that the log has for an entity."""
+    rows = code.parse(sources(spark, sf_dir)).select("node_id", "code_hash", "signature")
+    log = enrich.ResultLog(spark, f"{shared_folder(spark)}/calls-{uuid.uuid4().hex}")
+    prompt = F.concat("signature", F.lit(" "), "code_hash")
+    with Tables(spark, "entities") as tables:
+        rows = tables.keep(rows)
+        log.fill(rows.where(F.col("node_id").endswith(".run")), prompt, chunk=2000)
+        log.fill(rows, prompt, chunk=2000)
+    counts = log.rows().groupBy("node_id", "code_hash").agg(F.count("*").cast("int").alias("calls"))
+    return log.answers().join(counts, ["node_id", "code_hash"]).select("node_id", "tag", "summary", "calls")
+
+
+QUERY_TAGS = """
+asked AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 150 = 0 THEN 'zz' || p_partkey WHEN p_partkey % 100 = 0 THEN 'one ' || p_name || ' more' ELSE ' ' || upper(substr(p_name, 2, p_size % 7 + 1)) END AS tag
+  FROM part WHERE p_partkey % 25 = 0)"""
+
+
+def _tag_queries(spark, sf_dir) -> DataFrame:
+    k = F.col("p_partkey")
+    tag = F.when(k % 150 == 0, F.concat(F.lit("zz"), k)).when(k % 100 == 0, F.concat(F.lit("one "), "p_name", F.lit(" more"))).otherwise(F.concat(F.lit(" "), F.upper(F.substring(F.col("p_name"), F.lit(2), F.col("p_size") % 7 + 1))))
+    return table(spark, sf_dir, "part").where(k % 25 == 0).select(k.alias("query_id"), tag.alias("tag"))
+
+
+@query(f"""WITH {QUERY_TAGS}, w AS (SELECT query_id, lower(trim(tag)) AS tag FROM asked)
+SELECT query_id, p_partkey AS concept_id FROM w JOIN part ON contains(lower(p_name), tag) OR contains(tag, lower(p_name)) WHERE tag <> ''""")
+def query_tag_match(spark, sf_dir):
+    """Queries by parts of names, by what holds a name, and without a hit, against the names of all parts."""
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("tag"))
+    return retrieval.match_query_tags(names, _tag_queries(spark, sf_dir))
+
+
+RECALL = f"""{QUOTIENT},
+asked AS (SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 5 = 4 THEN 'none such' ELSE ' TOPIC ' || n_nationkey % 12 END AS tag FROM nation),
+c AS (SELECT DISTINCT label AS concept_id, 'topic ' || label AS tag, 'about ' || label AS summary FROM embeddings WHERE label <> 7),
+seeds AS (SELECT query_id, concept_id, row_number() OVER (PARTITION BY query_id ORDER BY concept_id) AS rank FROM asked a JOIN c ON contains(lower(trim(a.tag)), c.tag) OR contains(c.tag, lower(trim(a.tag)))),
+near_ones AS (SELECT query_id, rank, neighbour AS concept_id, row_number() OVER (PARTITION BY query_id, rank ORDER BY neighbour) AS sub FROM seeds JOIN q ON concept_id = concept),
+listed AS (SELECT query_id, rank, 0 AS sub, concept_id FROM seeds UNION ALL SELECT query_id, rank, sub, concept_id FROM near_ones),
+firsts AS (SELECT query_id, concept_id, min(rank * 100000 + sub) AS spot FROM listed SEMI JOIN c USING (concept_id) GROUP BY 1, 2),
+bodies AS (SELECT label AS concept_id, string_agg('### node ' || vec_id || ' (src/v' || vec_id || '.py:1-' || label || ')' || chr(10) || 's' || vec_id || chr(10) || '```python' || chr(10) || 'v = ' || vec_id || chr(10) || '```' || chr(10), chr(10) ORDER BY vec_id) AS body FROM embeddings GROUP BY 1),
+texts AS (SELECT concept_id, '## ' || tag || chr(10) || summary || chr(10) || chr(10) || body AS text FROM c JOIN bodies USING (concept_id)),
+whole AS (SELECT query_id, trim(string_agg(text, chr(10) ORDER BY spot), chr(10) || ' ') AS text FROM firsts JOIN texts USING (concept_id) GROUP BY 1)"""
+
+
+@query(f"WITH {RECALL} SELECT query_id, coalesce(text, 'No matching code concepts found.') AS text FROM asked LEFT JOIN whole USING (query_id)")
+def recall_for_queries(spark, sf_dir):
+    """For a table of queries, the digests of the concepts that match, with their neighbours; one label has no concept."""
+    rows = table(spark, sf_dir, "embeddings")
+    near = graph.quotient_neighbours(_semantic(spark, sf_dir), _members(spark, sf_dir))
+    label, k = F.col("label"), F.col("vec_id")
+    found = rows.where("label <> 7").select(label.alias("concept_id"), F.concat(F.lit("topic "), label).alias("tag"), F.concat(F.lit("about "), label).alias("summary")).distinct()
+    entities = rows.select(k.alias("node_id"), F.concat(F.lit("node "), k).alias("tag"), F.concat(F.lit("s"), k).alias("summary"), F.concat(F.lit("src/v"), k, F.lit(".py")).alias("file"), F.lit(1).alias("span_start"), label.alias("span_end"), F.concat(F.lit("v = "), k).alias("code"))
+    n = F.col("n_nationkey")
+    asked = table(spark, sf_dir, "nation").select(n.alias("query_id"), F.when(n % 5 == 4, "none such").otherwise(F.concat(F.lit(" TOPIC "), n % 12)).alias("tag"))
+    return retrieval.recall_by_tags(asked, found, near, _members(spark, sf_dir), entities)
+
+
 __all__ = ["edits", "graph"]
