@@ -9,6 +9,7 @@ from tessella.operators import concepts, incremental
 from tessella.operators.enrich import Offline
 from tessella.sources.code import parse, python_entities
 from tessella.sources.snapshots import Conflict, SnapshotStore
+from tessella.streaming import sync as streamed
 
 SOURCE = '''@mark(0)
 class Shelf(Base, lib.Store[int], metaclass=meta.Kind):
@@ -188,3 +189,37 @@ def test_only_changed_concepts_are_called(spark, tmp_path):
     assert sorted(rows) == sorted(was) and {c for c, r in rows.items() if r["called"]} == {"concept-0000", "concept-0001", "concept-0004"}
     assert all(rows[c]["summary"] == was[c] for c in ("concept-0002", "concept-0003"))
     assert len(open(log).readlines()) == 8
+
+
+def test_a_stream_keeps_a_stored_graph(spark, tmp_path):
+    """Batches with repeated rows and removals, a batch that fails, a batch that comes again, a second stream."""
+    schema = "file string, content string, at long"
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    batches = [
+        [("a.py", "def one(): pass\n", 1), ("b.py", "def two(): one()\n", 1), ("b.py", "def old(): pass\n", 0)],
+        [("bad.py", "def bad(): pass\n", 2)],
+        [("a.py", None, 3), ("c.py", "def one(): two()\n", 3), ("never.py", None, 3)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{k}"))
+
+    def digest(entities, known):
+        if entities.where("file = 'bad.py'").count():
+            raise RuntimeError("no digest for this")
+        return incremental.without_summaries(entities, known)
+
+    for k in range(3):  # one stream over a folder that grows
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for f in (tmp_path / f"in{k}").glob("part-*.parquet"):
+            f.rename(tmp_path / "in" / f"{k}.parquet")
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        streamed.start_graph(stream, store, checkpoint=str(tmp_path / "c"), every=None, digest=digest).awaitTermination()
+    want = incremental.build(frame(spark, {"b.py": "def two(): one()\n", "c.py": "def one(): two()\n"}))
+    held = store.tables()
+    assert content(incremental.CodeGraph(**{t: held[t] for t in want.TABLES})) == content(want)
+    assert [(r["batch"], r["error"]) for r in held["errors"].collect()] == [(1, "RuntimeError: no digest for this")]
+    assert len(store.versions()) == 3
+    again = spark.createDataFrame([("x.py", "def x(): pass\n", 9)], schema)
+    assert streamed.sync_store(store, again, stream=str(tmp_path / "c"), number=2) == store.latest() and len(store.versions()) == 3
+    streamed.sync_store(store, again, stream="other", number=0)
+    assert {r["file"] for r in store.read("manifest").collect()} == {"b.py", "c.py", "x.py"} and store.read("errors").count() == 1
