@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, fence, trim_all
+from .similarity import InvertedLists, nearest
 
 
 def index_text(concepts: DataFrame) -> DataFrame:
@@ -121,8 +122,22 @@ def recall_by_tags(queries: DataFrame, concepts: DataFrame, neighbours: DataFram
     return _assembled(queries, expand_each(seeds, neighbours, concepts), concepts, members, entities)
 
 
-def _assembled(queries: DataFrame, placed: DataFrame, concepts: DataFrame, members: DataFrame, entities: DataFrame) -> DataFrame:
+EMPTY = "Concept index is empty."  # fixed value
+
+
+def recall_by_vectors(queries: DataFrame, concepts: DataFrame, neighbours: DataFrame, members: DataFrame, entities: DataFrame, *, k: int = 5, index: InvertedLists | None = None) -> DataFrame:
+    """(query_id, text): for each query (query_id, vec) the digests of the k nearest concepts (with their vec) and their neighbours.
+
+    Exact, or through an index of the concepts' vectors; where no concept has a vector the text is fixed.
+    """
+    vectors = concepts.select(F.col("concept_id").alias("id"), "vec")
+    found = nearest(queries, vectors, k) if index is None else index.search(queries, vectors, k)
+    seeds = found.select("query_id", F.col("id").alias("concept_id"), "rank")
+    return _assembled(queries, expand_each(seeds, neighbours, concepts), concepts, members, entities, EMPTY)
+
+
+def _assembled(queries: DataFrame, placed: DataFrame, concepts: DataFrame, members: DataFrame, entities: DataFrame, missing: str = NO_HIT) -> DataFrame:
     wanted = concepts.join(placed.select("concept_id").distinct(), "concept_id", "left_semi")
     texts = placed.join(digest_texts(wanted, members, entities), "concept_id")
     found = texts.groupBy("query_id").agg(trim_all(F.expr("listagg(text, '\n') WITHIN GROUP (ORDER BY place)")).alias("text"))
-    return queries.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("text", F.lit(NO_HIT)).alias("text"))
+    return queries.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("text", F.lit(missing)).alias("text"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
@@ -54,6 +57,126 @@ def neighbours(vectors: DataFrame, k: int, *, block_rows: int = 1024) -> DataFra
     return part.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _top_of(k: int):
+    """Of a block of queries (query_id, vec) and one of vectors (id, vec): each query's k most similar."""
+
+    def apply(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        q_id, ids = queries["query_id"].to_numpy(), vectors["id"].to_numpy()
+        if not len(q_id) or not len(ids):
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        q, v = (np.array(t["vec"].to_pylist(), dtype=np.float64).reshape(t.num_rows, -1) for t in (queries, vectors))
+        q, v = (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12) for x in (q, v))
+        by_id = np.argsort(ids, kind="stable")
+        score = np.round(q @ v[by_id].T, 6)
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(q_id)), best.shape[1])
+        return pa.table({"query_id": q_id[row], "id": ids[by_id][best.ravel()], "score": score[row, best.ravel()]})
+
+    return apply
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _plain(rows: DataFrame, key: str) -> DataFrame:
+    return rows.where(F.col(key).isNotNull() & F.col("vec").isNotNull()).select(F.col(key).cast("long").alias(key), F.col("vec").cast("array<double>").alias("vec"))
+
+
+def _split(size: Column, rows: int) -> Column:
+    return F.greatest(F.ceil(size / rows), F.lit(1)).cast("int")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, block_rows: int = 4096) -> DataFrame:
+    """(query_id, id, score, rank): the k vectors (id, vec) most similar to each query (query_id, vec), of equal ones the lesser id.  Exact.
+
+    A task multiplies a block of queries and a block of vectors.
+    """
+    queries, vectors = _plain(queries, "query_id"), _plain(vectors, "id")
+    n, m = (max(1, -(-x.count() // block_rows)) for x in (queries, vectors))
+    own = lambda key, blocks: F.pmod(F.xxhash64(key, "vec"), F.lit(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = queries.withColumn("i", own("query_id", n)).select("*", each(m).alias("j"))
+    right = vectors.withColumn("j", own("id", m)).select("*", each(n).alias("i"))
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_top_of(k), "query_id long, id long, score double")
+    return _first(found, k)
+
+
+@dataclass(frozen=True)
+class InvertedLists:
+    """Vectors dealt to the lists of their nearest centres; a query looks into the lists of its own nearest ones.
+
+    Centres and the number of lists to look into are fitted on at most `sample` vectors, picked by
+    hash: so many that on the sample the recall asked for is reached.  All vectors are listed.
+    """
+
+    centres: np.ndarray
+    probes: int
+    recall: float
+
+    @classmethod
+    def fit(cls, vectors: DataFrame, *, sample: int = 8192, recall: float = 0.95, k: int = 8, rounds: int = 8) -> InvertedLists:
+        rows = _plain(vectors, "id")
+        share = min(1.0, sample / max(rows.count(), 1))
+        picked = rows.where(F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(F.xxhash64("id", "vec")).limit(sample)
+        x = np.array([r["vec"] for r in picked.select("vec").collect()], dtype=np.float64)
+        if not len(x):
+            return cls(np.zeros((0, 0)), 1, 1.0)
+        x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
+        lists = max(1, int(len(x) ** 0.5 / 2))
+        centres = x[np.linspace(0, len(x) - 1, lists).astype(int)]
+        for _ in range(rounds):
+            of = (x @ centres.T).argmax(axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, of, x)
+            full = np.bincount(of, minlength=lists) > 0
+            centres = np.where(full[:, None], sums, centres)
+            centres = centres / (np.linalg.norm(centres, axis=1, keepdims=True) + 1e-12)
+        of = (x @ centres.T).argmax(axis=1)
+        asked = x[:: max(1, len(x) // 256)]
+        score = asked @ x.T
+        top = np.argsort(-score, axis=1, kind="stable")[:, 1 : k + 1]  # the first is the query itself
+        if not top.size:
+            return cls(centres, 1, 1.0)
+        place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1, kind="stable")
+        needed = place[np.arange(len(asked))[:, None], of[top]]
+        reached = [(needed <= p).mean() for p in range(lists)]
+        probes = next((p + 1 for p, r in enumerate(reached) if r >= recall), lists)
+        return cls(centres, probes, float(reached[probes - 1]))
+
+    def _lists(self, most: int):
+        centres = self.centres
+
+        @F.pandas_udf("array<int>")
+        def lists(vec: pd.Series) -> pd.Series:
+            x = np.array(vec.tolist(), dtype=np.float64).reshape(len(vec), -1)
+            return pd.Series(list(np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :most].astype(np.int32)))
+
+        return lists
+
+    def search(self, queries: DataFrame, vectors: DataFrame, k: int, *, block_rows: int = 4096) -> DataFrame:
+        """(query_id, id, score, rank) as nearest(), among the vectors of the lists that a query looks into; scores are exact.
+
+        Long lists are cut into blocks, so a list that holds very many vectors is many tasks.
+        """
+        queries, vectors = _plain(queries, "query_id"), _plain(vectors, "id")
+        if not len(self.centres):
+            return nearest(queries, vectors, k)
+        listed = vectors.withColumn("list", self._lists(1)("vec")[0])
+        parts = listed.groupBy("list").agg(_split(F.count("*"), block_rows).alias("parts"))  # a row for each list
+        right = listed.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("id", "vec"), F.col("parts")).cast("int")).drop("parts")
+        asked = queries.withColumn("list", F.explode(self._lists(self.probes)("vec"))).join(F.broadcast(parts), "list")
+        left = asked.select("query_id", "vec", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        many = _split(F.count("*"), block_rows)
+        groups = left.groupBy("list").agg(many.alias("groups"))
+        left = left.join(F.broadcast(groups), "list").withColumn("group", F.pmod(F.xxhash64("query_id", "vec"), F.col("groups")).cast("int")).drop("groups")
+        right = right.join(F.broadcast(groups), "list").select("id", "vec", "list", "part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+        by = ["list", "part", "group"]
+        found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_top_of(k), "query_id long, id long, score double")
+        return _first(found, k)
+
+
 def semantic_edges(near: DataFrame, threshold: float) -> DataFrame:
     """Neighbours above the threshold (strictly) as edges src, dst, weight: score less threshold; mutual ones stand twice."""
     return near.where(F.col("score") > threshold).select(F.col("id").alias("src"), F.col("other").alias("dst"), (F.col("score") - threshold).alias("weight"))

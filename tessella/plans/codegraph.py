@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import communities, concepts, enrich, graph, incremental, retrieval
+from ..operators import communities, concepts, enrich, graph, incremental, retrieval, similarity
 from ..sources import code
 from ..sources.shared import Tables, shared_folder
 from ..sources.snapshots import SnapshotStore
@@ -261,4 +261,57 @@ def recall_for_queries(spark, sf_dir):
     return retrieval.recall_by_tags(asked, found, near, _members(spark, sf_dir), entities)
 
 
+NEAREST = """
+asked AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0),
+scores AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(v, CAST(embedding AS DOUBLE[])), 6) AS score FROM asked, embeddings),
+top AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5)"""
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    return rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+
+
+@query(f"WITH {NEAREST} SELECT query_id, id, rank, score FROM top")
+def nearest_for_queries(spark, sf_dir):
+    """The five nearest vectors of each vector of a table of queries (those whose id is divisible by 20)."""
+    rows = table(spark, sf_dir, "embeddings")
+    return similarity.nearest(_asked(rows), rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 5).select("query_id", "id", "rank", "score")
+
+
+@query(f"""WITH {NEAREST} SELECT CAST(count(*) AS BIGINT) AS queries, true AS whole, true AS recall_reached FROM asked""")
+def nearest_by_index(spark, sf_dir):
+    """The same through inverted lists over all vectors: whether every query has its five, and whether nine in ten are the exact ones."""
+    rows = table(spark, sf_dir, "embeddings")
+    vectors = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    with Tables(spark, "nearest") as tables:
+        exact = similarity.nearest(_asked(rows), vectors, 5).select("query_id", "id")
+        found = tables.keep(similarity.InvertedLists.fit(vectors).search(_asked(rows), vectors, 5).select("query_id", "id"))
+        both = found.join(exact, ["query_id", "id"], "left_semi").groupBy().agg(F.count("*").alias("hits"))
+        n = found.groupBy().agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("queries"))
+        return Tables(spark, "recall").keep(n.crossJoin(both).select("queries", (F.col("n") == 5 * F.col("queries")).alias("whole"), (F.col("hits") >= 0.9 * F.col("n")).alias("recall_reached")))
+
+
+BY_VECTOR = f"""{QUOTIENT},
+asked AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0),
+c AS (SELECT label AS concept_id, 'topic ' || label AS tag, 'about ' || label AS summary, min_by(CAST(embedding AS DOUBLE[]), vec_id) AS vec FROM embeddings GROUP BY label),
+seeds AS (SELECT query_id, concept_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(v, vec), 6) DESC, concept_id) AS rank FROM asked, c QUALIFY rank <= 2),
+near_ones AS (SELECT query_id, rank, neighbour AS concept_id, row_number() OVER (PARTITION BY query_id, rank ORDER BY neighbour) AS sub FROM seeds JOIN q ON concept_id = concept),
+listed AS (SELECT query_id, rank, 0 AS sub, concept_id FROM seeds UNION ALL SELECT query_id, rank, sub, concept_id FROM near_ones),
+firsts AS (SELECT query_id, concept_id, min(rank * 100000 + sub) AS spot FROM listed GROUP BY 1, 2),
+heads AS (SELECT label AS concept_id, '### n' || min(vec_id) || ' (src/v.md:1-2)' || chr(10) || chr(10) || '```' || chr(10) || chr(10) || '```' || chr(10) AS body FROM embeddings GROUP BY 1),
+texts AS (SELECT concept_id, '## ' || tag || chr(10) || summary || chr(10) || chr(10) || body AS text FROM c JOIN heads USING (concept_id))"""
+
+
+@query(f"WITH {BY_VECTOR} SELECT query_id, trim(string_agg(text, chr(10) ORDER BY spot), chr(10) || ' ') AS text FROM firsts JOIN texts USING (concept_id) GROUP BY 1")
+def recall_for_vectors(spark, sf_dir):
+    """For a table of query vectors, the digests of the two nearest concepts (a label, with its first vector and member) and their neighbours."""
+    rows = table(spark, sf_dir, "embeddings")
+    near = graph.quotient_neighbours(_semantic(spark, sf_dir), _members(spark, sf_dir))
+    label = F.col("concept_id")
+    found = rows.groupBy(F.col("label").alias("concept_id")).agg(F.min_by("embedding", "vec_id").alias("vec"), F.min("vec_id").alias("node_id"))
+    told = found.select("concept_id", F.concat(F.lit("topic "), label).alias("tag"), F.concat(F.lit("about "), label).alias("summary"), "vec")
+    entities = found.select("node_id", F.concat(F.lit("n"), "node_id").alias("tag"), F.lit("").alias("summary"), F.lit("src/v.md").alias("file"), F.lit(1).alias("span_start"), F.lit(2).alias("span_end"), F.lit("").alias("code"))
+    return retrieval.recall_by_vectors(_asked(rows), told, near, found.select("concept_id", "node_id"), entities, k=2)
+
+
 __all__ = ["edits", "graph"]

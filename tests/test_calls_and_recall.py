@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import enrich, retrieval
+from tessella.operators import enrich, retrieval, similarity
 from tests.test_incremental import Counting
 
 
@@ -91,3 +92,53 @@ def test_recall_by_tags_text(spark):
     boats = "## Boats\nwhat floats\n\n### hull (a.py:1-2)\na hull\n```python\nh = 1\n```\n\n### n2 (b.txt:3-3)\n\n```\n\n```\n\n## c2\nno tag"
     assert got[1] == boats and got[2] == retrieval.NO_HIT
     assert got[3] == boats + "\n\n## sails"
+
+
+def vectors(spark, rows, key):
+    return spark.createDataFrame([(k, None if v is None else [float(x) for x in v]) for k, v in rows], f"{key} long, vec array<float>")
+
+
+def brute_nearest(queries, rows, k):
+    unit = lambda v: np.array(v, np.float32).astype(float) / (np.linalg.norm(np.array(v, np.float32).astype(float)) + 1e-12)
+    out = set()
+    for q, v in queries:
+        best = sorted((-round(float(unit(v) @ unit(w)), 6), i) for i, w in rows)[:k]
+        out |= {(q, i, n + 1) for n, (_, i) in enumerate(best)}
+    return out
+
+
+def test_nearest_of_many_queries(spark):
+    """Blocks of both sides, ties, nulls, no rows; through the index with every list looked into the result is the exact one."""
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=6)) for k in range(150)] + [(200 + k, [1, 0, 0, 0, 0, 0]) for k in range(40)]
+    queries = [(k, rng.normal(size=6)) for k in range(20)] + [(50, [2, 0, 0, 0, 0, 0])]
+    want = brute_nearest(queries, rows, 4)
+    given, asked = vectors(spark, [*rows, (300, None), (None, [1] * 6)], "id"), vectors(spark, [*queries, (90, None)], "query_id")
+    got = lambda df: {(r["query_id"], r["id"], r["rank"]) for r in df.collect()}
+    assert got(similarity.nearest(asked, given, 4, block_rows=16)) == want
+    index = similarity.InvertedLists.fit(given, recall=1.1)
+    assert index.probes == len(index.centres) > 1
+    assert got(index.search(asked, given, 4, block_rows=10)) == want  # the repeated vector's list is cut into blocks
+    none = given.limit(0)
+    assert got(similarity.nearest(asked, none, 4)) == got(similarity.InvertedLists.fit(none).search(asked, none, 4)) == set()
+    assert got(similarity.nearest(asked.limit(0), given, 4)) == set()
+
+
+def test_index_reaches_its_recall(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(30, 16)) * 2
+    rows = [(k, centre[k % 30] + rng.normal(size=16)) for k in range(1500)]
+    queries = [(k, centre[k % 30] + rng.normal(size=16)) for k in range(0, 60)]
+    given = vectors(spark, rows, "id")
+    index = similarity.InvertedLists.fit(given, sample=600)
+    assert index.probes < len(index.centres) and index.recall >= 0.95
+    found = {(r["query_id"], r["id"]) for r in index.search(vectors(spark, queries, "query_id"), given, 8).collect()}
+    want = {(q, i) for q, i, _ in brute_nearest(queries, rows, 8)}
+    assert len(found & want) >= 0.9 * len(want)
+
+
+def test_recall_without_vectors(spark):
+    concepts = spark.createDataFrame([(1, "t", "s", None)], "concept_id long, tag string, summary string, vec array<float>")
+    none = lambda schema: spark.createDataFrame([], schema)
+    got = retrieval.recall_by_vectors(vectors(spark, [(5, [1.0])], "query_id"), concepts, none("concept long, neighbour long"), none("concept_id long, node_id long"), none("node_id long, tag string, summary string, file string, span_start int, span_end int, code string"))
+    assert [tuple(r) for r in got.collect()] == [(5, retrieval.EMPTY)]
