@@ -154,6 +154,35 @@ def system_override(spark, sf_dir):
     return requests.override_system(messages(spark, sf_dir), "ours", "prefix")
 
 
+HOSTED = f"""{MARKED}, told AS (SELECT *, CASE WHEN role = 'system' AND session % 2 = 0 THEN text || '<env>os ' || session || chr(10) || 'x</env> tail' ELSE text END AS said FROM counted),
+lead AS (SELECT session, coalesce(string_agg(said, chr(10) || chr(10) ORDER BY seq) FILTER (talk = 0), '') AS host FROM told GROUP BY session)"""
+
+
+def _hosted(spark, sf_dir):
+    """Conversations whose host adds an <env> block to the system prompts of every second session."""
+    block = F.concat("text", F.lit("<env>os "), "session", F.lit("\nx</env> tail"))
+    return messages(spark, sf_dir).withColumn("text", F.when((F.col("role") == "system") & (F.col("session") % 2 == 0), block).otherwise(F.col("text")))
+
+
+def _overridden(text: str) -> str:
+    return f"WITH {HOSTED} SELECT session, -1 AS seq, 'system' AS role, {text} AS text FROM lead UNION ALL SELECT session, seq, role, said FROM told WHERE talk > 0"
+
+
+@query(_overridden("'ours'"))
+def system_replaced(spark, sf_dir):
+    return requests.override_system(_hosted(spark, sf_dir), "ours")
+
+
+@query(_overridden("CASE host WHEN '' THEN 'ours' ELSE host || chr(10) || chr(10) || 'ours' END"))
+def system_suffixed(spark, sf_dir):
+    return requests.override_system(_hosted(spark, sf_dir), "ours", "suffix")
+
+
+@query(_overridden("CASE WHEN contains(host, '<env>') THEN 'ours' || chr(10) || chr(10) || '<env>os ' || session || chr(10) || 'x</env>' ELSE 'ours' END"))
+def system_with_env(spark, sf_dir):
+    return requests.override_system(_hosted(spark, sf_dir), "ours", "prefix_env")
+
+
 @query("""SELECT conv_id AS session, turn AS seq, role, text FROM conversations UNION ALL
 SELECT conv_id, max(turn) + k, CASE k WHEN 1 THEN 'assistant' ELSE 'user' END, CASE k WHEN 1 THEN '' ELSE 'please continue.' END FROM conversations, (VALUES (1), (2)) t(k) WHERE conv_id % 3 = 0 GROUP BY conv_id, k""")
 def nudged_requests(spark, sf_dir):
@@ -203,6 +232,13 @@ def tool_filter(spark, sf_dir):
     return touches.allowed_tools(tools).select("event_id", "name")
 
 
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'Read' ELSE 'bash' END AS name FROM events WHERE event_type IN ('view', 'click')""")
+def tool_filter_allow(spark, sf_dir):
+    """Only named tools, in the shape without a function object."""
+    tools = tool_calls(spark, sf_dir).select(F.col("seq").alias("event_id"), F.to_json(F.struct(F.col("name"), F.col("input"))).alias("tool"))
+    return touches.allowed_tools(tools, allow=("Read", "bash")).select("event_id", "name")
+
+
 @query("""SELECT event_id AS request, CASE event_type WHEN 'error' THEN 'auto' WHEN 'view' THEN 'Read' WHEN 'click' THEN 'bash' WHEN 'purchase' THEN 'apply_patch' ELSE 'write_file' END AS choice FROM events""")
 def tool_choice_reset(spark, sf_dir):
     rows = tool_calls(spark, sf_dir).select(F.col("seq").alias("request"), F.col("name").alias("choice"))
@@ -269,34 +305,35 @@ def event_stream(spark, sf_dir):
     return providers.from_event_stream(chunks.select("stream", (F.col("base") + F.col("half")).alias("at"), "data")).select("stream", "role", "content")
 
 
-LEVELS = [(None, None), ("", None), ("  ", None), ("Off", "off"), ("NONE", "off"), ("0", "off"), ("no", "off"), ("disabled", "off"), (" High ", "high"), ("low", "low"), ("medium", "medium"), ("max", "max")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {'NULL' if v is None else chr(39) + v + chr(39)})" for k, (_, v) in enumerate(LEVELS)) + ") t(id, level)")
+@query("""SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 'off' WHEN 4 THEN 'off' WHEN 5 THEN 'off' WHEN 6 THEN 'off' WHEN 7 THEN lower(p_type) WHEN 8 THEN lower(p_brand) ELSE 'high' END AS level FROM part""")
 def reasoning_levels(spark, sf_dir):
-    rows = spark.createDataFrame([(k, raw) for k, (raw, _) in enumerate(LEVELS)], "id int, raw string")
-    return rows.select("id", normal_level(F.col("raw")).alias("level"))
-
-
-PARAMS = [
-    ("openai", None, "{}"), ("openai", "off", '{"reasoning_effort":"none"}'), ("ollama-openai", "high", '{"reasoning_effort":"high"}'), ("ollama", "off", '{"think":false}'),
-    ("ollama", "low", '{"think":"low"}'), ("anthropic", "off", "{}"), ("anthropic", "medium", '{"thinking":{"type":"enabled","budget_tokens":4096}}'), ("anthropic", "max", "{}"), ("other", "low", "{}"),
-]
+    """Levels that aren't set, blank, spellings of off, and words with white space and capitals."""
+    k = F.col("p_partkey") % 10
+    raw = F.when(k == 1, "").when(k == 2, "  ").when(k == 3, "Off").when(k == 4, "NONE").when(k == 5, "0").when(k == 6, "disabled").when(k == 7, F.concat(F.lit("  "), F.upper("p_type"), F.lit("\t"))).when(k == 8, F.col("p_brand")).when(k == 9, " High ")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), normal_level(raw).alias("level"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{v}')" for k, (_, _, v) in enumerate(PARAMS)) + ") t(id, params)")
+@query("""WITH r AS (SELECT c_custkey AS id, CASE c_nationkey % 5 WHEN 0 THEN 'openai' WHEN 1 THEN 'ollama-openai' WHEN 2 THEN 'ollama' WHEN 3 THEN 'anthropic' ELSE 'other' END AS provider,
+  CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'off' WHEN 2 THEN 'low' WHEN 3 THEN 'medium' WHEN 4 THEN 'high' ELSE lower(c_mktsegment) END AS level FROM customer)
+SELECT id, CASE WHEN level IS NULL THEN '{}' WHEN provider IN ('openai', 'ollama-openai') THEN '{"reasoning_effort":"' || CASE level WHEN 'off' THEN 'none' ELSE level END || '"}'
+  WHEN provider = 'ollama' THEN CASE level WHEN 'off' THEN '{"think":false}' ELSE '{"think":"' || level || '"}' END
+  WHEN provider = 'anthropic' AND level IN ('low', 'medium', 'high') THEN '{"thinking":{"type":"enabled","budget_tokens":' || CASE level WHEN 'low' THEN 1024 WHEN 'medium' THEN 4096 ELSE 16384 END || '}}' ELSE '{}' END AS params FROM r""")
 def reasoning_params(spark, sf_dir):
-    rows = spark.createDataFrame([(k, p, v) for k, (p, v, _) in enumerate(PARAMS)], "id int, provider string, level string")
-    return rows.select("id", request_params(F.col("provider"), F.col("level")).alias("params"))
+    """Every kind of provider, in small and capital letters, with levels that are known, off, unknown or not set."""
+    n, k = F.col("c_nationkey") % 5, F.col("c_custkey") % 6
+    provider = F.when(n == 0, "openai").when(n == 1, "ollama-openai").when(n == 2, "ollama").when(n == 3, "anthropic").otherwise("other")
+    provider = F.when(F.col("c_custkey") % 2 == 0, F.upper(provider)).otherwise(provider)
+    level = F.when(k == 1, "off").when(k == 2, "low").when(k == 3, "medium").when(k == 4, "high").when(k == 5, F.lower("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), request_params(provider, level).alias("params"))
 
 
-ANSWERS = [('{"a": 1}', '{"a": 1}'), ('```json\n{"a": 2}\n```', '{"a": 2}'), ('Here: {"a": {"b": 3}} done', '{"a": {"b": 3}}'), ("nothing", None), ("{broken", None)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {'NULL' if v is None else chr(39) + v + chr(39)})" for k, (_, v) in enumerate(ANSWERS)) + ") t(id, body)")
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 6 < 4 THEN '{"name": "' || p_name || '", "of": {"size": ' || p_size || '}}' END AS body FROM part""")
 def answer_json(spark, sf_dir):
-    rows = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(ANSWERS)], "id int, answer string")
-    return rows.select("id", json_object(F.col("answer")).alias("body"))
+    """Answers that are an object, one in a fence, one between words, one in a bare fence, none, and one that doesn't close."""
+    k = F.col("p_partkey") % 6
+    body = F.concat(F.lit('{"name": "'), "p_name", F.lit('", "of": {"size": '), "p_size", F.lit("}}"))
+    answer = F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Here: "), body, F.lit(" done."))).when(k == 3, F.concat(F.lit("```\n"), body, F.lit("\n```\n"))).when(k == 4, F.col("p_name")).otherwise(F.concat(F.lit("{"), "p_name"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), json_object(answer).alias("body"))
 
 
 # B: snapshots
@@ -396,7 +433,7 @@ def _semantic(spark, sf_dir):
 @query(f"SELECT b.vec_id AS id, {COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY 2 DESC, 1 LIMIT 5")
 def cosine_topk_query(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    return similarity.top_k(rows, rows.where("id = 0").first()["vec"], 5)
+    return similarity.nearest(rows.where("id = 0").select(F.col("id").alias("query_id"), "vec"), rows, 5).select("id", "score")
 
 
 @query(f"WITH {NEAR} SELECT id, other, score FROM near WHERE score > 0.35")
@@ -484,6 +521,20 @@ def concept_identity(spark, sf_dir):
     return graph.identify(*_concepts(spark, sf_dir), threshold=0.5, next_number=100).select("community", "concept_id")
 
 
+@query(f"""WITH {OVERLAP}, s AS (SELECT * FROM scored WHERE jaccard >= 0.1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY jaccard DESC, concept_id DESC) AS r1, row_number() OVER (PARTITION BY concept_id ORDER BY jaccard DESC, community DESC) AS r2 FROM s),
+own AS (SELECT community, concept_id AS own FROM ranked WHERE r1 = 1 AND r2 = 1),
+k AS (SELECT community, count(*) AS k_new, string_agg(concept_id, ',' ORDER BY concept_id) AS near FROM s GROUP BY 1),
+o AS (SELECT concept_id AS own, count(*) AS k_old FROM s GROUP BY 1),
+rows AS (SELECT n.community, own, near, coalesce(k_new > 1, false) AS merge, coalesce(k_old > 1, false) AS split FROM (SELECT DISTINCT community FROM new) n LEFT JOIN own USING (community) LEFT JOIN k USING (community) LEFT JOIN o USING (own)),
+kept AS (SELECT *, own IS NOT NULL AND NOT merge AND NOT split AS stays FROM rows)
+SELECT community, CASE WHEN stays THEN own ELSE 'concept-' || lpad(CAST(100 + sum(CASE WHEN stays THEN 0 ELSE 1 END) OVER (ORDER BY community) - 1 AS VARCHAR), 4, '0') END AS concept_id,
+  CASE WHEN split THEN own END AS split_from, CASE WHEN merge THEN near END AS merged_from FROM kept""")
+def concept_lineage(spark, sf_dir):
+    """Ids of new communities with what they were split from or merged from; one round of mutual best pairs is the whole greedy pass here."""
+    return graph.identify(*_concepts(spark, sf_dir), threshold=0.1, next_number=100)
+
+
 @query("SELECT max(try_cast(regexp_extract(n, '-([0-9]+)$', 1) AS BIGINT)) + 1 AS next FROM (SELECT 'concept-' || lpad(CAST(p_size AS VARCHAR), 4, '0') AS n FROM part UNION ALL SELECT 'odd')")
 def next_concept_number(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.format_string("concept-%04d", "p_size").alias("concept_id"))
