@@ -145,11 +145,12 @@ def parse(files: DataFrame) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            last = {}
-            for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for e in python_entities(file, content or ""):
-                    last[e["node_id"]] = e
-            rows = list(last.values())
-            yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], k) for f, k in zip(fields, kinds, strict=True)], names=fields)
+            for i in range(0, b.num_rows, 256):  # few files' entities at a time
+                part, last = b.slice(i, 256), {}
+                for file, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    for e in python_entities(file, content or ""):
+                        last[e["node_id"]] = e
+                rows = list(last.values())
+                yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], k) for f, k in zip(fields, kinds, strict=True)], names=fields)
 
     return files.where(language(F.col("file")) == "python").select("file", "content").mapInArrow(apply, ENTITIES)
