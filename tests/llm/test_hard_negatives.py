@@ -71,6 +71,8 @@ def test_edges(spark):
     assert mined(spark, [*rows, (600, 1, [1 << 40, 0], True)]) == want
     assert mined(spark, []) == []
     assert mined(spark, [(1, 1, [1], True)]) == []
+    assert mined(spark, [(1, 1, [1, 2], False), (2, 2, [3, 4], False)]) == []
+    assert mined(spark, [(1, 1, [1, 2], True), (2, 2, [3, 4], False)]) == []
     texts = spark.createDataFrame([(i, None if x is None else f"label {x}", v, a) for i, x, v, a in rows], SCHEMA.replace("label int", "label string"))
     assert sorted(tuple(r) for r in hard_negatives.mine(texts, hard_negatives.F.col("anchor")).collect()) == want
 
