@@ -224,3 +224,43 @@ def test_system_override_and_empty_answers(spark):
         requests.override_system(rows, "P", "other")
     r = spark.range(1).select(requests.is_empty(F.lit(" "), F.array()).alias("a"), requests.is_empty(F.lit(" "), F.array(F.lit("x"))).alias("b"), requests.is_turn(F.array(F.lit("t"))).alias("c")).first()
     assert (r["a"], r["b"], r["c"]) == (True, False, True)
+
+
+def test_neighbours_of_copies_and_odd_vectors(spark):
+    """Large groups of copies, zero, null and non-finite vectors, and a bound, against brute force over blocks of several sizes."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(300, 16))
+    v[rng.permutation(300)[:90]] = v[0]
+    v[rng.permutation(300)[:40]] = 0.9 * v[1]
+    v[7] = 0
+    ids = rng.permutation(300) * 3 - 100
+    u = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)
+    s = np.round(u @ u.T, 6)
+    rows = [(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)] + [(1, None), (2, [float("nan")] * 16), (5, [float("inf")] + [0.0] * 15), (None, [1.0] * 16)]
+    given = spark.createDataFrame(rows, "id long, vec array<double>").repartition(5)
+    for above in (None, 0.35):
+        want = set()
+        for i in range(300):
+            best = sorted((-s[i, j], int(ids[j])) for j in range(300) if j != i and (above is None or s[i, j] > above))[:4]
+            want |= {(int(ids[i]), j, -x, r) for r, (x, j) in enumerate(best, 1)}
+        for size in (40, 4096):
+            got = similarity.neighbours(given, 4, above=above, block_rows=size).collect()
+            assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_neighbours_shuffle_no_copies_of_vectors(spark):
+    """What is shuffled and kept must not grow with vectors times blocks: no plan explodes vectors to the blocks they meet."""
+    rows = spark.range(400).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.sin(k * F.col("id")).cast("float")).alias("vec"))
+    seen, write = [], type(rows.write).parquet
+    try:
+        type(rows.write).parquet = lambda self, path, *a, **b: (seen.append(self._df._jdf.queryExecution().toString()), write(self, path, *a, **b))[1]
+        similarity.neighbours(rows, 3, block_rows=16)
+    finally:
+        type(rows.write).parquet = write
+    assert len(seen) == 2 and "CartesianProduct" in seen[1] and not any("Generate" in x for x in seen)
+
+
+def test_neighbours_of_nothing(spark):
+    assert similarity.neighbours(spark.createDataFrame([], "id long, vec array<float>"), 3).collect() == []
