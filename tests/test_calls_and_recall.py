@@ -142,3 +142,19 @@ def test_recall_without_vectors(spark):
     none = lambda schema: spark.createDataFrame([], schema)
     got = retrieval.recall_by_vectors(vectors(spark, [(5, [1.0])], "query_id"), concepts, none("concept long, neighbour long"), none("concept_id long, node_id long"), none("node_id long, tag string, summary string, file string, span_start int, span_end int, code string"))
     assert [tuple(r) for r in got.collect()] == [(5, retrieval.EMPTY)]
+
+
+def test_matches_are_made_once_and_not_sorted_out_after(spark, monkeypatch):
+    """Several tags of a concept or a query, null ids, and keys cut small: each pair once, by a plan whose result no aggregate passes."""
+    monkeypatch.setattr(retrieval, "_CONCEPTS", 2)
+    monkeypatch.setattr(retrieval, "_QUERIES", 2)
+    tags = ["red ring", "ring", "blue rod", "", None, "Rod", "old widget"]
+    concepts = [(c, tags[c % 7]) for c in range(30)] + [(c, tags[(c + 3) % 7]) for c in range(0, 30, 4)] + [(None, "ring")]
+    asked = [(q, t) for q, t in enumerate([" RING", "rod", "a red ring more", " ", None, "zz", "e"])] + [(0, "red"), (9, "ring"), (10, "ring"), (11, "Ring "), (None, "rod")]
+    got = retrieval.match_query_tags(spark.createDataFrame(concepts, "concept_id long, tag string"), spark.createDataFrame(asked, "query_id long, tag string"))
+    low = [(q, t.strip(" ").lower()) for q, t in asked if t]
+    want = {(q, c) for q, t in low for c, own in concepts if t and own and (t in own.lower() or own.lower() in t)}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    top = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in top.split("Join")[0]
