@@ -9,104 +9,135 @@ parts no longer merge.  A second pass starts again from single vertices in the c
 first; last, a community that isn't connected is cut into its components.
 
 All steps are joins and sums over edges and vertices, so a vertex with very many edges is summed
-in many tasks.  Each round is a table in the shared folder.  Ties go to the lesser community and
-hashes are fixed, so results don't depend on the layout.
+in many tasks, and a community with very many vertices is dealt to several keys.  Each round is a table
+in the shared folder, deleted when the next is there.  Rounds are many and mostly small, so what a round costs
+the driver counts: they run in a session of their own without adaptive execution (one job for a table, not one
+for each exchange), with as many partitions as the level's edges need, and the number of the round is a column,
+so that generated code is the same in all of them.  Ties go to the lesser community and hashes are fixed,
+so results don't depend on the layout.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import Tables
 from .graph import components, numbered
 
-#: One in so many vertices may move in a round.
+#: One in so many vertices may move in a round; that many rounds in a row take all of them.
 MOVING = 2
+#: Edges for each task, about, and vertices of a community that meet in one key of a join, at most about.
+_EDGES, _MEMBERS = 1 << 16, 1 << 12
 
 
-def _active(round_: int, share: int, *key: str) -> Column:
-    """One in `share` of the vertices; that many rounds in a row take all of them."""
-    return F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(round_ // share)) + round_, F.lit(share)) == 0
+def _session(spark: SparkSession) -> SparkSession:
+    """A session for the rounds; the caller's settings stay as they are."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    return own
 
 
-def _masses(state: DataFrame, by: str) -> DataFrame:
-    return state.groupBy("codebase", F.col(by).alias("to")).agg(F.sum("degree").alias("mass"), F.count("*").alias("n"))
+def _sized(edges: DataFrame) -> None:
+    """From now on tasks by the number of edges."""
+    edges.sparkSession.conf.set("spark.sql.shuffle.partitions", str(max(1, -(-edges.count() // _EDGES))))
 
 
-def _pulls(edges: DataFrame, state: DataFrame, by: str) -> DataFrame:
-    """(codebase, v, to, pull): the weight from a vertex to each community around it."""
-    return edges.join(state.select("codebase", F.col("v").alias("u"), F.col(by).alias("to")), ["codebase", "u"]).groupBy("codebase", "v", "to").agg(F.sum("w").alias("pull"))
+def _active(*key: str) -> Column:
+    """Whether a vertex may move in the round of the column k."""
+    return F.pmod(F.xxhash64(*[F.col(x) for x in key], F.expr(f"CAST(k DIV {MOVING} AS INT)")) + F.col("k"), F.lit(MOVING)) == 0
 
 
-def _move(edges: DataFrame, state: DataFrame, total: DataFrame, resolution: float, round_: int) -> DataFrame:
-    """state (codebase, v, degree, c) with a column old, after one round of moves."""
-    mass = _masses(state, "c")
-    active = _active(round_, MOVING, "codebase", "v")
-    own = state.where(active).join(mass.select("codebase", F.col("to").alias("c"), F.col("mass").alias("own_mass"), F.col("n").alias("own_n")), ["codebase", "c"])
-    seen = _pulls(edges.where(active), state, "c").join(own, ["codebase", "v"]).join(mass, ["codebase", "to"]).join(total, "codebase")
-    price = resolution * F.col("degree") / (2 * F.col("total"))
-    here = F.col("to") == F.col("c")
-    gain = F.round(F.col("pull") - price * F.col("mass"), 12)
-    # Of two single vertices only the greater goes to the other, or both would change places.
-    may = ~here & ((F.col("own_n") > 1) | (F.col("n") > 1) | (F.col("to") < F.col("c")))
-    best = seen.withColumn("gain", gain).groupBy("codebase", "v").agg(
-        F.min_by("to", F.when(may, F.struct((-F.col("gain")).alias("less"), "to"))).alias("best"),
+def _weighed(state: DataFrame) -> DataFrame:
+    """state with mass and n of each vertex's group g; its n so far, the same in all of a group, tells to how many keys the group is dealt."""
+    keys = F.expr(f"CAST(n DIV {_MEMBERS} AS INT)")
+    groups = state.groupBy("codebase", "g").agg(F.sum("degree").alias("mass"), F.count("*").alias("now"), F.max(keys).alias("keys"))
+    groups = groups.select("codebase", "g", "mass", "now", F.explode(F.sequence(F.lit(0), "keys")).alias("key"))
+    dealt = state.withColumn("key", F.pmod(F.xxhash64("codebase", "v"), keys + 1).cast("int"))
+    return dealt.join(groups, ["codebase", "g", "key"]).select("codebase", "v", "degree", "price", "c", "g", "mass", F.col("now").alias("n"), "k")
+
+
+def _pulls(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """(codebase, v, to, pull, to_mass, to_n): the weight from an active vertex to each group around it."""
+    side = state.select("codebase", F.col("v").alias("u"), F.col("g").alias("to"), "mass", "n", "k")
+    near = edges.join(side, ["codebase", "u"]).where(_active("codebase", "v"))
+    return near.groupBy("codebase", "v", "to").agg(F.sum("w").alias("pull"), F.max("mass").alias("to_mass"), F.max("n").alias("to_n"))
+
+
+def _chosen(edges: DataFrame, rows: DataFrame, may: Column, stay: Column, least: Column) -> DataFrame:
+    """state after one round of the rows (state with mass): a vertex goes to the group of the greatest gain among those that it may go to, if that is more than staying."""
+    own = ["codebase", "v", "degree", "price", "c", "g", "mass", "n", "k"]
+    seen = rows.join(_pulls(edges, rows), ["codebase", "v"], "left")
+    gain = F.round(F.col("pull") - F.col("price") * F.col("to_mass"), 12)
+    may = F.col("to").isNotNull() & may
+    best = seen.withColumn("gain", gain).groupBy(*own).agg(
+        F.min_by(F.struct("to", "to_n"), F.when(may, F.struct((-F.col("gain")).alias("less"), "to"))).alias("best"),
         F.max(F.when(may, F.col("gain"))).alias("best_gain"),
-        (F.coalesce(F.max(F.when(here, F.col("pull"))), F.lit(0.0)) - F.first(price * (F.col("own_mass") - F.col("degree")))).alias("stay"),
+        F.max(F.when(F.col("to") == F.col("g"), F.col("pull"))).alias("here"),
     )
-    moved = best.where(F.col("best_gain") > F.col("stay") + 1e-9).select("codebase", "v", "best")
-    return state.join(moved, ["codebase", "v"], "left").select("codebase", "v", "degree", F.coalesce("best", "c").alias("c"), F.col("c").alias("old"))
+    goes = F.coalesce(F.col("best_gain") > stay + least, F.lit(False))
+    at = lambda to, old: F.when(F.col("goes"), F.col(to)).otherwise(F.col(old)).alias(old)
+    return best.withColumn("goes", goes).select("codebase", "v", "degree", "price", "c", at("best.to", "g"), at("best.to_n", "n"), (F.col("k") + 1).alias("k"), "goes")
+
 
+def _moved(edges: DataFrame, state: DataFrame) -> DataFrame:
+    # Of two single vertices only the greater goes to the other, or both would change places.
+    may = (F.col("to") != F.col("g")) & ((F.col("n") > 1) | (F.col("to_n") > 1) | (F.col("to") < F.col("g")))
+    stay = F.coalesce("here", F.lit(0.0)) - F.col("price") * (F.col("mass") - F.col("degree"))
+    return _chosen(edges, _weighed(state), may, stay, F.lit(1e-9))
 
-def _join_parts(inside: DataFrame, state: DataFrame, total: DataFrame, resolution: float, round_: int) -> DataFrame:
-    """state (codebase, v, degree, c, r) with a column old, after one round in which single vertices join parts r.
 
-    A part that is joined stays as it is in the round: it has several members, or its only one isn't active.
-    """
-    mass = _masses(state, "r")
-    single = state.join(mass.where("n = 1").select("codebase", F.col("to").alias("r")), ["codebase", "r"], "left_semi").where(_active(round_, 2, "codebase", "v"))
-    stays = mass.where((F.col("n") > 1) | ~_active(round_, 2, "codebase", "to"))
-    seen = _pulls(inside.where(_active(round_, 2, "codebase", "v")), state, "r").join(single.select("codebase", "v", "degree"), ["codebase", "v"]).join(stays, ["codebase", "to"]).join(total, "codebase")
-    gain = F.round(F.col("pull") - resolution * F.col("degree") * F.col("mass") / (2 * F.col("total")), 12)
-    best = seen.withColumn("gain", gain).where("gain > 0").groupBy("codebase", "v").agg(F.min_by("to", F.struct((-F.col("gain")).alias("less"), "to")).alias("best"))
-    return state.join(best, ["codebase", "v"], "left").select("codebase", "v", "degree", "c", F.coalesce("best", "r").alias("r"), F.col("r").alias("old"))
-
-
-def _rounds(state: DataFrame, step, column: str, share: int, vertices: int, tables: Tables, most: int) -> DataFrame:
-    """Repeats step until hardly a vertex moves in as many rounds as take all of them."""
-    quiet = 0
-    for k in range(most):
+def _refined(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """Single vertices join parts.  A part that is joined stays as it is in the round: it has several members, or its only one isn't active."""
+    may = (F.col("n") == 1) & ((F.col("to_n") > 1) | ~_active("codebase", "to"))
+    return _chosen(edges, _weighed(state), may, F.lit(0.0), F.lit(0.0))
+
+
+def _rounds(edges: DataFrame, state: DataFrame, step, vertices: int, tables: Tables, most: int) -> DataFrame:
+    """Repeats step, on state (codebase, v, degree, price, c, g), until hardly a vertex moves in as many rounds as take all of them."""
+    single = state.where("g <> v").isEmpty()  # else sizes are unknown yet
+    state = tables.keep(state.withColumns({"n": F.lit(1 if single else 16 * _MEMBERS).cast("long"), "k": F.lit(0)}))
+    first, quiet = tables.count, 0
+    for _ in range(most):
         seen = Observation()
-        state = tables.keep(step(state, k).observe(seen, F.count_if(F.col(column) != F.col("old")).alias("moved"))).drop("old")
+        state = tables.keep(step(edges, state).observe(seen, F.count_if("goes").alias("moved"))).drop("goes")
+        tables.delete(tables.count, first)
+        first = tables.count
         quiet = quiet + 1 if 50 * seen.get["moved"] <= vertices else 0
-        if quiet == share:
+        if quiet == MOVING:
             break
     return state
 
 
-def _pass(edges: DataFrame, state: DataFrame, total: DataFrame, resolution: float, tables: Tables, most: int) -> DataFrame:
-    """state (codebase, v, degree, c) after all levels, from the communities c; a community is named by its least vertex."""
+def _pass(edges: DataFrame, state: DataFrame, tables: Tables, most: int) -> DataFrame:
+    """state (codebase, v, degree, price, c) after all levels, from the communities c; a community is named by its least vertex."""
+    spark = edges.sparkSession
     first, place, vertices = state, state.select("codebase", F.col("v").alias("node"), "v"), state.count()
     while True:
-        state = _rounds(state, lambda s, k: _move(edges, s, total, resolution, k), "c", MOVING, vertices, tables, most)  # noqa: B023
-        side = lambda k: state.select("codebase", F.col("v").alias(k), F.col("c").alias(f"{k}_of"))  # noqa: B023, E731
-        inside = tables.keep(edges.join(side("v"), ["codebase", "v"]).join(side("u"), ["codebase", "u"]).where("v_of = u_of").select("codebase", "v", "u", "w"))
-        parts = _rounds(state.withColumn("r", F.col("v")), lambda s, k: _join_parts(inside, s, total, resolution, k), "r", 2, vertices, tables, most)  # noqa: B023
-        smaller = tables.keep(parts.groupBy("codebase", "r").agg(F.sum("degree").alias("degree"), F.first("c").alias("c")).withColumnRenamed("r", "v"))
+        _sized(edges)
+        with Tables(spark, "community-rounds") as level:
+            state = _rounds(edges, state.withColumn("g", F.col("c")), _moved, vertices, level, most)
+            state = tables.keep(state.select("codebase", "v", "degree", "price", F.col("g").alias("c")))
+        with Tables(spark, "community-rounds") as level:
+            side = lambda k: state.select("codebase", F.col("v").alias(k), F.col("c").alias(f"{k}_of"))  # noqa: B023, E731
+            inside = level.keep(edges.join(side("v"), ["codebase", "v"]).join(side("u"), ["codebase", "u"]).where("v_of = u_of").select("codebase", "v", "u", "w"))
+            parts = _rounds(inside, state.withColumn("g", F.col("v")), _refined, vertices, level, most)
+            parts = tables.keep(parts.select("codebase", "v", "degree", "price", "c", F.col("g").alias("r")))
+        smaller = tables.keep(parts.groupBy("codebase", "r").agg(F.sum("degree").alias("degree"), F.sum("price").alias("price"), F.first("c").alias("c")).withColumnRenamed("r", "v"))
         left = smaller.count()
+        spark.sparkContext._jvm.System.gc()  # what rounds broadcast and shuffled goes when the driver has collected its garbage, which may be long after
         if left == vertices:
             break
         of = parts.select("codebase", "v", "r")
         heads = smaller.groupBy("codebase", "c").agg(F.min("v").alias("head"))
-        state = tables.keep(smaller.join(heads, ["codebase", "c"]).select("codebase", "v", "degree", F.col("head").alias("c")))
+        state = tables.keep(smaller.join(heads, ["codebase", "c"]).select("codebase", "v", "degree", "price", F.col("head").alias("c")))
         place = tables.keep(place.join(of, ["codebase", "v"]).select("codebase", "node", F.col("r").alias("v")))
         ends = edges.join(of.withColumnRenamed("r", "a"), ["codebase", "v"]).join(of.select("codebase", F.col("v").alias("u"), F.col("r").alias("b")), ["codebase", "u"])
         edges = tables.keep(ends.where("a <> b").groupBy("codebase", F.col("a").alias("v"), F.col("b").alias("u")).agg(F.sum("w").alias("w")))
         vertices = left
     found = place.join(state.select("codebase", "v", "c"), ["codebase", "v"]).select("codebase", F.col("node").alias("v"), "c")
     heads = found.groupBy("codebase", "c").agg(F.min("v").alias("head"))
-    return tables.keep(first.drop("c").join(found, ["codebase", "v"]).join(heads, ["codebase", "c"]).select("codebase", "v", "degree", F.col("head").alias("c")))
+    return tables.keep(first.drop("c").join(found, ["codebase", "v"]).join(heads, ["codebase", "c"]).select("codebase", "v", "degree", "price", F.col("head").alias("c")))
 
 
 def modularity(weights: DataFrame, members: DataFrame, *, resolution: float = 1.0) -> DataFrame:
@@ -127,28 +158,34 @@ def communities(weights: DataFrame, nodes: DataFrame, *, resolution: float = 1.0
     Weights of unknown nodes, of loops and of 0 or less don't count; repeated ones add up; a node
     without weights is a community of its own.
     """
-    tables = Tables(nodes.sparkSession, "communities")
+    with Tables(_session(nodes.sparkSession), "communities") as tables:
+        rows = _found(weights, nodes, resolution, passes, most_rounds, tables)
+        return Tables(nodes.sparkSession, "communities").keep(rows)
+
+
+def _found(weights: DataFrame, nodes: DataFrame, resolution: float, passes: int, most_rounds: int, tables: Tables) -> DataFrame:
     base = tables.keep(nodes.select("codebase", F.col("node").alias("v")).where("codebase IS NOT NULL AND node IS NOT NULL").distinct())
     pairs = weights.where("a <> b AND weight > 0").groupBy("codebase", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").cast("double").alias("w"))
+    pairs = tables.keep(pairs)
+    _sized(pairs)
     known = lambda k: base.withColumnRenamed("v", k)
     pairs = tables.keep(pairs.join(known("a"), ["codebase", "a"], "left_semi").join(known("b"), ["codebase", "b"], "left_semi"))
-    total = tables.keep(pairs.groupBy("codebase").agg(F.sum("w").alias("total")))
+    total = pairs.groupBy("codebase").agg(F.sum("w").alias("total"))
     both = lambda p: p.select("codebase", F.col("a").alias("v"), F.col("b").alias("u"), "w").unionAll(p.select("codebase", F.col("b").alias("v"), F.col("a").alias("u"), "w"))
-    edges = both(pairs)
-    degree = edges.groupBy("codebase", "v").agg(F.sum("w").alias("degree"))
-    state = tables.keep(degree.select("codebase", "v", "degree", F.col("v").alias("c")))
+    edges = tables.keep(both(pairs))
+    degree = edges.groupBy("codebase", "v").agg(F.sum("w").alias("degree")).join(F.broadcast(total), "codebase")
+    state = tables.keep(degree.select("codebase", "v", "degree", (resolution * F.col("degree") / (2 * F.col("total"))).alias("price"), F.col("v").alias("c")))
     for _ in range(passes if not state.isEmpty() else 0):
-        state = _pass(edges, state, total, resolution, tables, most_rounds)
+        state = _pass(edges, state, tables, most_rounds)
+    _sized(edges)
     found = state.select("codebase", F.col("v").alias("node"), "c")
     side = lambda k: found.select("codebase", F.col("node").alias(k), F.col("c").alias(f"{k}_of"))
     same = pairs.join(side("a"), ["codebase", "a"]).join(side("b"), ["codebase", "b"]).where("a_of = b_of")
     key = lambda k: F.struct("codebase", F.col(k).alias("node"))
     roots = components(same.select(key("a").alias("a"), key("b").alias("b"))).select("v.codebase", "v.node", F.col("root.node").alias("root"))
     rows = tables.keep(base.select("codebase", F.col("v").alias("node")).join(roots, ["codebase", "node"], "left").select("codebase", "node", F.coalesce("root", "node").alias("root")))
-    own = tables.count
     sizes = rows.groupBy("codebase", "root").agg(F.count("*").alias("size"))
     ranked = numbered(sizes, ["codebase", F.desc("size"), "root"], tables)
-    tables.delete(own)
     first = ranked.groupBy("codebase").agg(F.min("number").alias("first"))
     number = ranked.join(first, "codebase").select("codebase", "root", (F.col("number") - F.col("first")).cast("int").alias("community"))
     return rows.join(number, ["codebase", "root"]).select("codebase", "community", "node")

@@ -1,6 +1,7 @@
 """Communities against one-by-one local moves, and their invariants."""
 
 import random
+from pathlib import Path
 
 from tessella.operators import communities as found
 
@@ -151,3 +152,19 @@ def test_resolution_modularity_and_odd_rows(spark):
     clean = spark.createDataFrame([("x", a, b, w) for (a, b), w in triangle.items()], weights.schema)
     assert abs(found.modularity(clean, members).first()["modularity"] - quality(nodes, triangle, got["x"])) < 1e-9
     assert run(spark, {})[0] == {}
+
+
+def test_rounds_are_few_jobs_and_leave_no_tables(spark):
+    """One job for the table of a round where nothing is broadcast, settings as they were, and only the result stays in the shared folder."""
+    nodes, weight = planted(random.Random(9), 3, 8, 0.7, 0.05, True)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before, adaptive = {p.name for p in folder.iterdir()}, spark.conf.get("spark.sql.adaptive.enabled")
+    spark.sparkContext.setJobGroup("communities", "")
+    got, _ = run(spark, {"x": (nodes, weight)})
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("communities"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(v for own in got["x"] for v in own) == nodes
+    assert jobs < 400, jobs
+    assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive
+    fresh = [p for p in folder.iterdir() if p.name not in before and p.name.startswith("communit")]
+    assert len(fresh) == 1 and [p.name for p in fresh[0].iterdir()] == ["1"]
