@@ -158,3 +158,17 @@ def test_matches_are_made_once_and_not_sorted_out_after(spark, monkeypatch):
     assert len(rows) == len(want) and set(rows) == want
     top = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in top.split("Join")[0]
+
+
+def test_a_list_of_concepts_is_put_together_once(spark):
+    """Queries with the same concepts in the same order share one text; another order is another text."""
+    orders = {q: [1, 2] if q % 3 else [2, 1] for q in range(30)}
+    placed = spark.createDataFrame([(q, c, k) for q, own in orders.items() for k, c in enumerate(own, 1)], "query_id long, concept_id int, place int")
+    assert retrieval._entries(retrieval._lists(placed)).count() == 4
+    concepts = spark.createDataFrame([(1, "a", ""), (2, "b", "")], "concept_id int, tag string, summary string")
+    members = spark.createDataFrame([], "concept_id int, node_id long")
+    entities = spark.createDataFrame([], "node_id long, tag string, summary string, file string, span_start int, span_end int, code string")
+    queries = spark.createDataFrame([(q,) for q in range(31)], "query_id long")
+    got = dict(retrieval._assembled(queries, placed, concepts, members, entities).collect())
+    heads = {1: "## a\n\n", 2: "## b\n\n"}
+    assert got == {q: "\n".join(heads[c] for c in own).strip("\n ") for q, own in orders.items()} | {30: retrieval.NO_HIT}
