@@ -264,3 +264,57 @@ def test_neighbours_shuffle_no_copies_of_vectors(spark):
 
 def test_neighbours_of_nothing(spark):
     assert similarity.neighbours(spark.createDataFrame([], "id long, vec array<float>"), 3).collect() == []
+
+
+def written(spark, make):
+    """What make() returns, and the plans of the tables that it writes meanwhile."""
+    kind, seen = type(spark.range(0).write), []
+    write = kind.parquet
+    try:
+        kind.parquet = lambda self, path, *a, **b: (seen.append(self._df._jdf.queryExecution().toString()), write(self, path, *a, **b))[1]
+        return make(), seen
+    finally:
+        kind.parquet = write
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def vectors_dir(spark, tmp_path_factory):
+    """A folder with a small table embeddings in three labels."""
+    d = str(tmp_path_factory.mktemp("vectors"))
+    vec = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.sin(k * F.col("id") % 37).cast("float"))
+    spark.range(300).select(F.col("id").alias("vec_id"), vec.alias("embedding"), (F.col("id") % 3).cast("int").alias("label")).write.parquet(f"{d}/embeddings.parquet")
+    return d
+
+
+def test_lazy_neighbours_write_and_shuffle_nothing(spark):
+    """Ids that stand several times are ranked together, in whichever blocks they are."""
+    import numpy as np
+
+    v = np.random.default_rng(4).normal(size=(120, 8))
+    ids = [i % 100 for i in range(120)]
+    u = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)
+    s = np.round(u @ u.T, 6)
+    given = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)], "id long, vec array<double>").repartition(3)
+    want = []
+    for i in range(100):
+        best = sorted((-s[a, b], ids[b]) for a in range(120) if ids[a] == i for b in range(120) if ids[b] != i)[:5]
+        want += [(i, other, -score, r) for r, (score, other) in enumerate(best, 1)]
+    for size in (7, 4096):
+        found, tables = written(spark, lambda size=size: similarity.neighbours(given, 5, block_rows=size, lazy=True))
+        assert not tables
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    plan = plan_of(similarity.neighbours(spark.range(400).select("id", F.array(F.lit(1.0)).alias("vec")), 3, lazy=True))
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_hybrid_weights_write_no_vectors(spark, vectors_dir):
+    """Only the labels' window and the weights of pairs are shuffled."""
+    from tessella.plans import catalogue
+
+    found, tables = written(spark, lambda: catalogue.hybrid_weights(spark, vectors_dir))
+    assert not tables and plan_of(found).count("Exchange ") == 2
+    assert found.count() == found.select("a", "b").distinct().count() > 300
