@@ -318,3 +318,15 @@ def test_hybrid_weights_write_no_vectors(spark, vectors_dir):
     found, tables = written(spark, lambda: catalogue.hybrid_weights(spark, vectors_dir))
     assert not tables and plan_of(found).count("Exchange ") == 2
     assert found.count() == found.select("a", "b").distinct().count() > 300
+
+
+def test_concept_neighbors_read_edges_once(spark, vectors_dir):
+    """No table is written, and pairs both ways come from one reading of the edges."""
+    from tessella.plans import catalogue
+
+    found, tables = written(spark, lambda: catalogue.concept_neighbors(spark, vectors_dir))
+    assert not tables and plan_of(found).count("CartesianProduct") == 2  # those of one neighbours()
+    label = {i: i % 3 for i in range(300)}
+    near = similarity.neighbours(catalogue._vectors(spark, vectors_dir), 8, above=0.35).where("score > 0.35").collect()
+    pairs = {(label[r["id"]], label[r["other"]]) for r in near if label[r["id"]] != label[r["other"]]}
+    assert pairs and sorted(tuple(r) for r in found.collect()) == sorted(pairs | {(b, a) for a, b in pairs})
