@@ -330,3 +330,12 @@ def test_concept_neighbors_read_edges_once(spark, vectors_dir):
     near = similarity.neighbours(catalogue._vectors(spark, vectors_dir), 8, above=0.35).where("score > 0.35").collect()
     pairs = {(label[r["id"]], label[r["other"]]) for r in near if label[r["id"]] != label[r["other"]]}
     assert pairs and sorted(tuple(r) for r in found.collect()) == sorted(pairs | {(b, a) for a, b in pairs})
+
+
+def test_recall_for_vectors_writes_pairs_of_concepts_only(spark, vectors_dir):
+    """The edges are read once and never written, the pairs of concepts are."""
+    from tessella.plans import codegraph
+
+    found, tables = written(spark, lambda: codegraph.recall_for_vectors(spark, vectors_dir))
+    assert len(tables) == 1 and "CartesianProduct" in tables[0] and "CartesianProduct" not in plan_of(found)
+    assert found.count() == 15 and found.where("text = ''").isEmpty()
