@@ -4,6 +4,7 @@ import random
 from pathlib import Path
 
 from tessella.operators import communities as found
+from tessella.operators import graph
 
 
 def one_by_one(nodes: list, weight: dict[tuple, float], resolution: float) -> list[list]:
@@ -168,3 +169,44 @@ def test_rounds_are_few_jobs_and_leave_no_tables(spark):
     assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive
     fresh = [p for p in folder.iterdir() if p.name not in before and p.name.startswith("communit")]
     assert len(fresh) == 1 and [p.name for p in fresh[0].iterdir()] == ["1"]
+
+
+def jobs_of(spark, work):
+    """What work() returns, and the jobs that it took."""
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "")
+    out = work()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, jobs
+
+
+def test_small_graphs_take_few_jobs(spark):
+    nodes, weight = planted(random.Random(9), 3, 8, 0.7, 0.05, True)
+    (got, _), jobs = jobs_of(spark, lambda: run(spark, {"x": (nodes, weight)}))
+    assert sorted(v for own in got["x"] for v in own) == nodes
+    assert jobs < 100, jobs
+
+
+def test_many_blocks(spark, monkeypatch):
+    """A graph of several blocks, with a vertex of more edges than a block has, split communities and groups dealt to several keys."""
+    monkeypatch.setattr(found, "_EDGES", 60)
+    monkeypatch.setattr(found, "_MEMBERS", 4)
+    star = [f"s{k:03d}" for k in range(70)]
+    graphs = {"clear": planted(random.Random(5), 4, 12, 0.6, 0.02, True), "star": (star, {(star[0], x): 1.0 for x in star[1:]})}
+    got, _ = run(spark, graphs)
+    for g, (nodes, weight) in graphs.items():
+        assert sorted(v for m in got[g] for v in m) == nodes
+        assert all(connected(m, weight) for m in got[g] if len(m) > 1), g
+        assert quality(nodes, weight, got[g]) >= 0.95 * quality(nodes, weight, one_by_one(nodes, weight, 1.0)) - 1e-9, g
+
+
+def test_components_of_long_chains_without_adaptive_execution(spark):
+    """Few rounds for a chain, and no estimate of sizes that grows with each of them."""
+    own = found._session(spark)
+    place = list(range(2000))
+    random.Random(3).shuffle(place)
+    chain = own.createDataFrame(list(zip(place[:-1], place[1:], strict=True)) + [(-1, -2)], "a long, b long")
+    rows, jobs = jobs_of(spark, lambda: graph.components(chain).collect())
+    assert {(r["v"], r["root"]) for r in rows} == {(v, 0) for v in place} | {(-1, -2), (-2, -2)}
+    assert jobs < 20, jobs
